@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
+from newsloom.llm.pii import OP7_SQL, op7_pii
 from newsloom.llm.simhash import op3_simhash
 from newsloom.llm.tokenfiles import op10_token_files
 from newsloom.llm.toxicity import op5_toxicity
@@ -11,12 +12,14 @@ from newsloom.llm.toxicity import op5_toxicity
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
+    "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
 }
 
 ORACLES = {
+    "op7_pii": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
 }
