@@ -47,8 +47,7 @@ def offset(source, seed: str = "mix"):
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
-    """docs (source, doc_id and, unless a column `size` is given, text) -> all its columns plus
-    size, source_size, target, copies.
+    """docs (source, doc_id, size in words) -> all its columns plus source_size, target, copies.
 
     Within a source, documents stand in order of size, then doc_id; each expects
     target / source_size copies, a document is emitted once for every integer that the running
@@ -61,14 +60,13 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     taken from a table of one row for each partition and source. The partitioned rows are
     written once, since their places must not change between the two uses.
 
-    Null source is a source of its own, last; null or empty text has size 0 and is taken like
-    others of its source; a source whose size is 0 takes nothing; repeated rows are rows of
-    their own; an empty table gives an empty result.
+    Null source is a source of its own, last; documents of size 0 are taken like others of
+    their source; a source whose size is 0 takes nothing; repeated rows are rows of their own;
+    columns of docs named like the new ones are replaced; an empty table gives an empty result.
     """
-    given = docs if "size" in docs.columns else docs.withColumn("size", count_words(F.col("text")))
-    names = {c: f"_c{i}" for i, c in enumerate(given.columns)}  # whatever columns come, ours cannot clash
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # whatever columns come, ours cannot clash
     place = (
-        given.withColumnsRenamed(names)
+        docs.withColumnsRenamed(names)
         .withColumns({"source": F.col(names["source"]), "size": F.col(names["size"]), "id": F.col(names["doc_id"])})
         .repartitionByRange(F.col("source").asc_nulls_last(), "size", "id")
         .sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "id")
@@ -89,14 +87,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor((rank + 1.0) * each + F.col("u")) - F.floor(rank * each + F.col("u"))
     out = ranked.select(*names.values(), "source_size", "target", copies.cast("long").alias("copies"))
-    clash = [c for c in given.columns if c in ("source_size", "target", "copies")]
+    clash = [c for c in docs.columns if c in ("source_size", "target", "copies")]
     return out.select(*[F.col(n).alias(c) for c, n in names.items() if c not in clash], "source_size", "target", "copies")
 
 
-def emit_copies(mixed: DataFrame) -> DataFrame:
-    """Each row as often as its column copies says; the helper columns of mix_sources stay."""
+def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs (doc_id, source, text) in its columns, every row as often as the mix takes it. Null text has size 0."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mixed = mix_sources(docs.select(row, "source", "doc_id", count_words(F.col("text")).alias("size")), **how)
     n = F.sequence(F.lit(1), F.col("copies").cast("int"))
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(n)).drop("_copy")
+    return mixed.where("copies > 0").select("row", F.explode(n).alias("copy")).select("row.*")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
