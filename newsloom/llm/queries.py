@@ -6,10 +6,12 @@ from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
 from newsloom.llm.pii import OP7_SQL, op7_pii
 from newsloom.llm.simhash import op3_simhash
+from newsloom.llm.substrings import op1_substring_dedup
 from newsloom.llm.tokenfiles import op10_token_files
 from newsloom.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op7_pii": op7_pii,
