@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
+from newsloom.llm.lmscore import op6_lm_scores
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
 from newsloom.llm.pii import OP7_SQL, op7_pii
 from newsloom.llm.simhash import op3_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_scores": op6_lm_scores,
     "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
