@@ -34,6 +34,7 @@ SAMPLE = 256
 BLOCK_IDS = 1 << 20
 #: Different words remembered by a worker. Beyond, the memory is emptied and begun anew.
 REMEMBERED = 1_000_000
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which begins pieces like 's
 
 BLOCK_SCHEMA = (
     "shard int, block int, doc_ids array<{kind}>, n_docs int, n_tokens long, id_bytes int, ids binary, "
@@ -106,6 +107,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of a word, where the vocabulary marks them
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -113,31 +117,57 @@ class WordEncoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self) -> None:
-        words, self.places.pending = self.places.pending, []
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, more = len(self.places), int(sizes.sum())
-        if n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty(n, np.int64)]) for x in (self.start, self.size))
-        if self.used + more > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + more, np.uint32)])
-        self.flat[self.used : self.used + more] = np.fromiter((i for ids in found for i in ids), np.uint32, more)
-        self.size[n - len(found) : n] = sizes
-        self.start[n - len(found) : n] = self.used + np.cumsum(sizes) - sizes
-        self.used += more
-
-    def encode(self, text: bytes) -> np.ndarray:
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+
+    def _plain_ids(self, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, faster, for words that are known to be cut into so many pieces: as one text, parted at ends of pieces."""
+        lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.fromiter((i for ids in found for i in ids), np.uint32, sum(map(len, found)))
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != pieces.sum():
+            return self._ids(words)
+        return flat, np.diff(ends[np.cumsum(pieces) - 1], prepend=0)
+
+    def _learn(self) -> None:
+        """Encode the pending words. Letters, or letters and then punctuation, are one or two pieces; others go alone."""
+        words, self.places.pending = [w.decode() for w in self.places.pending], []
+        pieces = np.zeros(len(words), np.int64)
+        if self.closes.any():
+            for i, w in enumerate(words):
+                head = w.rstrip(_PUNCTUATION)
+                if head.lower().isalpha():
+                    pieces[i] = 1 if head == w else 2
+        first = len(self.places) - len(words)
+        if len(self.places) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.empty(len(self.places), np.int64)]) for x in (self.start, self.size))
+        for which, ids_of in ((pieces > 0, lambda ws: self._plain_ids(ws, pieces[pieces > 0])), (pieces == 0, self._ids)):
+            if not which.any():
+                continue
+            ids, sizes = ids_of([w for w, x in zip(words, which) if x])
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.uint32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            at = first + np.flatnonzero(which)
+            self.size[at], self.start[at] = sizes, self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.places) > self.remembered:
             self._forget()
-        words = text.split()
-        k = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        words = [text.split() for text in texts]
+        places = [np.fromiter(map(self.places.__getitem__, ws), np.int64, len(ws)) for ws in words]
         if self.places.pending:
             self._learn()
-        size = self.size[k]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[k] - (ends - size), size)
-        return self.flat[at]
+        for k in places:
+            size = self.size[k]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[k] - (ends - size), size)
+            yield self.flat[at]
 
 
 @functools.cache
@@ -170,8 +200,10 @@ def _blocks(path: str, end_id: int, block_ids: int, kind: str):
                 ("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(b.column(0).type)), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()),
                 ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()),
             ])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(encoder.encode(text or b""), np.uint32(end_id))
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            some = (ids for i in range(0, len(texts), 64) for ids in encoder.encode(texts[i : i + 64]))
+            for doc, ids in zip(b.column(0).to_pylist(), some):
+                ids = np.append(ids, np.uint32(end_id))
                 if held and held + len(ids) > block_ids:
                     yield closed()
                 docs.append(doc)
