@@ -5,6 +5,7 @@ from __future__ import annotations
 from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
 from newsloom.llm.lmscore import op6_lm_scores
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
+from newsloom.llm.neighbours import op2_nearest
 from newsloom.llm.pii import OP7_SQL, op7_pii
 from newsloom.llm.simhash import op3_simhash
 from newsloom.llm.substrings import op1_substring_dedup
@@ -13,6 +14,7 @@ from newsloom.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_lm_scores": op6_lm_scores,
