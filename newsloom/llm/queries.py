@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
+from newsloom.llm.licenses import op4_licenses
 from newsloom.llm.lmscore import op6_lm_scores
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
 from newsloom.llm.neighbours import op2_nearest
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op6_lm_scores": op6_lm_scores,
     "op7_pii": op7_pii,
