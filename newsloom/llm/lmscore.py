@@ -34,7 +34,7 @@ def grams(h: np.ndarray, order: int) -> np.ndarray:
 
 
 def _exploded(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """doc_id, bucket, hashes (48 bits each; the bucket holds more of them), own (16 or more bits each), in order of hash."""
+    """key, bucket, hashes (48 bits each; the bucket holds more of them), own (16 or more bits each), in order of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.uint64((1 << 64) // buckets + 1)
@@ -55,14 +55,14 @@ def _exploded(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             if which:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(np.concatenate(which))), pa.array(np.concatenate(rows[0])), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
-                    ["doc_id", "bucket", "hashes", "own"],
+                    ["key", "bucket", "hashes", "own"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, bucket int, hashes binary, own binary")
+    return docs.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, bucket int, hashes binary, own binary")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition, sorted by bucket -> doc_id, bucket, counts: of each n-gram in all other documents."""
+    """Rows of a partition, sorted by bucket and key -> key, bucket, counts: of each n-gram in all other documents."""
 
     def joined(ids: list, bucket: int, hashes: list[bytes], own: list[bytes]) -> pa.RecordBatch:
         n = np.array([len(x) // 6 for x in hashes])
@@ -73,7 +73,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = (np.bincount(inverse, mine).astype(np.int64)[inverse] - mine).astype("<u4")
         ends = np.cumsum(n)
         back = [others[a:z].tobytes() for a, z in zip((ends - n).tolist(), ends.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([bucket] * len(ids), pa.int32()), pa.array(back, pa.binary())], ["doc_id", "bucket", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([bucket] * len(ids), pa.int32()), pa.array(back, pa.binary())], ["key", "bucket", "counts"])
 
     held, now = ([], [], []), None
     for b in batches:
@@ -82,20 +82,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield joined(held[0], now, held[1], held[2])
                 held = ([], [], [])
             now = bucket
+            if held[0] and held[0][-1] == doc:  # a repeated row
+                continue
             held[0].append(doc), held[1].append(h), held[2].append(o)
     if held[0]:
         yield joined(held[0], now, held[1], held[2])
 
 
 def counts_elsewhere(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, counts (bucket, counts): for each different n-gram of a document, in order of its
+    """docs (key, text) -> key, counts (bucket, counts): for each different n-gram of a document, in order of its
     hash, how often it stands in all other documents."""
     out = materialize(
-        _exploded(docs, order, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counts, "doc_id long, bucket int, counts binary")
+        _exploded(docs, order, buckets).repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_counts, "key long, bucket int, counts binary")
     )
     gc.collect()  # lets Spark's cleaner drop this phase's shuffle files before the next one writes its own
     docs.sparkSession._jvm.System.gc()
-    return out.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "counts")).alias("counts"))
+    return out.groupBy("key").agg(F.collect_list(F.struct("bucket", "counts")).alias("counts"))
 
 
 def _in_order(rows: list[dict] | None) -> np.ndarray:
@@ -123,25 +125,26 @@ def log_score(words: np.ndarray, one: np.ndarray, two: np.ndarray, total: int, b
 def lm_scores(docs: DataFrame, buckets: int | None = None, backoff: float = BACKOFF) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, log_score, mean_log_score: bigram stupid backoff over blank-separated words.
 
-    Null and empty texts have no words, log_score 0 and mean null. doc_id tells documents apart: rows without one are
-    left unscored (log_score null), rows that share one must share their text. An empty table gives an empty result.
+    Null and empty texts have no words, log_score 0 and mean null. Rows that agree in doc_id and text are one document
+    (and get its score each); rows that share or lack a doc_id but differ in text are documents of their own. An empty
+    table gives an empty result.
     """
-    known = docs.where("doc_id IS NOT NULL")
-    total = known.agg(F.sum(count_words(F.col("text")))).first()[0] or 0
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    total = docs.agg(F.sum(count_words(F.col("text")))).first()[0] or 0
     buckets = buckets or max(1, math.ceil(total / PER_BUCKET))
-    one = counts_elsewhere(known, 1, buckets).withColumnRenamed("counts", "one")
-    two = counts_elsewhere(known, 2, buckets).withColumnRenamed("counts", "two")
+    one = counts_elsewhere(keyed, 1, buckets).withColumnRenamed("counts", "one")
+    two = counts_elsewhere(keyed, 2, buckets).withColumnRenamed("counts", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, s = [], []
-            for doc, words, c1, c2 in zip(b.column(0).to_pylist(), _per_document(b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for words, c1, c2 in zip(_per_document(b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 n.append(len(words))
-                s.append(None if doc is None else log_score(words, _in_order(c1), _in_order(c2), total, backoff) if len(words) else 0.0)
-            mean = [x / k if k and x is not None else None for x, k in zip(s, n)]
+                s.append(log_score(words, _in_order(c1), _in_order(c2), total, backoff) if len(words) else 0.0)
+            mean = [x / k if k else None for x, k in zip(s, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score", "mean_log_score"])
 
-    both = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(one.join(two, "doc_id", "left"), "doc_id", "left")
+    both = keyed.withColumn("text", F.col("text").cast("binary")).join(one.join(two, "key", "left"), "key", "left")
     return both.select("doc_id", "text", "one", "two").mapInArrow(run, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
