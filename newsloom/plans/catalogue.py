@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from newsloom.plans import news, sports
+
+QUERIES = news.QUERIES | sports.QUERIES
+ORACLES = news.ORACLES | sports.ORACLES
