@@ -115,12 +115,17 @@ def test_rate_limit_stream(spark, tmp_path):
     df = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=s), i) for k, s, i in events], "k string, ts timestamp_ntz, i long")
     df.where("i <= 3").coalesce(1).write.parquet(str(tmp_path / "in"))
     out = rate_limit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "ts", "i", 2, 60)
-    q = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
+    got = {}
+
+    def run_once():  # timeouts keep such a stream busy: it never waits for new data, so each run is of one batch
+        sink = out.writeStream.foreachBatch(lambda d, _: got.update({r.i: (r.n, r.allowed, r.remaining) for r in d.collect()}))
+        q = sink.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start()
+        assert q.awaitTermination(120)
+
+    run_once()
+    assert sorted(got) == [1, 2, 3]
     df.where("i > 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q.processAllAvailable()
-    q.stop()
-    got = {r.i: (r.n, r.allowed, r.remaining) for r in spark.table("limited").collect()}
+    run_once()  # the state comes from the checkpoint
     assert got == limiter([(k, s * 1_000_000, i) for k, s, i in events], 2, 60_000_000)
 
 
