@@ -82,18 +82,18 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     remove="documents" drops documents with a hit; remove="spans" keeps them and cuts the hit
     words, with what separates them from the next word, out of their text.
     """
-    hits = contamination(docs, bench, **how).where("n_hit > 0").select(F.col("doc_id").alias("h_doc"), F.col("key").alias("h_key"), F.col("hit_words").alias("h_words")).distinct()
+    hits = contamination(docs, bench, **how).where("n_hit > 0").select(F.col("doc_id").alias("h_doc"), F.col("key").alias("h_key"), F.col("hit_words").alias("h_words")).distinct().alias("h")
     mine = [F.col(f"d.`{c}`") for c in docs.columns]
-    same = (F.xxhash64("d.doc_id", "d.text") == F.col("h_key")) & F.col("d.doc_id").eqNullSafe(F.col("h_doc"))
+    same = (F.xxhash64("d.doc_id", "d.text") == F.col("h.h_key")) & F.col("d.doc_id").eqNullSafe(F.col("h.h_doc"))
     if remove == "documents":
         return docs.alias("d").join(hits, same, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     word = PLAIN_SEPARATOR.replace("[", "[^", 1)
     pieces = F.regexp_extract_all("d.text", F.lit(f"({word})({PLAIN_SEPARATOR})?"), F.lit(0))
-    places = F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.col("h_words"))
+    places = F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.col("h.h_words"))
     cut = F.concat(F.regexp_extract("d.text", f"^({PLAIN_SEPARATOR})?", 0), F.array_join(F.transform(places, lambda i: F.element_at(pieces, i)), ""))
-    text = F.when(F.col("h_key").isNull(), F.col("d.text")).otherwise(cut)
+    text = F.when(F.col("h.h_key").isNull(), F.col("d.text")).otherwise(cut)
     return docs.alias("d").join(hits, same, "left").select(*[text.alias("text") if c == "text" else x for c, x in zip(docs.columns, mine)])
 
 

@@ -37,14 +37,13 @@ def _exploded(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     """key, bucket, hashes (48 bits each; the bucket holds more of them), own (16 or more bits each), in order of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.uint64((1 << 64) // buckets + 1)
         for b in batches:
             rows, which = ([], [], []), []
             for k, words in enumerate(_per_document(b.column(1).to_pylist())):
                 g, own = np.unique(grams(words, order), return_counts=True)
                 if not len(g):
                     continue
-                bucket = (g // width).astype(np.int32)
+                bucket = ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
                 at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 low = g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                 wide = own.astype("<u2" if own.max() < 1 << 16 else "<u4")

@@ -118,7 +118,7 @@ def _tile_links(distance: int):
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
-    """Distinct fp -> a, b: pairs within the distance that connect all that are within it of each other.
+    """Distinct fp -> a, b: pairs that connect, directly or over others, all that are within the distance of each other.
 
     Pigeonhole: with `blocks` blocks, two fingerprints that differ in at most `distance` bits agree
     on blocks - distance of them, so every choice of so many is a join key. All fingerprints of a

@@ -170,6 +170,7 @@ def covered(a: Anchors, closed: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text) -> doc_id, closed, windows: what of each document another one has earlier, as hashes of the
     anchors all of whose windows are repeated, and of further windows."""
+    docs = docs.select("doc_id", "text")
     found = anchors(docs, min_words, seed)
     # Partial sums before the shuffle: a passage that a third of all documents share is one row a task.
     groups = found.groupBy("hash").agg(
@@ -193,9 +194,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SE
     A word goes if it lies in a window of min_words words whose sequence also starts earlier: in a document of smaller
     doc_id, or further up in its own. All windows are judged on the input. Texts shorter than a window lose nothing; null
     text has no words. doc_id tells documents apart: a row without one is compared with itself alone, rows that share
-    one are not compared with each other. An empty table gives an empty result.
+    one are not compared with each other. Further columns are left out. An empty table gives an empty result.
     """
-    last = "kept_sha256" if digest else "kept"
+    last, docs = "kept_sha256" if digest else "kept", docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
