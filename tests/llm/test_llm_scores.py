@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import licenses, lmscore, neighbours, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
@@ -84,21 +84,24 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
-@tables
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the driver's tables")
 def test_toxicity_of_held_out_rows(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    """About 130 held-out toxic rows; the smaller tables hold a dozen, some without any word that other toxic rows have."""
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
     right = np.mean([r.predicted == r.toxic for r in rows])
     toxic = [r.score for r in rows if r.toxic == 1]
     clean = [r.score for r in rows if r.toxic == 0]
     above = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
-    print(len(rows), len(toxic), right, above)
-    assert len(toxic) > 5 and right >= 0.9 and above >= 0.9
+    assert len(toxic) > 100 and right >= 0.9 and above >= 0.9
 
 
 def test_toxicity_of_odd_tables(spark):
-    bad, good = "you vile stupid filth " * 5, "the garden is green and calm " * 5
-    docs = [(i, bad if i % 2 else good) for i in range(40)] + [(50, None), (51, ""), (None, good), (1, bad)]
+    rng = random.Random(1)
+    mixed = lambda words: " ".join(rng.choice(words) + f" n{rng.randrange(30)}" for _ in range(40))
+    docs = [(i, mixed(["vile", "scum", "the", "calm"] if i % 2 else ["garden", "green", "the", "calm"])) for i in range(40)]
+    bad, good = docs[1][1], docs[0][1]
+    docs += [(50, None), (51, ""), (None, good), (1, bad)]
     d = spark.createDataFrame([(*x, i, "s") for i, x in enumerate(docs)], "doc_id long, text string, score int, x string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(50, None), (None, 1), (3, 7)], "doc_id long, toxic int")
     rows = toxicity.toxicity_scores(d, labels).collect()
@@ -111,11 +114,12 @@ def test_toxicity_of_odd_tables(spark):
 
 
 def test_held_out_labels_are_not_looked_at(spark):
-    docs = spark.createDataFrame([(i, ("bad word " if i % 2 else "fine day ") * 9) for i in range(60)], "doc_id long, text string")
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["bad", "the"] if i % 2 else ["fine", "the"]) + f" n{rng.randrange(30)}" for _ in range(40))) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     scores = [sorted((r.doc_id, r.score) for r in toxicity.toxicity_scores(docs, x).collect()) for x in (labels, turned)]
-    assert scores[0] == scores[1]
+    assert scores[0] == scores[1] and scores[0][0][1] < 0.7 < scores[0][1][1]
 
 
 def brute_scores(docs, backoff=0.4):
