@@ -121,6 +121,32 @@ def test_held_out_labels_are_not_looked_at(spark):
     scores = [sorted((r.doc_id, r.score) for r in toxicity.toxicity_scores(docs, x).collect()) for x in (labels, turned)]
     assert scores[0] == scores[1] and scores[0][0][1] < 0.7 < scores[0][1][1]
 
+def test_toxicity_of_fixed_phrases(spark):
+    """Each inner word of a phrase has one context, so that only pairs of words can tell."""
+    rng = random.Random(3)
+    filler = lambda: " ".join(f"n{rng.randrange(40)}" for _ in range(20))
+    docs = [(i, f"{filler()} {'you vile stupid filth' if i % 2 else 'you are so calm'} {filler()}") for i in range(600)]
+    docs += [(1000 + i, ("you vile stupid filth " if i % 2 else "the garden is green and calm ") * 5) for i in range(40)]
+    for d in (docs[:600], docs[600:]):
+        rows = toxicity.toxicity_scores(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in d], "doc_id long, toxic int")).collect()
+        assert np.mean([r.predicted == r.doc_id % 2 for r in rows if r.held_out]) == 1.0
+
+
+def test_rare_words_keep_some_evidence():
+    """Two toxic-only contexts tell little where half of all text is toxic, and much where a hundredth is."""
+    zero, two = np.array([0]), np.array([2])
+    even, small = toxicity.word_ratios(zero, two, 10_000, 10_000)[0], toxicity.word_ratios(zero, two, 99_000, 1000)[0]
+    assert 0 < even < 0.1 < 0.5 < small
+
+
+@tables
+def test_toxicity_of_held_out_rows_of_a_small_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 5 and np.mean([r.predicted == r.toxic for r in rows]) >= 0.9
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean]) >= 0.9
+
 
 def brute_scores(docs, backoff=0.4):
     kinds = {x: (x[1] or "").split() for x in set(docs)}
