@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import functools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -120,18 +122,48 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def best_match(words: list[bytes], t: Template) -> tuple[float, int, int] | None:
-    """Highest coverage of t in the text, and the words it reaches from and to (exclusive); ties to the first."""
-    spots = [i for i, w in enumerate(words) if w in t.telling]
+@dataclass
+class Bounds:
+    """What a copy of a template that covers `coverage` of its words has at least: `need` different words out of `telling`,
+    none further apart than `gap` if words were altered or left out, or further from the copy's ends than `edge`."""
+
+    telling: frozenset[bytes]
+    need: int
+    gap: int
+    edge: int
+
+
+@functools.lru_cache(maxsize=4096)
+def _bounds(words: tuple[bytes, ...], telling: frozenset[bytes], coverage: float) -> Bounds:
+    missed = min(len(words), math.floor((1 - coverage) * len(words) + 1e-9))
+    left, need = missed, len(telling)
+    for n in sorted(Counter(w for w in words if w in telling).values()):  # a word is missed only if all its places are
+        left -= n
+        need -= left >= 0
+    if need < 1 and len(telling) < len(set(words)):
+        return _bounds(words, frozenset(words), coverage)
+    at = [i for i, w in enumerate(words) if w in telling]
+    far = [z - a for a, z in zip(at, at[missed + 1 :])] or [len(words)]
+    k = min(missed, len(at) - 1)
+    return Bounds(telling, max(need, 1), max(4 + len(words) // 4, *far, 1), max(len(words) // 2, at[k], len(words) - 1 - at[-1 - k]))
+
+
+def best_match(words: list[bytes], t: Template, coverage: float = COVERAGE) -> tuple[float, int, int] | None:
+    """Highest coverage of t in the text, and the words it reaches from and to (exclusive); ties to the first.
+
+    None, or less than `coverage`, where no copy reaches it. Text put into a copy splits it if longer than Bounds.gap.
+    """
+    x = _bounds(tuple(t.words), t.telling, coverage)
+    spots = [i for i, w in enumerate(words) if w in x.telling]
     best, reach, k = None, len(t.words), 0
     while k < len(spots):
         z = k  # telling words that stand so near each other that one notice can hold them
-        while z + 1 < len(spots) and spots[z + 1] - spots[z] <= 4 + reach // 4:
+        while z + 1 < len(spots) and spots[z + 1] - spots[z] <= x.gap:
             z += 1
-        if len(set(words[i] for i in spots[k : z + 1])) >= COVERAGE * len(t.telling) - 1:
+        if len(set(words[i] for i in spots[k : z + 1])) >= x.need:
             a, b = max(0, spots[k] - reach), min(len(words), spots[z] + reach + 1)
             pairs = align(words[a:b], t.words)
-            near = [p for p in pairs if spots[k] - reach // 2 <= a + p[0] <= spots[z] + reach // 2]
+            near = [p for p in pairs if spots[k] - x.edge <= a + p[0] <= spots[z] + x.edge]
             if near and (best is None or len(near) / reach > best[0]):
                 best = (len(near) / reach, a + near[0][0], a + near[-1][0] + 1)
         k = z + 1
@@ -142,7 +174,8 @@ def scan(words: list[bytes], templates: list[Template], coverage: float = COVERA
     """Templates covered to `coverage` and more: name, coverage, from, to."""
     here, out = set(words), []
     for t in templates:
-        if len(t.telling & here) >= coverage * len(t.telling) - 1 and (m := best_match(words, t)) and m[0] >= coverage:
+        x = _bounds(tuple(t.words), t.telling, coverage)
+        if len(x.telling & here) >= x.need and (m := best_match(words, t, coverage)) and m[0] >= coverage:
             out.append((t.name, *m))
     return out
 

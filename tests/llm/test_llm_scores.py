@@ -83,6 +83,25 @@ def test_licenses(spark):
     assert (begin.begin, begin.end) == (300, 300 + n)
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
+def test_license_filters_leave_out_nothing():
+    """Copies with altered telling words, at random and in one run, against alignment without a filter."""
+    rng = random.Random(7)
+    filler = [b"word%d" % i for i in range(200)]
+    met = Counter()
+    for t in licenses.templates_of(licenses.TEMPLATES):
+        places = [i for i, w in enumerate(t.words) if w in t.telling]
+        for coverage in (0.8, 0.5):
+            for n in range(0, len(places), max(1, len(places) // 30)):
+                for run in (False, True):
+                    a = rng.randrange(len(places) - n + 1)
+                    gone = set(places[a : a + n] if run else rng.sample(places, n))
+                    words = filler + [b"altered" if i in gone else w for i, w in enumerate(t.words)] + filler
+                    whole = len(licenses.align(words, t.words)) / len(t.words)
+                    got = [x[1] for x in licenses.scan(words, [t], coverage)]
+                    assert got == ([whole] if whole >= coverage else []), (t.name, coverage, n, run)
+                    met[bool(got)] += 1
+    assert met[True] > 100 and met[False] > 100
+
 
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the driver's tables")
 def test_toxicity_of_held_out_rows(spark):
