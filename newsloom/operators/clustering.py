@@ -1,17 +1,14 @@
 """Greedy first-fit clustering of stories, exact and distributed.
 
-Articles go, newest first, to the first cluster that has a member of the same story. A cluster never leaves its
-connected component, so components are found first and the greedy rule runs inside each; an article without links
-is a cluster of its own and meets no Python.
+Articles go, newest first, to the first cluster that has a member of the same story: that of the first article that is
+reachable over links to articles before. Joins hand these labels on, so no group of articles meets in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.components import connected_components
 from newsloom.operators.shared import materialize
 from newsloom.operators.similarity import same_story
 
@@ -33,19 +30,22 @@ def first_fit(order: list[int], linked: dict[int, set[int]]) -> dict[int, int]:
 
 def story_clusters(df: DataFrame) -> DataFrame:
     """df (seq, published, tok) -> seq, cluster (seq of the cluster's first article), pos (place in the cluster)."""
-    pairs = materialize(same_story(df).select("a", "b"))
-    found = connected_components(pairs)
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy(F.col("a").alias("seq")).agg(F.collect_list("b").alias("near"))
-    rows = df.select("seq", "published").join(near, "seq").join(found.withColumnRenamed("node", "seq"), "seq")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["published", "seq"], ascending=[False, True])
-        first = first_fit(pdf.seq.tolist(), {s: set(n) for s, n in zip(pdf.seq, pdf.near)})
-        return pd.DataFrame({"seq": pdf.seq, "cluster": pdf.seq.map(first)})
-
-    linked = rows.groupBy("component").applyInPandas(greedy, "seq long, cluster long")
-    alone = df.select("seq").join(found.withColumnRenamed("node", "seq"), "seq", "left_anti").select("seq", F.col("seq").alias("cluster"))
+    pairs = same_story(df).select("a", "b")
+    key = F.struct("published", (-F.col("seq")).alias("back"))  # of two articles the first has the greater key
+    rows = df.select("seq", key.alias("key"))
+    ends = pairs.join(rows.select(F.col("seq").alias("a"), F.col("key").alias("ka")), "a").join(rows.select(F.col("seq").alias("b"), F.col("key").alias("kb")), "b")
+    links = materialize(ends.select(F.least("ka", "kb").alias("key"), F.greatest("ka", "kb").alias("before")))
+    labels = materialize(links.select("key").union(links.select("before")).distinct().select("key", F.col("key").alias("label")))
+    while True:
+        heard = links.join(labels.select(F.col("key").alias("before"), "label"), "before").groupBy("key").agg(F.max("label").alias("heard"))
+        met = labels.join(heard, "key", "left").select("key", F.col("label").alias("old"), F.greatest("label", "heard").alias("label"))
+        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
+        new = materialize(met.join(jump, "label").select("key", "old", F.greatest("label", "further").alias("label")))
+        labels = new.select("key", "label")
+        if new.where("label <> old").limit(1).count() == 0:
+            break
+    linked = labels.select((-F.col("key.back")).alias("seq"), (-F.col("label.back")).alias("cluster"))
+    alone = df.select("seq").join(linked.select("seq"), "seq", "left_anti").select("seq", F.col("seq").alias("cluster"))
     named = linked.unionByName(alone).join(df.select("seq", "published"), "seq")
     pos = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("published"), "seq"))
     return named.select("seq", "cluster", pos.alias("pos"))

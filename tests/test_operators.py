@@ -65,6 +65,17 @@ def test_story_clusters_against_greedy(spark):
     assert pairs == {(x[0], y[0]) for x in arts for y in arts if x[0] < y[0] and same(x, y)}
 
 
+def test_no_group_of_stories_meets_in_one_task(spark):
+    """A chain of titles, each like the one before: first fit against plain links, and no Python group in the plan."""
+    arts = [(i, T0 + dt.timedelta(hours=i // 2), [f"w{j}" for j in range(i, i + 6)]) for i in range(40)]
+    df = spark.createDataFrame(arts, "seq long, published timestamp_ntz, tok array<string>")
+    linked = {i: {j for j in range(40) if j != i and abs(i - j) <= 2} for i in range(40)}
+    order = sorted(range(40), key=lambda i: (-arts[i][1].timestamp(), i))
+    got = clustering.story_clusters(df)
+    assert {r.seq: r.cluster for r in got.collect()} == clustering.first_fit(order, linked)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 60), (7, 7)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
