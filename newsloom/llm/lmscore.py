@@ -1,151 +1,169 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-N-grams of every document, once a document with their number, go to partitions by their hash; there the counts
-of the whole corpus are summed and joined to them, and go back to their documents, where the scores are summed.
+Documents are put into batches of bounded size. A batch's different n-grams (words and pairs of words, as 64-bit hashes)
+are a table of a row each with their number, partitioned by hash; summed over batches they are the count table of the
+whole corpus, which is joined back to the n-grams of the batches. There the scores of the words of each document are
+looked up and summed. A word that stands in every document is a row for each batch, not for each document.
+
 A document is scored by the counts of all others: its own are taken off, so that a text cannot vouch for itself.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.substrings import _M, _mix, _per_document
-from newsloom.llm.words import count_words
 from newsloom.operators.shared import materialize
 
 BACKOFF = 0.4
-#: N-grams that a partition is meant to hold; their number, not a partition's size, grows with the corpus.
-PER_BUCKET = 2_000_000
+#: Bytes of text that a batch is closed at; a longer text is a batch of its own. A task holds one batch.
+BATCH_BYTES = 16 << 20
+#: Stands among the hashes for the number of all words.
+ALL_WORDS = np.uint64(0)
 
 
 def grams(h: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of the runs of `order` words, of which h has the hashes."""
+    """Hashes of the runs of `order` words, of which h has the hashes. None is 0."""
     g = h.copy()
     for i in range(1, order):
         g = _mix((g[:-1] ^ np.uint64(i)) * _M + h[i:])
-    return g
+    return np.maximum(g, np.uint64(1))
+
+
+def _batched(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """docs (doc_id, text) -> batch, doc_id, text: neighbouring rows, until a batch has so many bytes. Written once, for both uses must agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        batch, held = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            which = np.empty(b.num_rows, np.int64)
+            for i, size in enumerate(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                if held and held + size > batch_bytes:
+                    batch, held = batch + 1, 0
+                held += size
+                which[i] = batch
+            yield pa.RecordBatch.from_arrays([pa.array(which), *b.columns], ["batch", "doc_id", "text"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    bare = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return materialize(bare.mapInArrow(run, f"batch long, doc_id {kind}, text binary"))
+
 
+def _all_grams(words: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(grams(h, order) for h in words for order in (1, 2) if len(h) >= order)])
 
-def _exploded(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """key, bucket, hashes (48 bits each; the bucket holds more of them), own (16 or more bits each), in order of hash."""
+
+def _exploded(batched: DataFrame) -> DataFrame:
+    """batch, gram, n: the different n-grams of each batch and how often they stand in it; ALL_WORDS counts its words."""
+
+    def rows(batch: int, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        g, n = np.unique(_all_grams(words), return_counts=True)
+        g, n = np.append(g, ALL_WORDS), np.append(n, sum(map(len, words)))
+        for a in range(0, len(g), 1 << 16):
+            some = g[a : a + (1 << 16)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch)), pa.array(some), pa.array(n[a : a + len(some)])], ["batch", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for b in batches:
-            rows, which = ([], [], []), []
-            for k, words in enumerate(_per_document(b.column(1).to_pylist())):
-                g, own = np.unique(grams(words, order), return_counts=True)
-                if not len(g):
-                    continue
-                bucket = ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                low = g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                wide = own.astype("<u2" if own.max() < 1 << 16 else "<u4")
-                n, size = wide.tobytes(), wide.itemsize
-                for a, z in zip(at.tolist(), [*at[1:].tolist(), len(g)]):
-                    rows[1].append(low[6 * a : 6 * z]), rows[2].append(n[size * a : size * z])
-                rows[0].append(bucket[at]), which.append(np.full(len(at), k))
-            if which:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.concatenate(which))), pa.array(np.concatenate(rows[0])), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
-                    ["key", "bucket", "hashes", "own"],
-                )
-
-    return docs.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, bucket int, hashes binary, own binary")
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition, sorted by bucket and key -> key, bucket, counts: of each n-gram in all other documents."""
-
-    def joined(ids: list, bucket: int, hashes: list[bytes], own: list[bytes]) -> pa.RecordBatch:
-        n = np.array([len(x) // 6 for x in hashes])
-        raw = np.zeros((int(n.sum()), 8), np.uint8)
-        raw[:, :6] = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 6)
-        mine = np.concatenate([np.frombuffer(o, "<u2" if len(o) == 2 * k else "<u4") for o, k in zip(own, n.tolist())]).astype(np.int64)
-        _, inverse = np.unique(raw.view("<u8").ravel(), return_inverse=True)
-        others = (np.bincount(inverse, mine).astype(np.int64)[inverse] - mine).astype("<u4")
-        ends = np.cumsum(n)
-        back = [others[a:z].tobytes() for a, z in zip((ends - n).tolist(), ends.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([bucket] * len(ids), pa.int32()), pa.array(back, pa.binary())], ["key", "bucket", "counts"])
-
-    held, now = ([], [], []), None
-    for b in batches:
-        for doc, bucket, h, o in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if bucket != now and held[0]:
-                yield joined(held[0], now, held[1], held[2])
-                held = ([], [], [])
-            now = bucket
-            if held[0] and held[0][-1] == doc:  # a repeated row
-                continue
-            held[0].append(doc), held[1].append(h), held[2].append(o)
-    if held[0]:
-        yield joined(held[0], now, held[1], held[2])
-
-
-def counts_elsewhere(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """docs (key, text) -> key, counts (bucket, counts): for each different n-gram of a document, in order of its
-    hash, how often it stands in all other documents."""
-    out = materialize(
-        _exploded(docs, order, buckets).repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_counts, "key long, bucket int, counts binary")
-    )
-    gc.collect()  # lets Spark's cleaner drop this phase's shuffle files before the next one writes its own
-    docs.sparkSession._jvm.System.gc()
-    return out.groupBy("key").agg(F.collect_list(F.struct("bucket", "counts")).alias("counts"))
-
-
-def _in_order(rows: list[dict] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(r["counts"] for r in sorted(rows or [], key=lambda r: r["bucket"])), "<u4")
-
-
-def log_score(words: np.ndarray, one: np.ndarray, two: np.ndarray, total: int, backoff: float = BACKOFF) -> float:
-    """Sum over the words of log S(word | word before), from counts of the document's different n-grams elsewhere.
-
-    S is c(v w) / c(v) where that pair is known, else backoff * c(w) / total; a word that is unknown too counts as
-    if it had been seen once. The first word has no word before it and is scored as in c(w) / total.
+            of = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+            for a, z in zip(edges, [*edges[1:], len(of)]):
+                if held and of[a] != now:
+                    yield from rows(now, held)
+                    held = []
+                now = int(of[a])
+                held += _per_document(b.column(1).slice(a, z - a).to_pylist())
+        if held:
+            yield from rows(now, held)
+
+    return batched.select("batch", "text").mapInArrow(run, "batch long, gram long, n long")
+
+
+def counts_elsewhere(batched: DataFrame) -> DataFrame:
+    """batch, gram, total: corpus counts of the batch's n-grams that other batches have too; what a batch lacks here is its own alone."""
+    mine = _exploded(batched).repartition("gram")  # one exchange, read for the sums and for the join
+    table = mine.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("batches")).where("batches > 1")
+    return materialize(mine.join(table.drop("batches"), "gram").select("batch", "gram", "total"))
+
+
+def log_score(words: np.ndarray, count, total: int, backoff: float = BACKOFF) -> float:
+    """Sum over the words of log S(word | word before); count(n-grams) gives the corpus counts, total counts all words.
+
+    The document's own counts are taken off. S is c(v w) / c(v) where that pair is known, else backoff * c(w) / total; a
+    word that is unknown too counts as if it had been seen once. The first word has no word before it: c(w) / total.
     """
-    _, place = np.unique(grams(words, 1), return_inverse=True)
-    c = np.maximum(one[place], 1).astype(np.float64)
-    alone = np.log(c / max(total, 1))
+
+    def elsewhere(order: int) -> np.ndarray:
+        g, place, own = np.unique(grams(words, order), return_inverse=True, return_counts=True)
+        return (count(g) - own)[place].astype(np.float64)
+
+    c = np.maximum(elsewhere(1), 1)
+    alone = np.log(c / max(total - len(words), 1))
     if len(words) == 1:
         return float(alone[0])
-    _, pair = np.unique(grams(words, 2), return_inverse=True)
-    both = two[pair].astype(np.float64)
+    both = elsewhere(2)
     with np.errstate(divide="ignore"):
         known = np.log(both) - np.log(c[:-1])
     return float(alone[0] + np.where(both > 0, known, math.log(backoff) + alone[1:]).sum())
 
 
-def lm_scores(docs: DataFrame, buckets: int | None = None, backoff: float = BACKOFF) -> DataFrame:
+def lm_scores(docs: DataFrame, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, log_score, mean_log_score: bigram stupid backoff over blank-separated words.
 
-    Null and empty texts have no words, log_score 0 and mean null. Rows that agree in doc_id and text are one document
-    (and get its score each); rows that share or lack a doc_id but differ in text are documents of their own. An empty
-    table gives an empty result.
+    Every row is a document of its own, so rows that repeat count like copies. Null and empty texts have no words,
+    log_score 0 and mean null; other columns are left out; an empty table gives an empty result.
     """
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    total = docs.agg(F.sum(count_words(F.col("text")))).first()[0] or 0
-    buckets = buckets or max(1, math.ceil(total / PER_BUCKET))
-    one = counts_elsewhere(keyed, 1, buckets).withColumnRenamed("counts", "one")
-    two = counts_elsewhere(keyed, 2, buckets).withColumnRenamed("counts", "two")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, s = [], []
-            for words, c1, c2 in zip(_per_document(b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                n.append(len(words))
-                s.append(log_score(words, _in_order(c1), _in_order(c2), total, backoff) if len(words) else 0.0)
-            mean = [x / k if k else None for x, k in zip(s, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score", "mean_log_score"])
-
-    both = keyed.withColumn("text", F.col("text").cast("binary")).join(one.join(two, "key", "left"), "key", "left")
-    return both.select("doc_id", "text", "one", "two").mapInArrow(run, "doc_id long, n_words long, log_score double, mean_log_score double")
+    batched = _batched(docs, batch_bytes)
+    counts = counts_elsewhere(batched)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        words = list(_per_document(texts["text"].to_pylist()))
+        g, n = np.unique(_all_grams(words), return_counts=True)
+        k, t = known["gram"].to_numpy().view(np.uint64), known["total"].to_numpy()
+        mine = np.isin(k, g)
+        n[np.searchsorted(g, k[mine])] = t[mine]
+        total = int(t[k == ALL_WORDS][0]) if (k == ALL_WORDS).any() else sum(map(len, words))
+        scores = [log_score(h, lambda x: n[np.searchsorted(g, x)], total, backoff) if len(h) else 0.0 for h in words]
+        return pa.table({
+            "doc_id": texts["doc_id"], "n_words": pa.array([len(h) for h in words], pa.int64()), "log_score": pa.array(scores, pa.float64()),
+            "mean_log_score": pa.array([s / len(h) if len(h) else None for s, h in zip(scores, words)], pa.float64()),
+        })
+
+    return batched.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
 
 
 def op6_lm_scores(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    s = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return s.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+p AS (SELECT k, i, w, lag(w) OVER (PARTITION BY k ORDER BY i) AS v FROM e),
+all_words AS (SELECT count(*) AS t FROM e),
+c1 AS (SELECT w, count(*) AS c FROM e GROUP BY w), o1 AS (SELECT k, w, count(*) AS c FROM e GROUP BY k, w),
+c2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), o2 AS (SELECT k, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY k, v, w),
+x AS (
+  SELECT p.k, p.i, CAST(greatest(cw.c - ow.c, 1) AS DOUBLE) AS cw, CAST(greatest(cv.c - ov.c, 1) AS DOUBLE) AS cv, coalesce(cvw.c - ovw.c, 0) AS cvw,
+         CAST(greatest((SELECT t FROM all_words) - len(d.w), 1) AS DOUBLE) AS total
+  FROM p JOIN d USING (k) JOIN c1 cw ON cw.w = p.w JOIN o1 ow ON ow.k = p.k AND ow.w = p.w
+  LEFT JOIN c1 cv ON cv.w = p.v LEFT JOIN o1 ov ON ov.k = p.k AND ov.w = p.v
+  LEFT JOIN c2 cvw ON cvw.v = p.v AND cvw.w = p.w LEFT JOIN o2 ovw ON ovw.k = p.k AND ovw.v = p.v AND ovw.w = p.w),
+s AS (
+  SELECT k, sum(CASE WHEN i = 1 THEN ln(cw / total) WHEN cvw > 0 THEN ln(CAST(cvw AS DOUBLE)) - ln(cv)
+                     ELSE ln(CAST(0.4 AS DOUBLE)) + ln(cw / total) END) AS s FROM x GROUP BY k)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s.s, CAST(0 AS DOUBLE)), 3) AS log_score, round(s.s / len(d.w), 6) AS mean_log_score
+FROM d LEFT JOIN s USING (k)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
 from newsloom.llm.licenses import op4_licenses
-from newsloom.llm.lmscore import op6_lm_scores
+from newsloom.llm.lmscore import OP6_SQL, op6_lm_scores
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
 from newsloom.llm.neighbours import op2_nearest
 from newsloom.llm.pii import OP7_SQL, op7_pii
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_lm_scores": OP6_SQL,
     "op7_pii": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_mix_sources": OP9_SQL,

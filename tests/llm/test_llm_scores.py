@@ -168,30 +168,35 @@ def test_toxicity_of_held_out_rows_of_a_small_table(spark):
 
 
 def brute_scores(docs, backoff=0.4):
-    kinds = {x: (x[1] or "").split() for x in set(docs)}
+    texts = [(t or "").split() for _, t in docs]
     one, two = Counter(), Counter()
-    for w in kinds.values():
+    for w in texts:
         one.update(w), two.update(zip(w, w[1:]))
-    total = sum(len((t or "").split()) for _, t in docs)
     out = []
-    for x in docs:
-        w = kinds[x]
-        mine, ours = Counter(w), Counter(zip(w, w[1:]))
+    for (d, _), w in zip(docs, texts):
+        mine, ours, total = Counter(w), Counter(zip(w, w[1:])), max(sum(map(len, texts)) - len(w), 1)
         c = lambda v: max(one[v] - mine[v], 1)  # noqa: E731, B023
         s = math.log(c(w[0]) / total) if w else 0.0
         for p in zip(w, w[1:]):
             n = two[p] - ours[p]
             s += math.log(n / c(p[0])) if n else math.log(backoff * c(p[1]) / total)
-        out.append((x[0], len(w), s))
+        out.append((d, len(w), s))
     return out
 
 
-def test_language_model_scores(spark):
+@pytest.mark.parametrize("batch_bytes", [lmscore.BATCH_BYTES, 3000])
+def test_language_model_scores(spark, batch_bytes):
+    """Batches of all rows, and of so few that words stand in many; repeated rows count like copies."""
     rng = random.Random(6)
     docs = [(i, " ".join(rng.choice(["aa", "bb", "cc", "Été", "d" * 80, "e"]) for _ in range(rng.choice([0, 1, 2, 50, 4000])))) for i in range(40)]
     docs += [(100, None), (101, ""), (102, "unknown words only"), (3, docs[3][1]), (4, "another aa bb"), (None, "aa bb cc")]
-    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, key int, counts int")
-    for buckets in (None, 7):
-        got = sorted((r.doc_id or -1, r.n_words, round(r.log_score, 6)) for r in lmscore.lm_scores(df, buckets=buckets).collect())
-        assert got == sorted((d or -1, n, round(s, 6)) for d, n, s in brute_scores(docs))
-    assert lmscore.lm_scores(df.where("false")).count() == 0
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, batch int, gram int")
+    got = sorted((r.doc_id or -1, r.n_words, round(r.log_score, 6)) for r in lmscore.lm_scores(df, batch_bytes=batch_bytes).collect())
+    assert got == sorted((d or -1, n, round(s, 6)) for d, n, s in brute_scores(docs))
+    assert all((r.mean_log_score is None) == (r.n_words == 0) for r in lmscore.lm_scores(df).collect())
+
+
+def test_language_model_scores_of_odd_tables(spark):
+    assert lmscore.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    one = lmscore.lm_scores(spark.createDataFrame([("a", "x y x")], "doc_id string, text string")).first()
+    assert (one.doc_id, one.n_words, round(one.log_score, 6)) == ("a", 3, round(2 * math.log(0.4), 6))
