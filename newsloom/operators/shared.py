@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """While this lasts, Spark removes a write's shuffle files as soon as the write has ended."""
     before = spark.conf.get(_FREES_SHUFFLES, "false")
     spark.conf.set(_FREES_SHUFFLES, "true")
@@ -52,7 +52,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark)
-    with _shuffles_freed(spark):
+    with shuffles_freed(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
