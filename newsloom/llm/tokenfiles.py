@@ -12,7 +12,7 @@ The format is a Parquet table, which any store that Spark can write will hold, o
   samples           for every 256th boundary the place of its bit in `high`, as unsigned 32-bit
 
 Boundaries are the running ends of the documents. They take about 2 + log2(n_tokens / n_docs)
-bits each; select() finds one by its sample and a scan of at most the next 256 ones.
+bits each; select() finds one by its sample and a scan of at most the next 256 ones, fetch() uses it to read single documents.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.shared import shared_folder
+from newsloom.operators.shared import new_path, shuffles_freed
 
 END_ID = 2
 SAMPLE = 256
 #: A block is closed once it holds so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
-#: Different words remembered by a worker. Beyond, the memory is emptied and begun anew.
-REMEMBERED = 1_000_000
+#: Different words remembered by a worker, of about 250 bytes each. Beyond, only those met more than once since stay.
+REMEMBERED = 150_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which begins pieces like 's
 
 BLOCK_SCHEMA = (
@@ -110,12 +110,26 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of a word, where the vocabulary marks them
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
+        self.places = _Places()
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.size, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
+        """Keep the words met more than once since this was last called, half of what is remembered at most."""
+        n = len(self.places)
+        often = self.met[:n] > 1
+        if often.sum() > self.remembered // 2:
+            often = self.met[:n] > max(1, int(np.partition(self.met[:n], n - self.remembered // 2)[n - self.remembered // 2]))
+        words, old = [w for w, x in zip(self.places, often.tolist()) if x], (self.flat, self.start[:n][often], self.size[:n][often])
         self.places = _Places()
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.places.update(zip(words, range(len(words))))
+        flat, start, size = old
+        ends = np.cumsum(size)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.flat = np.empty(max(1 << 16, 2 * self.used), np.uint32)
+        self.flat[: self.used] = flat[np.arange(self.used) + np.repeat(start - (ends - size), size)]
+        self.start, self.size, self.met = (np.zeros(max(1 << 14, 2 * len(words)), np.int64) for _ in range(3))
+        self.start[: len(words)], self.size[: len(words)] = ends - size, size
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each has."""
@@ -135,7 +149,7 @@ class WordEncoder:
 
     def _learn(self) -> None:
         """Encode the pending words. Letters, or letters and then punctuation, are one or two pieces; others go alone."""
-        words, self.places.pending = [w.decode() for w in self.places.pending], []
+        words, self.places.pending = [w.decode(errors="replace") for w in self.places.pending], []
         pieces = np.zeros(len(words), np.int64)
         if self.closes.any():
             for i, w in enumerate(words):
@@ -144,7 +158,7 @@ class WordEncoder:
                     pieces[i] = 1 if head == w else 2
         first = len(self.places) - len(words)
         if len(self.places) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty(len(self.places), np.int64)]) for x in (self.start, self.size))
+            self.start, self.size, self.met = (np.concatenate([x, np.zeros(len(self.places), np.int64)]) for x in (self.start, self.size, self.met))
         for which, ids_of in ((pieces > 0, lambda ws: self._plain_ids(ws, pieces[pieces > 0])), (pieces == 0, self._ids)):
             if not which.any():
                 continue
@@ -163,6 +177,7 @@ class WordEncoder:
         places = [np.fromiter(map(self.places.__getitem__, ws), np.int64, len(ws)) for ws in words]
         if self.places.pending:
             self._learn()
+        self.met += np.bincount(np.concatenate(places), minlength=len(self.met)) if places else 0
         for k in places:
             size = self.size[k]
             ends = np.cumsum(size)
@@ -200,8 +215,7 @@ def _blocks(path: str, end_id: int, block_ids: int, kind: str):
                 ("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(b.column(0).type)), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()),
                 ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()),
             ])
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            some = (ids for i in range(0, len(texts), 64) for ids in encoder.encode(texts[i : i + 64]))
+            some = (ids for i in range(0, b.num_rows, 64) for ids in encoder.encode([t or b"" for t in b.column(1).slice(i, 64).to_pylist()]))
             for doc, ids in zip(b.column(0).to_pylist(), some):
                 ids = np.append(ids, np.uint32(end_id))
                 if held and held + len(ids) > block_ids:
@@ -220,7 +234,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = E
 
     The sort is by ranges, so no task holds more than its share and one block. Null text is an
     empty document: the end id alone. Documents without doc_id come first; rows that repeat a
-    doc_id stay, side by side; an empty table writes a table without blocks.
+    doc_id stay, side by side; bytes that are no UTF-8 are read as U+FFFD; an empty table writes a table without blocks.
     """
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -228,44 +242,68 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = E
     ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids, kind), BLOCK_SCHEMA.format(kind=kind)).write.parquet(out)
 
 
+def _starts(files: DataFrame) -> DataFrame:
+    """shard, block, before: ids in all blocks before. One task sees a row a shard, not a row a block."""
+    inner = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("shard_before"))
+    blocks = files.select("shard", "block", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("block_before"))
+    return blocks.join(shards, "shard").select("shard", "block", (F.col("shard_before") + F.col("block_before")).alias("before"))
+
+
 def read_documents(files: DataFrame, digest: bool = False) -> DataFrame:
     """Blocks -> doc_id, start, n_tokens and ids (or, with digest, ids_crc32): one row for each document.
 
-    start counts the ids of all documents before; it is summed over a table of one row a block.
+    start counts the ids of all documents before.
     """
     kind = dict(files.dtypes)["doc_ids"][6:-1]
-    order = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = files.select("shard", "block", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):  # a block is some megabytes: one at a time
+                r = b.slice(k, 1).to_pylist()[0]
                 ids = np.frombuffer(r["ids"], f"<u{r['id_bytes']}").astype("<u4")
                 ends = decode_boundaries(r["n_docs"], r["low_bits"], r["low"], r["high"])
                 starts = np.concatenate(([0], ends[:-1]))
                 each = [ids[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
                 n = len(each)
-                what = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array([x.tolist() for x in each], pa.list_(pa.int64()))
+                what = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array(each, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(r["doc_ids"], b.schema.field("doc_ids").type.value_type), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), what],
                     ["shard", "block", "doc_id", "at", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
     last = "ids_crc32 long" if digest else "ids array<long>"
-    # A block is a megabyte or more: a few to an Arrow batch.
     rows = files.select("shard", "block", "doc_ids", "n_docs", "id_bytes", "ids", "low_bits", "low", "high").mapInArrow(
         run, f"shard int, block int, doc_id {kind}, at long, n_tokens long, {last}"
     )
-    return rows.join(before, ["shard", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", last.split()[0])
+    return rows.join(_starts(files), ["shard", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", last.split()[0])
+
+
+def fetch(files: DataFrame, wanted: list) -> DataFrame:
+    """doc_id, ids of the wanted documents only: their boundaries are selected, no others are decoded. Unknown ids have no row."""
+    kind = dict(files.dtypes)["doc_ids"][6:-1]
+    known = set(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                ids, ef = np.frombuffer(r["ids"], f"<u{r['id_bytes']}"), (r["low_bits"], r["low"], r["high"], r["samples"])
+                at = [i for i, d in enumerate(r["doc_ids"]) if d in known]
+                found = [ids[select(i - 1, *ef) if i else 0 : select(i, *ef)].astype(np.int64) for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_ids"][i] for i in at], b.schema.field("doc_ids").type.value_type), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    holding = files.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(w) for w in wanted]).cast(f"array<{kind}>")))
+    return holding.select("doc_ids", "id_bytes", "ids", "low_bits", "low", "high", "samples").mapInArrow(run, f"doc_id {kind}, ids array<long>")
 
 
 def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write docs' token files into the shared folder and describe every document as read back from them."""
-    import uuid
-
     spark = docs.sparkSession
-    out = f"{shared_folder(spark).rstrip('/')}/newsloom/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, out, tokenizer)
+    out = new_path(spark, "tokens")
+    with shuffles_freed(spark):
+        write_token_files(docs, out, tokenizer)
     return read_documents(spark.read.parquet(out), digest=True)
 
 
