@@ -152,24 +152,19 @@ def _models(sample: DataFrame) -> list[Model] | None:
     return models
 
 
-def _mean_ratios(docs: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
-    """keep..., text -> keep..., x: mean log ratio over the words of the whole text; without words 0.
+def _mean_ratio(spark, models: list[Model]):
+    """(text, number of a model) -> mean log ratio over the words of the whole text; without words 0. Only these two columns go to Python."""
+    shared = spark.sparkContext.broadcast(models)  # bounded: they come from at most 2 * MAX_ROWS rows
 
-    With several models the last column of keep tells which to use.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded: they come from at most 2 * MAX_ROWS rows
-    src = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            which = b.column(len(keep) - 1).to_pylist() if len(models) > 1 else [0] * len(texts)
-            xs = [models[k].mean(_WORD.findall(t.lower())) for t, k in zip(texts, which)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(xs, pa.float64())], [*keep, "x"])
+    def run(texts: pa.Array, which: pa.Array) -> pa.Array:
+        models, out = shared.value, []
+        for a in range(0, len(texts), 256):
+            for t, k in zip(texts.slice(a, 256).to_pylist(), which.slice(a, 256).to_pylist()):
+                out.append(models[k].mean(_WORD.findall((t or b"").lower())))
+        return pa.array(out, pa.float64())
 
-    kinds = dict(src.dtypes)
-    return src.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "x double"]))
+    udf = F.arrow_udf(run, "double")
+    return lambda text, which: udf(text.cast("binary"), which)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, float]:
@@ -199,16 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     models = _models(sample)
     if models is None:
         return Model({})
-    xy = _mean_ratios(sample, models[:FOLDS], ["toxic", "fold"]).toPandas()
+    xy = sample.select("toxic", _mean_ratio(sample.sparkSession, models[:FOLDS])(F.col("text"), F.col("fold")).alias("x")).toPandas()
     fitted = models[FOLDS]
     fitted.slope, fitted.middle = _curve(xy.x.to_numpy(), xy.toxic.to_numpy(), THRESHOLD)
     return fitted
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep..., score for every row of docs (text): whole texts; null and empty texts score as a mean of 0."""
-    x = F.lit(model.slope) * (F.col("x") - F.lit(model.middle))
-    return _mean_ratios(docs, [model], keep).select(*keep, (F.lit(1.0) / (F.lit(1.0) + F.exp(-x))).alias("score"))
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs and the score of each row's text: whole texts; null and empty texts score as a mean of 0."""
+    x = F.lit(model.slope) * (_mean_ratio(docs.sparkSession, [model])(F.col("text"), F.lit(0)) - F.lit(model.middle))
+    return docs.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
 
 
 def held_out(doc_id):
@@ -222,16 +217,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     Labels of held-out ids are not looked at. Repeated rows score alike; an empty table gives an empty result.
     """
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), max_rows)
-    return score(docs, model, ["doc_id"]).select(
+    return scored(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs, in their columns, without those that score threshold or more."""
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    d = docs.withColumnsRenamed(names).withColumn("text", F.col(names["text"]))
-    return score(d, model, list(names.values())).where(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in names.items()])
+    name = "score" + "_" * max(map(len, docs.columns))
+    return scored(docs, model, name).where(F.col(name) < threshold).drop(name)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
