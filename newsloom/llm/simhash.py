@@ -40,16 +40,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, fp (the 64 bits as a signed long). Null text is empty text: fp 0."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, further columns to keep, fp (the 64 bits as a signed long). Null text is empty text: fp 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+    def run(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(a, 256).to_pylist() for a in range(0, len(texts), 256))
+        return pa.array(np.array([fingerprint(t) for part in parts for t in part], np.uint64).view(np.int64))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", *keep, F.arrow_udf(run, "long")(F.col("text").cast("binary")).alias("fp"))
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -141,6 +139,15 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None
     return tiled.mapInArrow(_tile_links(distance), "a long, b long")
 
 
+def _components(prints: DataFrame, distance: int, blocks: int | None, tile: int) -> DataFrame:
+    """(doc_id, fp) -> fp, component (a fingerprint), component_id: the smallest doc_id of the fingerprints reachable over links."""
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = connected_components(links(classes.select("fp"), distance, blocks, tile))
+    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return named.select("fp", "component").join(smallest, "component")
+
+
 def simhash_components(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, component_id: one row for each row of docs.
 
@@ -150,20 +157,24 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, blocks: int |
     whole component has none; repeated rows stay; an empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected_components(links(classes.select("fp"), distance, blocks, tile))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_components(prints, distance, blocks, tile), "fp").select("doc_id", "fp", "component_id")
+
 
+def near_dedup(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
+    """docs, in their columns, with one row of each group of near copies; rows without doc_id all stay.
 
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each component, that of the component's smallest doc_id; rows without doc_id all stay."""
+    Groups are of rows: of two rows that share a doc_id but not their text each belongs to its own text's group. The row
+    of the smallest doc_id stays; of several such rows the one with the smallest hash over all columns that can be hashed.
+    """
     named = docs.where("doc_id IS NOT NULL")
-    keep = simhash_components(named, **how).where("doc_id = component_id").select("doc_id").distinct()
-    one = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    name = "row" + "_" * max(map(len, docs.columns))
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    prints = materialize(fingerprints(named.withColumn(name, row), name))
+    group = _components(prints.select("doc_id", "fp"), distance, blocks, tile)
+    first = prints.join(group, "fp").groupBy("component").agg(F.min(F.struct("doc_id", name)).alias("x"))
+    keep = first.select(F.col("x.doc_id").alias("doc_id"), F.col(f"x.{name}").alias(name))
+    one = named.withColumn(name, row).join(keep, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return one.select([F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.where("doc_id IS NULL"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

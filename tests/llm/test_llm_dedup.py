@@ -145,3 +145,14 @@ def test_simhash_of_odd_tables(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.simhash_components(df).collect())
     assert got == [(-1, -1), (2, 2), (2, 2), (3, 2), (9, 9)]
     assert sorted(r.doc_id or -1 for r in simhash.near_dedup(df).collect()) == [-1, 2, 9]
+
+
+def test_near_dedup_keeps_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(5, a, "x"), (5, b, "x"), (6, a, "x"), (5, a, "x"), (7, b, None), (8, None, "y")], "doc_id long, text string, row string")
+    got = simhash.near_dedup(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.text == a) for r in got.collect()) == [(5, False), (5, True), (8, False)]
+    twice = spark.createDataFrame([(5, a, "x"), (5, a, "y")], df.schema)
+    kept = [r.row for _ in range(2) for r in simhash.near_dedup(twice.repartition(2 + _)).collect()]
+    assert len(kept) == 2 and kept[0] == kept[1]
+    assert simhash.near_dedup(df.where("false")).count() == 0
