@@ -19,7 +19,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     the whole size. No target passes cap * source_size; the excess goes to the others by
     weight until none is above. That fixed point is target = least(cap * size, level * weight)
     and the level follows from prefix sums over sources sorted by cap * size / weight, so no
-    loop is needed. One row a source: the two unpartitioned windows see only that table.
+    loop is needed. The two unpartitioned windows see one row a source, some 50 bytes each: a million sources are 50 MB.
     """
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = sizes.withColumn("turn", turn).withColumn(
@@ -49,13 +49,13 @@ def offset(source, seed: str = "mix"):
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
     """docs (source, doc_id, size in words) -> all its columns plus source_size, target, copies.
 
-    Within a source, documents stand in order of size, then doc_id; each expects
+    Within a source, documents stand in order of size, then doc_id, then a hash of the row; each expects
     target / source_size copies, a document is emitted once for every integer that the running
     sum of these passes after one random offset is added. Sorting by size makes the taken words,
     not just the copies, follow the target.
 
     The running sum needs each row's rank in its source. Rows are range-partitioned by
-    (source, size, doc_id), so a source with a third of all rows spreads over many tasks; ranks
+    (source, size, doc_id, hash), so a source with a third of all rows spreads over many tasks; ranks
     are the row's place in its partition plus the rows of its source in earlier partitions,
     taken from a table of one row for each partition and source. The partitioned rows are
     written once, since their places must not change between the two uses.
@@ -65,11 +65,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     columns of docs named like the new ones are replaced; an empty table gives an empty result.
     """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # whatever columns come, ours cannot clash
+    tie = F.xxhash64(*[F.col(names[f.name]) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
     place = (
         docs.withColumnsRenamed(names)
-        .withColumns({"source": F.col(names["source"]), "size": F.col(names["size"]), "id": F.col(names["doc_id"])})
-        .repartitionByRange(F.col("source").asc_nulls_last(), "size", "id")
-        .sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "id")
+        .withColumns({"source": F.col(names["source"]), "size": F.col(names["size"]), "id": F.col(names["doc_id"]), "tie": tie})
+        .repartitionByRange(F.col("source").asc_nulls_last(), "size", "id", "tie")
+        .sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "id", "tie")
         .withColumn("at", F.monotonically_increasing_id())
         .withColumn("part", F.shiftright("at", _ROW_BITS))
     )

@@ -151,6 +151,13 @@ def test_mix(spark):
     assert mixing.mix_sources(sized.where("false")).count() == 0
 
 
+def test_mix_of_repeated_ids_agrees_on_reruns(spark):
+    rows = [(i % 3, f"{'abcdefgh'[i % 8]} {i % 5}", "s", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more int")
+    runs = [sorted(map(tuple, mixing.mix_documents(df.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 60
+
+
 def test_boundaries():
     rng = np.random.default_rng(1)
     for n, top in ((1, 1), (1, 10**9), (300, 2), (1000, 5000), (700, 1)):
@@ -181,6 +188,20 @@ def test_token_files_round_trip(spark, tmp_path):
     digest = {r.start: r.ids_crc32 for r in tokenfiles.token_table(df, path).collect()}
     assert digest == {r.start: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got}
     assert tokenfiles.token_table(df.where("false"), path).count() == 0
+    some = tokenfiles.fetch(spark.read.parquet(str(tmp_path / "t")), [0, 41, 79, 202, 999]).collect()
+    assert sorted((r.doc_id, r.ids) for r in some) == sorted((d, ids) for d, _, ids in want if d in (0, 41, 79, 202))
+
+
+def test_words_are_forgotten_and_learnt_again():
+    path, rng = tokenfiles.default_tokenizer(), random.Random(5)
+    vocabulary = [f"w{i}" if i % 3 else f"word-{i}." for i in range(900)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice([20, 900])]) for _ in range(120)).encode() for _ in range(90)] + [b"", b"bad \xff bytes"]
+    whole, small = tokenfiles.WordEncoder(path), tokenfiles.WordEncoder(path, remembered=100)
+    for i in range(0, len(texts), 8):
+        for a, b, text in zip(whole.encode(texts[i : i + 8]), small.encode(texts[i : i + 8]), texts[i : i + 8]):
+            want = whole.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids
+            assert a.tolist() == b.tolist() == want
+    assert len(small.places) < 500 < len(whole.places)
 
 
 def test_digests(spark, tmp_path):
