@@ -58,16 +58,25 @@ def _batched(docs: DataFrame, batch_bytes: int) -> DataFrame:
     return materialize(bare.mapInArrow(run, f"batch long, doc_id {kind}, text binary"))
 
 
-def _all_grams(words: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.uint64), *(grams(h, order) for h in words for order in (1, 2) if len(h) >= order)])
+def _positions(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a batch, text after text, and the number of the text of each."""
+    words = list(_per_document(texts))
+    return np.concatenate([np.empty(0, np.uint64), *words]), np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+
+def _all_grams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The batch's n-grams, all words and then all pairs of words of one text, and the place of each one's last word."""
+    second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    return np.concatenate([grams(h, 1), grams(h, 2)[second - 1]]), np.concatenate([np.arange(len(h)), second])
 
 
 def _exploded(batched: DataFrame) -> DataFrame:
     """batch, gram, n: the different n-grams of each batch and how often they stand in it; ALL_WORDS counts its words."""
 
-    def rows(batch: int, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g, n = np.unique(_all_grams(words), return_counts=True)
-        g, n = np.append(g, ALL_WORDS), np.append(n, sum(map(len, words)))
+    def rows(batch: int, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
+        h, doc = _positions(texts)
+        g, n = np.unique(_all_grams(h, doc)[0], return_counts=True)
+        g, n = np.append(g, ALL_WORDS), np.append(n, len(h))
         for a in range(0, len(g), 1 << 16):
             some = g[a : a + (1 << 16)].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch)), pa.array(some), pa.array(n[a : a + len(some)])], ["batch", "gram", "n"])
@@ -82,7 +91,7 @@ def _exploded(batched: DataFrame) -> DataFrame:
                     yield from rows(now, held)
                     held = []
                 now = int(of[a])
-                held += _per_document(b.column(1).slice(a, z - a).to_pylist())
+                held += b.column(1).slice(a, z - a).to_pylist()
         if held:
             yield from rows(now, held)
 
@@ -91,30 +100,43 @@ def _exploded(batched: DataFrame) -> DataFrame:
 
 def counts_elsewhere(batched: DataFrame) -> DataFrame:
     """batch, gram, total: corpus counts of the batch's n-grams that other batches have too; what a batch lacks here is its own alone."""
-    mine = _exploded(batched).repartition("gram")  # one exchange, read for the sums and for the join
-    table = mine.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("batches")).where("batches > 1")
-    return materialize(mine.join(table.drop("batches"), "gram").select("batch", "gram", "total"))
+    mine = _exploded(batched).repartition("gram")
+    # All columns are used on either side, so that the exchange is the same and made once.
+    table = mine.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("rows")).where("rows > 1")
+    return materialize(mine.join(table.drop("rows"), "gram").where("total > n").select("batch", "gram", "total"))
 
 
-def log_score(words: np.ndarray, count, total: int, backoff: float = BACKOFF) -> float:
-    """Sum over the words of log S(word | word before); count(n-grams) gives the corpus counts, total counts all words.
+def log_scores(texts: list[bytes | None], known: np.ndarray, totals: np.ndarray, backoff: float = BACKOFF) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text of a batch, and the sum over them of log S(word | word before).
 
-    The document's own counts are taken off. S is c(v w) / c(v) where that pair is known, else backoff * c(w) / total; a
-    word that is unknown too counts as if it had been seen once. The first word has no word before it: c(w) / total.
+    known and totals are what counts_elsewhere has of the batch. The document's own counts are taken off. S is
+    c(v w) / c(v) where that pair is known, else backoff * c(w) / total; a word that is unknown too counts as if it had
+    been seen once. The first word has no word before it: c(w) / total.
     """
-
-    def elsewhere(order: int) -> np.ndarray:
-        g, place, own = np.unique(grams(words, order), return_inverse=True, return_counts=True)
-        return (count(g) - own)[place].astype(np.float64)
-
-    c = np.maximum(elsewhere(1), 1)
-    alone = np.log(c / max(total - len(words), 1))
-    if len(words) == 1:
-        return float(alone[0])
-    both = elsewhere(2)
+    h, doc = _positions(texts)
+    words = np.bincount(doc, minlength=len(texts))
+    if not len(h):
+        return words, np.zeros(len(texts))
+    g, last = _all_grams(h, doc)
+    order = np.argsort(g, kind="stable")  # equal n-grams stay in order of their texts
+    g, of = g[order], doc[last][order]
+    differs = np.append(True, g[1:] != g[:-1])
+    starts = np.flatnonzero(differs)
+    count = np.diff(np.append(starts, len(g)))
+    own = np.diff(np.append(np.flatnonzero(differs | np.append(True, of[1:] != of[:-1])), len(g)))  # in the document itself
+    by_hash = np.argsort(known)
+    known, totals = known[by_hash], totals[by_hash]
+    whole = int(totals[0]) if len(known) and known[0] == ALL_WORDS else len(h)
+    known, totals = known[known != ALL_WORDS], totals[known != ALL_WORDS]
+    count[np.searchsorted(g[starts], known)] = totals
+    others = np.empty(len(g))
+    others[order] = count[np.cumsum(differs) - 1] - np.repeat(own, own)
+    c, both = np.maximum(others[: len(h)], 1), others[len(h) :]
+    s = np.log(c / np.maximum(whole - words, 1)[doc])
+    at = last[len(h) :]
     with np.errstate(divide="ignore"):
-        known = np.log(both) - np.log(c[:-1])
-    return float(alone[0] + np.where(both > 0, known, math.log(backoff) + alone[1:]).sum())
+        s[at] = np.where(both > 0, np.log(both) - np.log(c[at - 1]), math.log(backoff) + s[at])
+    return words, np.bincount(doc, s, minlength=len(texts))
 
 
 def lm_scores(docs: DataFrame, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -128,17 +150,9 @@ def lm_scores(docs: DataFrame, backoff: float = BACKOFF, batch_bytes: int = BATC
     kind = dict(docs.dtypes)["doc_id"]
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words = list(_per_document(texts["text"].to_pylist()))
-        g, n = np.unique(_all_grams(words), return_counts=True)
-        k, t = known["gram"].to_numpy().view(np.uint64), known["total"].to_numpy()
-        mine = np.isin(k, g)
-        n[np.searchsorted(g, k[mine])] = t[mine]
-        total = int(t[k == ALL_WORDS][0]) if (k == ALL_WORDS).any() else sum(map(len, words))
-        scores = [log_score(h, lambda x: n[np.searchsorted(g, x)], total, backoff) if len(h) else 0.0 for h in words]
-        return pa.table({
-            "doc_id": texts["doc_id"], "n_words": pa.array([len(h) for h in words], pa.int64()), "log_score": pa.array(scores, pa.float64()),
-            "mean_log_score": pa.array([s / len(h) if len(h) else None for s, h in zip(scores, words)], pa.float64()),
-        })
+        n, s = log_scores(texts["text"].to_pylist(), known["gram"].to_numpy().view(np.uint64), known["total"].to_numpy(), backoff)
+        mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
+        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n, pa.int64()), "log_score": pa.array(s, pa.float64()), "mean_log_score": mean})
 
     return batched.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
 

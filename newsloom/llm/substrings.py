@@ -22,7 +22,6 @@ from newsloom.operators.shared import materialize
 MIN_WORDS = 20
 SEED = 6
 _M = np.uint64(0x9E3779B97F4A7C15)
-_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -32,25 +31,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_MAX_WORD = 64
-_POWERS = np.cumprod(np.full(_MAX_WORD, _M, np.uint64))
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words up to so many bytes are hashed eight bytes at a time, longer ones each on its own.
+_LONG = 64
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all blank-separated words of all texts, and how many words each text has."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    first = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    end = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
-    if not len(first):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    sizes = end - first
-    letters = np.flatnonzero(~blank)
-    place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    values = _TABLE[buf[letters]] * _POWERS[place % _MAX_WORD]
-    if sizes.max() > _MAX_WORD:  # parts of long words by their own hash of place
-        values = np.where(place >= _MAX_WORD, _mix(values + _mix(place.astype(np.uint64))), values)
-    h = _mix(np.add.reduceat(values, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+    raw = b" ".join(texts) + b" " * 9
+    blank = _BLANK[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edges = edges if blank[0] else np.append(0, edges)
+    first, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from every byte on
+    h = _mix((eight[first] & _LOW_BYTES[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * _M))
+    more, at = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+    while len(more):
+        h[more] = _mix(h[more] * _M + (eight[first[more] + at] & _LOW_BYTES[np.minimum(sizes[more] - at, 8)]))
+        at += 8
+        more = more[sizes[more] > at]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : first[i] + sizes[i]], digest_size=8).digest(), "little")
     text_ends = np.cumsum([len(t) + 1 for t in texts])
     return h, np.diff(np.searchsorted(first, text_ends), prepend=0)
 
