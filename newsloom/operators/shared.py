@@ -53,7 +53,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     with shuffles_freed(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
