@@ -24,7 +24,7 @@ from newsloom.operators.shared import materialize
 
 BACKOFF = 0.4
 #: Bytes of text that a batch is closed at; a longer text is a batch of its own. A task holds one batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 #: Stands among the hashes for the number of all words.
 ALL_WORDS = np.uint64(0)
 
@@ -61,13 +61,13 @@ def _batched(docs: DataFrame, batch_bytes: int) -> DataFrame:
 def _positions(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch, text after text, and the number of the text of each."""
     words = list(_per_document(texts))
-    return np.concatenate([np.empty(0, np.uint64), *words]), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return np.concatenate([np.empty(0, np.uint64), *words]), np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
 
 
 def _all_grams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The batch's n-grams, all words and then all pairs of words of one text, and the place of each one's last word."""
-    second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    return np.concatenate([grams(h, 1), grams(h, 2)[second - 1]]), np.concatenate([np.arange(len(h)), second])
+    second = (np.flatnonzero(doc[1:] == doc[:-1]) + 1).astype(np.int32)
+    return np.concatenate([grams(h, 1), grams(h, 2)[second - 1]]), np.concatenate([np.arange(len(h), dtype=np.int32), second])
 
 
 def _exploded(batched: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def _exploded(batched: DataFrame) -> DataFrame:
 
 def counts_elsewhere(batched: DataFrame) -> DataFrame:
     """batch, gram, total: corpus counts of the batch's n-grams that other batches have too; what a batch lacks here is its own alone."""
-    mine = _exploded(batched).repartition("gram")
-    # All columns are used on either side, so that the exchange is the same and made once.
+    # The same columns and filters on either side of the join: so the exchange is the same, and made once.
+    mine = _exploded(batched).where("gram IS NOT NULL AND n IS NOT NULL").repartition("gram")
     table = mine.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("rows")).where("rows > 1")
     return materialize(mine.join(table.drop("rows"), "gram").where("total > n").select("batch", "gram", "total"))
 
@@ -130,7 +130,8 @@ def log_scores(texts: list[bytes | None], known: np.ndarray, totals: np.ndarray,
     known, totals = known[known != ALL_WORDS], totals[known != ALL_WORDS]
     count[np.searchsorted(g[starts], known)] = totals
     others = np.empty(len(g))
-    others[order] = count[np.cumsum(differs) - 1] - np.repeat(own, own)
+    others[order] = np.repeat(count, np.diff(np.append(starts, len(g)))) - np.repeat(own, own)
+    del g, of, order, differs
     c, both = np.maximum(others[: len(h)], 1), others[len(h) :]
     s = np.log(c / np.maximum(whole - words, 1)[doc])
     at = last[len(h) :]
