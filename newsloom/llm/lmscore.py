@@ -10,6 +10,7 @@ A document is scored by the counts of all others: its own are taken off, so that
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from newsloom.operators.shared import materialize
 BACKOFF = 0.4
 #: Bytes of text that a batch is closed at; a longer text is a batch of its own. A task holds one batch.
 BATCH_BYTES = 10 << 20
+#: Batches are scored in so many parts, one after the other, and the shuffle files of one are gone before the next begins.
+PARTS = 2
 #: Stands among the hashes for the number of all words.
 ALL_WORDS = np.uint64(0)
 
@@ -71,7 +74,10 @@ def _all_grams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _exploded(batched: DataFrame) -> DataFrame:
-    """batch, gram, n: the different n-grams of each batch and how often they stand in it; ALL_WORDS counts its words."""
+    """batch, n, gram: the different n-grams of each batch and how often they stand in it; ALL_WORDS counts its words.
+
+    In order of gram, and that last: what neighbouring rows have alike is then in one piece, which makes small shuffle files.
+    """
 
     def rows(batch: int, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
         h, doc = _positions(texts)
@@ -79,7 +85,7 @@ def _exploded(batched: DataFrame) -> DataFrame:
         g, n = np.append(g, ALL_WORDS), np.append(n, len(h))
         for a in range(0, len(g), 1 << 16):
             some = g[a : a + (1 << 16)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch)), pa.array(some), pa.array(n[a : a + len(some)])], ["batch", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch)), pa.array(n[a : a + len(some)]), pa.array(some)], ["batch", "n", "gram"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -95,15 +101,15 @@ def _exploded(batched: DataFrame) -> DataFrame:
         if held:
             yield from rows(now, held)
 
-    return batched.select("batch", "text").mapInArrow(run, "batch long, gram long, n long")
+    return batched.select("batch", "text").mapInArrow(run, "batch long, n long, gram long")
 
 
 def counts_elsewhere(batched: DataFrame) -> DataFrame:
-    """batch, gram, total: corpus counts of the batch's n-grams that other batches have too; what a batch lacks here is its own alone."""
+    """batch, total, gram: corpus counts of the batch's n-grams that other batches have too; what a batch lacks here is its own alone."""
     # The same columns and filters on either side of the join: so the exchange is the same, and made once.
     mine = _exploded(batched).where("gram IS NOT NULL AND n IS NOT NULL").repartition("gram")
     table = mine.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("rows")).where("rows > 1")
-    return materialize(mine.join(table.drop("rows"), "gram").where("total > n").select("batch", "gram", "total"))
+    return materialize(mine.join(table.drop("rows"), "gram").where("total > n").select("batch", "total", "gram"))
 
 
 def log_scores(texts: list[bytes | None], known: np.ndarray, totals: np.ndarray, backoff: float = BACKOFF) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +161,11 @@ def lm_scores(docs: DataFrame, backoff: float = BACKOFF, batch_bytes: int = BATC
         mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n, pa.int64()), "log_score": pa.array(s, pa.float64()), "mean_log_score": mean})
 
-    return batched.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
+    def part(i: int) -> DataFrame:
+        texts, known = (x.where(F.pmod(F.xxhash64("batch"), F.lit(PARTS)) == i).groupBy("batch") for x in (batched, counts))
+        return materialize(texts.cogroup(known).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double"))
+
+    return functools.reduce(DataFrame.unionAll, [part(i) for i in range(PARTS)])
 
 
 def op6_lm_scores(spark, sf_dir: str) -> DataFrame:
