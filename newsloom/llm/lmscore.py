@@ -25,8 +25,8 @@ from newsloom.operators.shared import materialize
 
 BACKOFF = 0.4
 #: Bytes of text that a batch is closed at; a longer text is a batch of its own. A task holds one batch.
-BATCH_BYTES = 5 << 20
-#: Batches are scored in so many parts, one after the other, and the shuffle files of one are gone before the next begins.
+BATCH_BYTES = 4 << 20
+#: N-grams are counted, and batches scored, in so many parts, one after the other; the shuffle files of one are gone before the next begins.
 PARTS = 2
 #: Stands among the hashes for the number of all words.
 ALL_WORDS = np.uint64(0)
@@ -73,13 +73,15 @@ def _all_grams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([grams(h, 1), grams(h, 2)[second - 1]]), np.concatenate([np.arange(len(h), dtype=np.int32), second])
 
 
-def _exploded(batched: DataFrame) -> DataFrame:
-    """batch, gram, n: the different n-grams of each batch and how often they stand in it; ALL_WORDS counts its words."""
+def _exploded(batched: DataFrame, part: int) -> DataFrame:
+    """batch, gram, n: the different n-grams, of one part, of each batch and how often they stand in it; ALL_WORDS counts its words."""
 
     def rows(batch: int, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
         h, doc = _positions(texts)
-        g, n = np.unique(_all_grams(h, doc)[0], return_counts=True)
-        g, n = np.append(g, ALL_WORDS), np.append(n, len(h))
+        g = _all_grams(h, doc)[0]
+        g, n = np.unique(g[g % np.uint64(PARTS) == part], return_counts=True)
+        if ALL_WORDS % PARTS == part:
+            g, n = np.append(g, ALL_WORDS), np.append(n, len(h))
         for a in range(0, len(g), 1 << 16):
             some = g[a : a + (1 << 16)].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch)), pa.array(some), pa.array(n[a : a + len(some)])], ["batch", "gram", "n"])
@@ -103,10 +105,12 @@ def _exploded(batched: DataFrame) -> DataFrame:
 
 def counts_elsewhere(batched: DataFrame) -> DataFrame:
     """batch, gram, total: corpus counts of the batch's n-grams that other batches have too; what a batch lacks here is its own alone."""
-    # The same columns and filters on either side of the join: so the exchange is the same, and made once.
-    mine = _exploded(batched).where("gram IS NOT NULL AND n IS NOT NULL").repartition("gram")
-    table = mine.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("rows")).where("rows > 1")
-    return materialize(mine.join(table.drop("rows"), "gram").where("total > n").select("batch", "gram", "total"))
+    def part(i: int) -> DataFrame:  # the same columns and filters on either side of the join: so the exchange is the same, and made once
+        mine = _exploded(batched, i).where("gram IS NOT NULL AND n IS NOT NULL").repartition("gram")
+        table = mine.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("rows")).where("rows > 1")
+        return materialize(mine.join(table.drop("rows"), "gram").where("total > n").select("batch", "gram", "total"))
+
+    return functools.reduce(DataFrame.unionAll, [part(i) for i in range(PARTS)])
 
 
 def log_scores(texts: list[bytes | None], known: np.ndarray, totals: np.ndarray, backoff: float = BACKOFF) -> tuple[np.ndarray, np.ndarray]:
