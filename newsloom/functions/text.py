@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -36,6 +37,11 @@ def strip_marks(x: Column) -> Column:
     return F.translate(x, *_fold_map())
 
 
+def trim_space(x: Column) -> Column:
+    """Without blanks of any kind, line ends and no-break ones too, at either end."""
+    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize_title(x: Column) -> Column:
     """Lower case, no accents, other characters than a-z, 0-9 as blanks. A d with stroke is such a character."""
     bare = F.regexp_replace(strip_marks(F.lower(x)), rf"(?:(?!{SPACE})[^a-z0-9])", " ")
@@ -48,6 +54,13 @@ def normalize_search(x: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
+def fold(given: str) -> str:
+    """normalize_search of a constant, on the driver."""
+    src, dst = _fold_map()
+    table = {ord(c): dst[i] if i < len(dst) else None for i, c in enumerate(src)} | {ord("đ"): "d"}
+    return re.sub("[^a-z0-9]+", " ", given.lower().translate(table)).strip(" ")
+
+
 def slugify(x: Column) -> Column:
     """N05, the validating variant."""
     bare = F.translate(strip_marks(F.lower(x)), "đ", "d")
@@ -103,7 +116,8 @@ def decode_entities(x: pd.Series) -> pd.Series:
 
 def clean_text(x: Column) -> Column:
     """Decode entities, drop scripts, styles and tags, collapse blanks."""
-    t = decode_entities(F.coalesce(x, F.lit("")))
+    given = F.coalesce(x, F.lit(""))
+    t = F.when(F.contains(given, F.lit("&")), decode_entities(F.when(F.contains(given, F.lit("&")), given))).otherwise(given)
     for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<[^>]+>"):
         t = F.regexp_replace(t, pattern, " ")
     return F.trim(F.regexp_replace(t, f"{SPACE}+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions import scoring
+from newsloom.functions import dates, scoring
 from newsloom.functions.text import tokens
 from newsloom.operators.clustering import story_clusters
 from newsloom.operators.dedupe import last_wins
@@ -13,17 +13,25 @@ from newsloom.operators.ranking import with_rank
 from newsloom.sources.articles import NOW, age_hours
 
 
+# Fixed value: the category of articles that come without one.
+CATEGORY = "Bóng đá"
+
+
 def news_items(articles: DataFrame, now: str = NOW) -> DataFrame:
-    """articles (seq, title, excerpt, url, published, language, source, reliability, official) -> news items with cluster_pos."""
-    a = articles.withColumn("tok", tokens(F.col("title")))
+    """articles (seq, title, excerpt, url, published, language, source, reliability, official) -> news items with cluster_pos.
+
+    articles may have category and translated; without them all are of CATEGORY and none is translated.
+    """
+    defaults = {"category": F.lit(CATEGORY), "translated": F.lit(False)}
+    a = articles.withColumns({c: x for c, x in defaults.items() if c not in articles.columns}).withColumn("tok", tokens(F.col("title")))
     c = story_clusters(a)
-    imp = scoring.importance(F.col("title"), F.lit("Bóng đá"))
+    imp = scoring.importance(F.col("title"), F.col("category"))
     m = a.join(c, "seq").withColumn("imp", imp)
     own = Window.partitionBy("cluster")
     # The last article of a source stands for it, at the place of its first.
     s = m.withColumn("src_n", F.row_number().over(Window.partitionBy("cluster", "source").orderBy(F.desc("pos"))))
     s = s.withColumn("src_first", F.min("pos").over(Window.partitionBy("cluster", "source")))
-    s = s.withColumn("lead_n", F.row_number().over(own.orderBy(F.desc("published"), F.desc("reliability"), "pos")))
+    s = s.withColumn("lead_n", F.row_number().over(own.orderBy(F.desc("translated"), F.desc("published"), F.desc("reliability"), "pos")))
     detail = F.struct("pos", F.col("source").alias("name"), "url", "reliability", "language")
     g = s.groupBy("cluster").agg(
         F.count_if(F.col("src_n") == 1).cast("double").alias("n"),
@@ -32,7 +40,7 @@ def news_items(articles: DataFrame, now: str = NOW) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("src_n") == 1, F.struct("src_first", "source")))).alias("srcs"),
         F.array_sort(F.collect_list(detail)).alias("details"),
         F.array_sort(F.collect_list(F.when(F.col("lead_n") > 1, F.struct("pos", "title")))).alias("others"),
-        F.max(F.when(F.col("lead_n") == 1, F.struct("seq", "title", "excerpt", "url", "published", "language"))).alias("lead"),
+        F.max(F.when(F.col("lead_n") == 1, F.struct("seq", "title", "excerpt", "url", "published", "language", "category", "translated"))).alias("lead"),
         F.max("published").alias("newest"),
     )
     age = age_hours(F.col("lead.published"), now)
@@ -42,15 +50,16 @@ def news_items(articles: DataFrame, now: str = NOW) -> DataFrame:
     hot = scoring.hotness(F.col("age"), F.col("n"), F.col("rel"), F.col("imp"), scoring.velocity(F.col("n"), F.col("age")), F.col("imp"), verified)
     rel = scoring.reliability(F.col("rel"), F.col("n"), F.col("official"), scoring.speculative(F.col("lead.title"), F.col("lead.excerpt")))
     points = F.slice(F.concat(F.array("lead.excerpt"), F.slice(F.transform("others", lambda o: o["title"]), 1, 2)), 1, 3)
+    place = F.when(english, "Bóng đá quốc tế").otherwise("Thể thao Việt Nam")
     tone = F.element_at(F.array(*[F.lit(t) for t in scoring.TONES]), (F.col("cluster_pos") % 5 + 1).cast("int"))
     return g.select(
         F.col("lead.seq").alias("seq"), F.concat(F.lit("rss-"), F.col("lead.seq").cast("string")).alias("id"), F.col("lead.title").alias("title"),
         F.left("lead.excerpt", F.lit(420)).alias("summary"), F.transform(points, lambda p: F.left(p, F.lit(190))).alias("key_points"),
-        F.when(english, "Bóng đá · Quốc tế").otherwise("Bóng đá · Việt Nam").alias("category"),
-        F.when(english, "Bóng đá quốc tế").otherwise("Thể thao Việt Nam").alias("competition"),
-        F.col("lead.published").alias("published"), hot.alias("hotness"), rel.alias("reliability"),
+        F.concat(F.lit("rss-"), F.col("lead.seq").cast("string")).alias("slug"), F.concat("lead.category", F.when(english, " · Quốc tế").otherwise(" · Việt Nam")).alias("category"),
+        place.alias("competition"), place.alias("team"), dates.distance(F.col("lead.published"), F.lit(now).cast("timestamp")).alias("published_ago"),
+        dates.iso(F.col("lead.published")).alias("published_timestamp"), F.col("lead.published").alias("published"), hot.alias("hotness"), rel.alias("reliability"),
         F.transform("srcs", lambda x: x["source"]).alias("sources"), F.transform("details", lambda x: x.dropFields("pos")).alias("source_details"),
-        F.col("lead.url").alias("original_url"), F.col("lead.language").alias("original_language"),
+        F.col("lead.url").alias("original_url"), F.col("lead.language").alias("original_language"), F.col("lead.translated").alias("translated"),
         scoring.trending_reasons(F.col("n"), F.col("age"), F.col("imp")).alias("trending_reasons"), tone.alias("image_tone"),
         (F.col("cluster_pos") < 2).alias("featured"), F.col("cluster_pos").cast("int").alias("cluster_pos"),
     )

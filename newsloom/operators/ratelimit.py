@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 def fold(times: np.ndarray, window: int, state: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int]]:
     """Counts within their windows for ascending times, and the state after them: where the window ends, and its count."""
+    if times.dtype.kind != "i":
+        raise TypeError("times are whole microseconds")
     counts = np.empty(len(times), np.int64)
     reset, n = state if state else (-(1 << 62), 0)
     at = 0

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import normalize_search
+from newsloom.functions.text import fold, normalize_search
+from newsloom.operators.ranking import with_rank
 
 # Stems of transfer news, in folded text.
 TRANSFER = "(chuyen nhuong|thuong vu|transfer|sign(?:s|ed|ing)?|deal|loan|gia nhap|dam phan|hop dong)"
@@ -24,7 +25,12 @@ def filter_items(items: DataFrame, query: str = "", competition: str = "", team:
         items = items.where(F.col("team") == team)
     if min_hotness:
         items = items.where(F.col("hotness") >= min_hotness)
-    return items.where(F.contains(search_text(), normalize_search(F.lit(query)))) if query else items
+    return items.where(F.contains(search_text(), F.lit(fold(query)))) if query else items
+
+
+def long_enough(query: str, least: int = 2) -> bool:
+    """whether a folded query is worth a search; a page shows nothing for shorter ones."""
+    return len(fold(query)) >= least
 
 
 def source_class(kind: str) -> Column:
@@ -43,9 +49,11 @@ def is_transfer() -> Column:
 
 
 def mentions(terms: list[str], least: int = 0) -> Column:
-    """How many of the terms an item's text holds; terms shorter than `least` do not count."""
-    folded = F.filter(F.transform(F.array(*[F.lit(t) for t in terms]), normalize_search), lambda t: F.length(t) >= least)
-    return F.size(F.filter(folded, lambda t: F.contains(F.col("search_text"), t)))
+    """How many of the terms an item's search_text holds; terms shorter than `least` do not count, the empty one is in every text."""
+    folded = [t for t in map(fold, terms) if len(t) >= least]
+    # One pass over one value: as an argument of a lambda the text is computed once, however many terms there are.
+    held = lambda text: sum((F.contains(text, F.lit(t)).cast("int") for t in folded), F.lit(0))
+    return F.get(F.transform(F.array("search_text"), held), F.lit(0))
 
 
 def related(items: DataFrame, terms: list[str], exclude: str | None = None, limit: int = 5) -> DataFrame:
@@ -64,16 +72,16 @@ def personalized(items: DataFrame, followed: list[str]) -> DataFrame:
 
 
 def paginate(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """Rows of one page, with page and total_pages; the page is held between 1 and the last.
+    """Rows of one page, with page and total_pages; the page is held between 1 and the last. Rows that tie in `order` may change places.
 
-    The sort is one of ranges: Spark keeps the first rows of each task and only these meet.
+    Places come from with_rank: no task sees more than its range of the sort, however far the page is. df's own columns
+    page and total_pages are replaced.
     """
-    n = df.count()
-    pages = max(1, -(-n // size))
+    ranked = with_rank(df, order, "_place")
+    pages = max(1, -(-ranked.count() // size))
     page = min(max(1, page), pages)
-    ahead = df.orderBy(*order).limit(page * size)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return ahead.withColumn("n", rank).where(F.col("n") > (page - 1) * size).drop("n").withColumns({"page": F.lit(page), "total_pages": F.lit(pages)})
+    here = F.col("_place").between((page - 1) * size, page * size - 1)
+    return ranked.where(here).drop("_place").withColumns({"page": F.lit(page), "total_pages": F.lit(pages)}).orderBy(*order)
 
 
 def page_strip(spark, page: int, total: int) -> DataFrame:

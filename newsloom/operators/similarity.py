@@ -1,34 +1,60 @@
-"""Pairs of articles that tell the same story: equi-joins on shared tokens, counted and filtered."""
+"""Pairs of articles that tell the same story, by joins on the rarest tokens of either."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_tokens(df: DataFrame, hours: int) -> DataFrame:
-    """df (seq, published, tok) -> a, b, na, nb, shared for pairs a < b that share a token within so many hours.
+def _rare_first(df: DataFrame) -> DataFrame:
+    """df (seq, published, tok) -> seq, published, tok in order of how many articles have a token, rarest first, n."""
+    t = df.select("seq", F.explode("tok").alias("w"))
+    counts = t.groupBy("w").agg(F.count("*").alias("articles"))
+    ranked = t.join(counts, "w").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("articles", "w"))), lambda x: x["w"]).alias("tok"))
+    return df.select("seq", "published").join(ranked, "seq").withColumn("n", F.size("tok"))
+
 
-    The time bound stands in the join, so that pairs of a frequent token that are far apart are
-    never made. It also gives a second key: days from a fixed one, in steps of `hours`; a pair
-    lies in the same step or in neighbouring ones.
+def _met(df: DataFrame, hours: int, left: Callable[[Column], Column], right: Callable[[Column], Column], one_way: Column) -> DataFrame:
+    """Pairs within so many hours that share one of the first left(n) tokens of a and the first right(n) of b: a, b, na, nb, shared.
+
+    Times also give a key: days from a fixed one, in steps of `hours`; a pair lies in the same step or in neighbouring
+    ones. Both stand in the join, so pairs that are far apart are never made. shared is counted on the whole token sets.
     """
     step = F.floor(F.unix_seconds(F.col("published").cast("timestamp")) / (hours * 3600)).cast("long")
-    t = df.select("seq", "published", step.alias("step"), F.size("tok").alias("n"), F.explode("tok").alias("w"))
-    left = t.select(F.col("seq").alias("a"), F.col("published").alias("pa"), F.col("n").alias("na"), "w", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    right = t.select(F.col("seq").alias("b"), F.col("published").alias("pb"), F.col("n").alias("nb"), F.col("w").alias("w2"), F.col("step").alias("step2"))
+    t = _rare_first(df).withColumn("step", step)
+    a = t.select(
+        F.col("seq").alias("a"), F.col("published").alias("pa"), F.col("n").alias("na"), F.col("tok").alias("ta"),
+        F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step_a"), F.slice("tok", 1, F.greatest(F.lit(0), left(F.col("n")))).alias("some"),
+    ).withColumn("wa", F.explode("some")).drop("some")
+    b = t.select(
+        F.col("seq").alias("b"), F.col("published").alias("pb"), F.col("n").alias("nb"), F.col("tok").alias("tb"), F.col("step").alias("step_b"),
+        F.explode(F.slice("tok", 1, F.greatest(F.lit(0), right(F.col("n"))))).alias("wb"),
+    )
     gap = F.abs(F.unix_seconds(F.col("pa").cast("timestamp")) - F.unix_seconds(F.col("pb").cast("timestamp")))
-    met = left.join(right, (F.col("w") == F.col("w2")) & (F.col("step") == F.col("step2")) & (F.col("a") < F.col("b")) & (gap <= hours * 3600))
-    return met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared"))
+    met = a.join(b, (F.col("wa") == F.col("wb")) & (F.col("step_a") == F.col("step_b")) & one_way & (gap <= hours * 3600))
+    return met.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
+
+
+def _needed(n: Column, share: float, least: int = 1) -> Column:
+    return F.greatest(F.lit(least), F.ceil(n * share - 1e-9)).cast("int")
 
 
 def same_story(df: DataFrame, hours: int = 72, least: int = 3, overlap: float = 0.52) -> DataFrame:
-    """A, b, shared."""
-    p = shared_tokens(df, hours)
-    return p.where((F.col("shared") >= least) & (F.col("shared") / F.greatest(F.lit(1), F.least("na", "nb")) >= overlap)).select("a", "b", "shared")
+    """Df (seq, published, tok: different tokens) -> a, b, shared, with a < b.
+
+    The smaller set must share t = max(least, overlap * n) tokens, so at least one of its n - t + 1 rarest: these meet all
+    tokens of sets that are not smaller. Rows without a time or tokens have no pairs; seq is unique.
+    """
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    p = _met(df, hours, lambda n: n - _needed(n, overlap, least) + 1, lambda n: n, smaller)
+    p = p.where((F.col("shared") >= least) & (F.col("shared") / F.greatest(F.lit(1), F.least("na", "nb")) >= overlap))
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
 
 
 def likely_duplicates(df: DataFrame, hours: int = 48, least: float = 0.55) -> DataFrame:
-    """A, b, shared."""
-    p = shared_tokens(df, hours)
-    return p.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= least).select("a", "b", "shared")
+    """A, b, shared, with a < b. Either set shares at least `least` of its own n tokens, so one of its n - least * n + 1 rarest."""
+    rarest = lambda n: n - _needed(n, least) + 1
+    p = _met(df, hours, rarest, rarest, F.col("a") < F.col("b"))
+    return p.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= least).select("a", "b", "shared").distinct()

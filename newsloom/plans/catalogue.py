@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import news, sports
+from newsloom.plans import news, sports, views
 
-QUERIES = news.QUERIES | sports.QUERIES
-ORACLES = news.ORACLES | sports.ORACLES
+QUERIES = news.QUERIES | sports.QUERIES | views.QUERIES
+ORACLES = news.ORACLES | sports.ORACLES | views.ORACLES

@@ -98,10 +98,13 @@ def grouped_by_competition(spark, d):
 o_orderdate, o_orderkey FROM orders)
 SELECT o_custkey, coalesce(string_agg(r, '' ORDER BY o_orderdate, o_orderkey) FILTER (WHERE n <= 5 AND r <> 'X'), '') AS form FROM o GROUP BY o_custkey""")
 def form_last5(spark, d):
+    from pyspark.sql import Window
+
     r = F.when(F.col("o_orderstatus") == "F", "W").when(F.col("o_orderstatus") == "O", "D").otherwise("X")
-    o = read(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey", r.alias("r")).alias("x"))
+    newest = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    o = read(spark, d, "orders").withColumn("place", newest).where("place <= 5").select("o_custkey", F.struct("o_orderdate", "o_orderkey", r.alias("r")).alias("x"))
     form = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), "")
-    return o.groupBy("o_custkey").agg(form.alias("all")).select("o_custkey", F.array_join(sports.form_of_letters(F.col("all")), "").alias("form"))
+    return o.groupBy("o_custkey").agg(form.alias("last")).select("o_custkey", F.array_join(sports.form_of_letters(F.col("last")), "").alias("form"))
 
 
 @query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) AS position, (row_number() OVER (ORDER BY n_nationkey) * 7) % 30 + 1 AS shirt FROM nation")

@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 FEED_CONFIG = "name string, url string, reliability int, language string, official boolean"
-RSS_ITEM = (
-    "title string, link string, guid string, description string, summary string, content string, pubDate string, published string, updated string, "
-    "category array<string>"
-)
 EXTERNAL_ARTICLE = "externalId string, url string, title string, excerpt string, author string, imageUrl string, publishedAt string"
-MATCH = "id string, competition string, home string, away string, home_score int, away_score int, start_time string, status string, minute int, venue string"
+MATCH = "id string, competition string, home string, away string, home_score int, away_score int, start_time string, status string, minute int, venue string, start string"
 STANDING = "position int, team string, played int, won int, drawn int, lost int, goal_difference int, points int, form array<string>"
 TEAM = "id string, name string, short_name string, slug string, country string, venue string"
 
@@ -26,8 +22,9 @@ DATA_STANDINGS = (
     "lost:int,goalDifference:int,points:int,form:string>>>>"
 )
 
-# The allowed words of the warehouse's status columns.
-ENUMS = {
-    "match_status": ("scheduled", "live", "halftime", "finished", "postponed", "cancelled"),
-    "job_status": ("pending", "processing", "completed", "failed"),
-}
+API_STANDINGS = (
+    "response array<struct<league:struct<standings:array<array<struct<rank:int,team:struct<name:string>,points:int,goalsDiff:int,form:string,"
+    "all:struct<played:int,win:int,draw:int,lose:int>>>>>>>"
+)
+API_TEAMS = "response array<struct<team:struct<id:long,name:string,code:string,country:string>,venue:struct<name:string>>>"
+DATA_TEAMS = "teams array<struct<id:long,name:string,shortName:string,tla:string,area:struct<name:string>,venue:string>>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable
 
@@ -27,21 +28,28 @@ DEFAULT_FEEDS = (
     ("ESPN Soccer", "https://www.espn.com/espn/rss/soccer/news", 90, "en", False),
     ("Sky Sports Football", "https://www.skysports.com/rss/12040", 90, "en", False),
 )
-NO_EXCERPT, NO_CATEGORY = "Xem chi tiết tại nguồn gốc.", "Bóng đá"
+# What stands for what an item lacks, and the names of feeds given as a list.
+NO_EXCERPT, NO_CATEGORY, PATTERN_EXCERPT = "Đọc nội dung đầy đủ tại nguồn gốc.", "Thể thao", "Trích đoạn ngắn từ RSS."
+CUSTOM_NAME = "Nguồn tùy chỉnh "
 PER_FEED, RELIABILITY, LANGUAGE = 16, 85, "vi"
 
 
 def feed_registry(spark: SparkSession, config: str | None = None) -> DataFrame:
-    """Feeds of a JSON array, else of a list with commas, else the built-in ones; only valid ones."""
-    if not (config or "").strip():
+    """Feeds of a JSON array, else (also where it is broken) of a list with commas, else the built-in ones; only valid ones."""
+    config = (config or "").strip()
+    if not config:
         return spark.createDataFrame([list(f) for f in DEFAULT_FEEDS], schemas.FEED_CONFIG)
     one = spark.createDataFrame([(config,)], "config string")
-    if config.lstrip().startswith("["):
-        feeds = one.select(F.inline(F.from_json("config", f"array<struct<{','.join(':'.join(c.split()) for c in schemas.FEED_CONFIG.split(', '))}>>")))
-        feeds = feeds.withColumn("official", F.coalesce("official", F.lit(False)))
-        return feeds.where((F.length(F.trim("name")) > 0) & F.col("url").startswith("https://") & F.col("language").isin("vi", "en"))
-    urls = one.select(F.posexplode(F.split("config", ",")).alias("n", "url")).select("n", F.trim("url").alias("url")).where(F.col("url").startswith("https://"))
-    return urls.select(F.try_parse_url("url", F.lit("HOST")).alias("name"), "url", F.lit(RELIABILITY).alias("reliability"), F.lit(LANGUAGE).alias("language"), F.lit(False).alias("official"))
+    kinds = f"array<struct<{','.join(':'.join(c.split()) for c in schemas.FEED_CONFIG.split(', '))}>>"
+    try:
+        if not isinstance(json.loads(config), list):
+            raise TypeError("feeds are a JSON array")
+        feeds = one.select(F.inline(F.from_json("config", kinds))).withColumn("official", F.coalesce("official", F.lit(False)))
+        return feeds.where((F.length("name") > 0) & F.col("url").startswith("https://") & F.col("language").isin("vi", "en"))
+    except json.JSONDecodeError:
+        urls = one.select(F.posexplode(F.split("config", ",")).alias("n", "url")).select("n", text.trim_space(F.col("url")).alias("url"))
+        name = F.concat(F.lit(CUSTOM_NAME), (F.col("n") + 1).cast("string"))
+        return urls.where(F.col("url").startswith("https://")).select(name.alias("name"), "url", F.lit(RELIABILITY).alias("reliability"), F.lit(LANGUAGE).alias("language"), F.lit(False).alias("official"))
 
 
 def _fields(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -55,43 +63,62 @@ def _fields(spark: SparkSession, path: str, tag: str) -> DataFrame:
     )
 
 
-def rss_items(spark: SparkSession, path: str, now: Column, vietnamese: Column | None = None, per_feed: int = PER_FEED) -> DataFrame:
-    """Raw articles of all feeds landed under path, the first `per_feed` valid ones of each file.
+def rss_items(spark: SparkSession, path: str, now: Column, feeds: DataFrame | None = None, per_feed: int = PER_FEED) -> DataFrame:
+    """Raw articles of all feeds landed under path: the first `per_feed` items of each file, of these the valid ones.
 
-    A file is a feed. Rows without title, without a link to http(s), or whose time cannot be read, are dropped.
+    A file is a feed. feeds has (file: the end of the landed file's path, name, url, reliability, language, official); a
+    file that it lacks has null there and no Vietnamese times. A link is its address, else its text, else the feed's own
+    address. Rows without title, without a link to http(s), or whose time cannot be read, are dropped.
     """
     both = _fields(spark, path, "item").withColumn("kind", F.lit(0)).unionByName(_fields(spark, path, "entry").withColumn("kind", F.lit(1)))
-    numbered = both.withColumn("at", F.monotonically_increasing_id())
-    first = F.get("link", F.lit(0))
-    url = F.coalesce(F.nullif(first["#text"], F.lit("")), first["@_href"], F.col("guid.`#text`"), F.col("id"))
-    excerpt = F.left(text.clean_text(F.coalesce("description", "summary", "content")), F.lit(520))
-    when = normalize_timestamp(F.coalesce("pubDate", "published", "updated"), now, F.lit(True) if vietnamese is None else vietnamese)
     place = F.row_number().over(Window.partitionBy("file").orderBy("kind", "at"))
-    raw = numbered.withColumn("pos", place).where(F.col("pos") <= per_feed).select(
-        "file", "pos", text.clean_text(F.col("title")).alias("title"), F.trim(url).alias("url"), F.coalesce(F.nullif(excerpt, F.lit("")), F.lit(NO_EXCERPT)).alias("excerpt"),
+    first = both.withColumn("at", F.monotonically_increasing_id()).withColumn("pos", place).where(F.col("pos") <= per_feed)
+    feeds = feeds if feeds is not None else spark.createDataFrame([], f"file string, {schemas.FEED_CONFIG}")
+    known = feeds.select(F.col("file").alias("f_file"), F.col("name").alias("source"), F.col("url").alias("feed_url"), "reliability", "language", F.coalesce("official", F.lit(False)).alias("official"))
+    first = first.join(F.broadcast(known), F.col("file").endswith(F.col("f_file")), "left")  # a registry of feeds is a small list
+    link = F.get("link", F.lit(0))
+    excerpt = F.left(text.clean_text(F.col("description")), F.lit(520))
+    when = normalize_timestamp(F.coalesce("pubDate", "published", "updated"), now, F.coalesce(F.col("language") == "vi", F.lit(False)))
+    raw = first.select(
+        "file", "pos", text.clean_text(F.col("title")).alias("title"), F.coalesce(link["@_href"], link["#text"], "feed_url").alias("url"),
+        F.coalesce(F.nullif(excerpt, F.lit("")), F.lit(NO_EXCERPT)).alias("excerpt"), F.col("guid.`#text`").alias("guid"),
         F.coalesce(F.nullif(text.clean_text(F.get("category", F.lit(0))), F.lit("")), F.lit(NO_CATEGORY)).alias("category"), when.alias("published"),
+        "source", "reliability", "language", "official", F.lit(False).alias("translated"),
     )
-    return raw.where((F.length("title") > 0) & F.col("url").startswith("http") & F.col("published").isNotNull())
+    valid = raw.where((F.length("title") > 0) & F.col("url").startswith("http") & F.col("published").isNotNull())
+    return valid.withColumn("id", text.content_hash(F.col("title"), F.coalesce("guid", "url"))).drop("guid")
 
 
 def json_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON arrays of external articles."""
-    return spark.read.schema(schemas.EXTERNAL_ARTICLE).option("multiLine", True).json(path)
+    """Landed JSON arrays of external articles. A file that holds anything but an array is an error when it is read."""
+    landed = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    checked = F.when(F.col("v").rlike(r"^\s*\["), F.col("v")).otherwise(F.raise_error(F.lit("a JSON source must hold an array")))
+    return landed.select(F.inline(F.from_json(checked, f"array<struct<{','.join(':'.join(c.split()) for c in schemas.EXTERNAL_ARTICLE.split(', '))}>>")))
 
 
 def pattern_articles(landed: DataFrame, limit: int = 30) -> DataFrame:
-    """(url, xml) -> titles in CDATA and links by pattern, the first `limit`, external_id = place-url."""
-    pattern = r"(?s)<item>.*?<title><!\[CDATA\[(.*?)\]\]></title>.*?<link>(.*?)</link>"
+    """(url, xml) -> items with a title in CDATA and a link on one line, by pattern: the first `limit`, external_id = place-link."""
+    pattern = r"(?s)<item>.*?<title><!\[CDATA\[(.*?)\]\]></title>.*?<link>([^\n\r\u2028\u2029]*?)</link>.*?</item>"
     both = F.slice(F.arrays_zip(F.regexp_extract_all("xml", F.lit(pattern), F.lit(1)).alias("title"), F.regexp_extract_all("xml", F.lit(pattern), F.lit(2)).alias("link")), 1, limit)
     rows = landed.select(F.posexplode(both).alias("n", "x"))
-    return rows.select(F.concat_ws("-", F.col("n").cast("string"), "x.link").alias("external_id"), F.col("x.title").alias("title"), F.col("x.link").alias("url"))
+    return rows.select(
+        F.concat_ws("-", F.col("n").cast("string"), "x.link").alias("external_id"), text.trim_space(F.col("x.title")).alias("title"),
+        text.trim_space(F.col("x.link")).alias("url"), F.lit(PATTERN_EXCERPT).alias("excerpt"),
+    )
+
+
+def mock_articles(items: DataFrame, now: Column, limit: int = 5, site: str = "https://example.com/demo/") -> DataFrame:
+    """The first items (seq, id, slug, title, summary) as external articles; a report of five by its nature."""
+    return items.orderBy("seq").limit(limit).select(
+        F.col("id").alias("externalId"), F.concat(F.lit(site), "slug").alias("url"), "title", F.col("summary").alias("excerpt"), now.alias("publishedAt")
+    )
 
 
 def normalized(articles: DataFrame, source_id: str) -> DataFrame:
     """P03."""
     return articles.withColumns({
-        "hash": text.content_hash(F.col("title"), F.col("url")), "title": F.regexp_replace(F.trim("title"), r"\s+", " "),
-        "excerpt": F.left(F.trim("excerpt"), F.lit(500)), "source_id": F.lit(source_id), "language": F.lit("vi"),
+        "hash": text.content_hash(F.col("title"), F.col("url")), "title": F.regexp_replace(text.trim_space(F.col("title")), f"{text.SPACE}+", " "),
+        "excerpt": F.left(text.trim_space(F.col("excerpt")), F.lit(500)), "source_id": F.lit(source_id), "language": F.lit("vi"),
     })
 
 

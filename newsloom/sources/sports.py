@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import schemas
-from newsloom.functions import scoring, text
+from newsloom.functions import dates, scoring, text
+
+
+# What stands for a venue, the leagues and competitions asked for, days before and after today.
+NO_VENUE = "Chưa công bố"
+LEAGUES = (39, 2, 140, 135)
+COMPETITIONS = ("PL", "CL", "PD", "SA", "BL1", "FL1", "DED", "PPL", "BSA", "ELC", "WC")
+WINDOW_DAYS = (-1, 7)
 
 
 def last_five(form: Column) -> Column:
@@ -30,7 +37,7 @@ def team_name(team: Column, default: str = "Chưa xác định") -> Column:
 
 def short_name(team: Column) -> Column:
     """P08."""
-    return F.coalesce(team["tla"], team["shortName"], F.upper(F.left(team["name"], F.lit(3))))
+    return F.coalesce(team["tla"], team["shortName"], F.upper(F.left(team_name(team), F.lit(3))))
 
 
 def api_matches(spark: SparkSession, path: str, leagues: list[int] | None = None) -> DataFrame:
@@ -41,7 +48,8 @@ def api_matches(spark: SparkSession, path: str, leagues: list[int] | None = None
     return r.select(
         F.col("fixture.id").cast("string").alias("id"), F.col("league.name").alias("competition"), F.col("teams.home.name").alias("home"), F.col("teams.away.name").alias("away"),
         F.col("goals.home").alias("home_score"), F.col("goals.away").alias("away_score"), F.col("fixture.date").alias("start_time"),
-        scoring.match_status(F.col("fixture.status.short")).alias("status"), F.col("fixture.status.elapsed").alias("minute"), F.coalesce("fixture.venue.name", F.lit("")).alias("venue"),
+        scoring.match_status(F.col("fixture.status.short")).alias("status"), F.col("fixture.status.elapsed").alias("minute"), F.coalesce("fixture.venue.name", F.lit(NO_VENUE)).alias("venue"),
+        dates.clock(F.col("fixture.date").try_cast("timestamp")).alias("start"),
     )
 
 
@@ -52,7 +60,8 @@ def data_matches(spark: SparkSession, path: str) -> DataFrame:
     return m.select(
         F.col("id").cast("string").alias("id"), F.col("competition.name").alias("competition"), team_name(F.col("homeTeam")).alias("home"), team_name(F.col("awayTeam")).alias("away"),
         F.coalesce(score["home"], score["homeTeam"]).alias("home_score"), F.coalesce(score["away"], score["awayTeam"]).alias("away_score"), F.col("utcDate").alias("start_time"),
-        scoring.match_status_text(F.col("status")).alias("status"), "minute", F.coalesce("venue", F.lit("")).alias("venue"),
+        scoring.match_status_text(F.col("status")).alias("status"), "minute", F.coalesce("venue", F.lit(NO_VENUE)).alias("venue"),
+        dates.day_and_clock(F.col("utcDate").try_cast("timestamp")).alias("start"),
     )
 
 
@@ -67,18 +76,67 @@ def data_standings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def teams(df: DataFrame) -> DataFrame:
-    """(id, team) -> id, name, short_name, slug."""
-    t = F.col("team")
-    return df.select(F.col("id").cast("string").alias("id"), team_name(t).alias("name"), short_name(t).alias("short_name"), text.slugify_ascii(team_name(t)).alias("slug"))
+def in_window(matches: DataFrame, today: Column, days: tuple[int, int] = WINDOW_DAYS) -> DataFrame:
+    """Matches from a day before today to a week after, by the day of start_time in UTC."""
+    day = F.to_date(F.col("start_time").try_cast("timestamp"))
+    return matches.where(day.between(F.date_add(today, days[0]), F.date_add(today, days[1])))
+
+
+def of_status(matches: DataFrame, status: str) -> DataFrame:
+    """live, scheduled (fixtures) or finished (results) ones; a window is read once and filtered thrice."""
+    return matches.where(F.col("status") == status)
+
+
+def api_standings(spark: SparkSession, path: str) -> DataFrame:
+    """P06 of the first provider: the first table of the first answer; form letter by letter."""
+    r = spark.read.schema(schemas.API_STANDINGS).option("multiLine", True).json(path)
+    t = r.select(F.inline(F.get(F.get("response", F.lit(0))["league"]["standings"], F.lit(0))))
+    return t.select(
+        F.col("rank").alias("position"), F.col("team.name").alias("team"), F.col("all.played").alias("played"), F.col("all.win").alias("won"), F.col("all.draw").alias("drawn"),
+        F.col("all.lose").alias("lost"), F.col("goalsDiff").alias("goal_difference"), "points", form_of_letters(F.col("form")).alias("form"),
+    )
+
+
+def api_teams(spark: SparkSession, path: str) -> DataFrame:
+    """P08 of the first provider."""
+    r = spark.read.schema(schemas.API_TEAMS).option("multiLine", True).json(path).select(F.inline("response"))
+    name = F.col("team.name")
+    return r.select(
+        F.col("team.id").cast("string").alias("id"), name.alias("name"), F.coalesce("team.code", F.upper(F.left(name, F.lit(3)))).alias("short_name"), text.slugify_ascii(name).alias("slug"),
+        F.coalesce("team.country", F.lit("")).alias("country"), F.coalesce("venue.name", F.lit("")).alias("venue"),
+    )
+
+
+def data_teams(spark: SparkSession, path: str) -> DataFrame:
+    """P08 of the second provider."""
+    t = spark.read.schema(schemas.DATA_TEAMS).option("multiLine", True).json(path).select(F.explode("teams").alias("team"))
+    name = team_name(F.col("team"))
+    return t.select(
+        F.col("team.id").cast("string").alias("id"), name.alias("name"), F.coalesce("team.tla", "team.shortName", F.upper(F.left(name, F.lit(3)))).alias("short_name"),
+        text.slugify_ascii(name).alias("slug"), F.coalesce("team.area.name", F.lit("")).alias("country"), F.coalesce("team.venue", F.lit("")).alias("venue"),
+    )
+
+
+def provider_name(key: str | None, provider: str | None) -> str:
+    """A provider that is known and has a key, else the demo tables."""
+    return provider if (key or "").strip() and provider in ("football-data", "api-football") else "mock"
+
+
+def provider_matches(spark: SparkSession, provider: str, path: str | None = None, leagues: list[int] | None = None) -> DataFrame:
+    """S06-S08 by name: landed files of a provider, or the demo matches."""
+    from newsloom.sources import demo
+
+    if provider == "api-football":
+        return api_matches(spark, path, list(LEAGUES) if leagues is None else leagues)
+    return data_matches(spark, path) if provider == "football-data" else demo.matches(spark)
 
 
 def merge_matches(*lists: DataFrame) -> DataFrame:
-    """Lists one after the other, the last match of an id at the place of its first."""
+    """Lists one after the other, the last match of an id at the place of its first. Of one list's matches of an id its order decides."""
     from newsloom.operators.dedupe import last_wins
 
     out = None
     for n, df in enumerate(lists):
-        df = df.withColumn("seq", F.struct(F.lit(n).alias("list"), F.col("id")))
+        df = df.withColumn("seq", F.struct(F.lit(n).alias("list"), F.monotonically_increasing_id().alias("at")))
         out = df if out is None else out.unionByName(df)
     return last_wins(out, "id", "seq").drop("seq")

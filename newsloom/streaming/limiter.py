@@ -17,9 +17,13 @@ from newsloom.operators.ratelimit import fold
 
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int = 30, window_seconds: int = 60) -> DataFrame:
-    """Streaming events -> tie, key, n, allowed, remaining, in append mode. Idle keys leave the state after two windows."""
+    """Streaming events -> tie, key, n, allowed, remaining, in append mode. Rows without key or time are left out, as in a batch.
+
+    Idle keys leave the state after two windows of processing time, so a replay that stalls for longer than that begins
+    a key's window anew.
+    """
     window = window_seconds * 1_000_000
-    e = events.select(F.col(tie).alias("tie"), F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(tie).alias("tie"), F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import clustering, components, dedupe, ranking, ratelimit, search, similarity, warehouse
+from newsloom.functions import checks, dates, text
+from newsloom.operators import clustering, components, dedupe, ranking, ratelimit, search, shared, similarity, warehouse
 from newsloom.sources import feeds, sports
 from newsloom.streaming.limiter import rate_limit_stream
 
@@ -179,6 +180,54 @@ def test_warehouse(spark):
     assert rows(broken.select("k", "rule"), "k", "rule") == [(2, "w_small"), (3, "v_long")]
     assert rows(warehouse.visible(t, F.col("k") == 1, F.lit(None).cast("boolean")), "k") == [(1, "a", 1)]
     assert warehouse.orphans(s, "v", t, "v").count() == 1
+    twice = s.unionAll(s).unionAll(spark.createDataFrame([(3, "d", 3), (None, "n", 0)], s.schema))
+    assert rows(warehouse.insert_new(t, twice, "k"), "k") == [(None, "n", 0), (1, "a", 1), (2, "b", 2), (3, "c", 3)]
+    assert rows(warehouse.upsert(t, twice, "k", ["v"]), "k")[1:] == [(1, "a", 1), (2, None, 2), (3, "c", 3)]
+    assert warehouse.insert_returning(t.where("false"), t.select("v"), ["v"], F.lit("now"), "k").first().k == 1
+    jobs = spark.createDataFrame([(1, "pending"), (2, "processing"), (3, "completed"), (4, None)], "id int, status string")
+    steps = spark.createDataFrame([(1, "completed"), (1, "processing"), (2, "failed"), (3, "pending"), (9, "failed")], "id int, to string")
+    assert rows(warehouse.advanced(jobs, steps), "id") == [(1, "processing", True), (2, "failed", True), (3, "completed", False), (4, None, False)]
+
+
+def test_checked_arguments():
+    assert checks.search("  ab ") == {"q": "ab", "type": "all"} and checks.bookmark("x", "save") and checks.follow("team", "t", "follow") and checks.profile("An", "vi", "UTC")
+    for bad in (lambda: checks.search("a"), lambda: checks.search("x" * 81), lambda: checks.search(None), lambda: checks.search("ab", "other"), lambda: checks.bookmark("", "save"), lambda: checks.follow("x", "t", "follow"), lambda: checks.profile("A", "vi", "UTC")):
+        with pytest.raises(ValueError):
+            bad()
+    assert not search.long_enough(" đ! ") and search.long_enough("đá")
+
+
+def test_distances(spark):
+    ago = [0, 1, 59, 60, 89, 90, 3599, 3600, 86399, 86400, 30 * 86400 - 1, 30 * 86400, 360 * 86400, 365 * 86400, 800 * 86400, -7200]
+    df = spark.createDataFrame([(i, T0 - dt.timedelta(seconds=s)) for i, s in enumerate(ago)], "i int, t timestamp_ntz")
+    got = [r.x for r in df.orderBy("i").select(dates.distance(F.col("t"), F.lit("2024-01-01").cast("timestamp")).alias("x")).collect()]
+    want = ["0 giây", "1 giây", "59 giây", "1 phút", "1 phút", "2 phút", "60 phút", "1 giờ", "24 giờ", "1 ngày", "30 ngày", "1 tháng", "1 năm", "1 năm", "2 năm"]
+    assert got == [f"{w} trước" for w in want] + ["2 giờ nữa"]
+
+
+def test_folding_on_the_driver_equals_the_column(spark):
+    given = ["Đội tuyển Việt Nam!", "ÀÉÎ õ ü", "", "  x--Y ", "ﬁn", "漢字 a", "ǅ"]
+    df = spark.createDataFrame([(g,) for g in given], "g string").coalesce(1)
+    assert [r.x for r in df.select(text.normalize_search(F.col("g")).alias("x")).collect()] == [text.fold(g) for g in given]
+
+
+def test_likely_duplicates_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = [f"w{i:02d}" for i in range(9)]
+    arts = [(i, T0 + dt.timedelta(hours=rng.randrange(150)), rng.sample(words, rng.randint(0, 7))) for i in range(90)]
+    df = spark.createDataFrame(arts, "seq long, published timestamp_ntz, tok array<string>")
+    want = set()
+    for x in arts:
+        for y in arts:
+            a, b = set(x[2]), set(y[2])
+            if x[0] < y[0] and abs((x[1] - y[1]).total_seconds()) <= 48 * 3600 and a & b and len(a & b) / len(a | b) >= 0.55:
+                want.add((x[0], y[0], len(a & b)))
+    assert {tuple(r) for r in similarity.likely_duplicates(df).collect()} == want and len(want) > 30
+
+
+def test_intermediate_tables_are_released(spark):
+    kept = shared.materialize(spark.range(5))
+    assert kept.count() == 5 and shared.release(spark) >= 1 and shared.release(spark) == 0
 
 
 def test_rss_and_atom(spark, tmp_path):
@@ -195,23 +244,51 @@ def test_rss_and_atom(spark, tmp_path):
     a = [r for r in got if "a.example" in r.url]
     assert len(a) == 14 and a[0].excerpt == "Body & more" and a[0].category == "Cup" and a[0].published == dt.datetime(2026, 7, 13, 11)
     b = [r for r in got if "b.example" in r.url]
-    assert [(r.title, r.url, r.excerpt, r.category) for r in b] == [("Atom one", "https://b.example/1", feeds.NO_EXCERPT, feeds.NO_CATEGORY)]
+    assert [(r.title, r.url, r.excerpt, r.category, r.source) for r in b] == [("Atom one", "https://b.example/1", feeds.NO_EXCERPT, feeds.NO_CATEGORY, None)]
+
+
+def test_articles_know_their_feed(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    day = "<pubDate>7/13/2026 9:11:00 PM</pubDate>"
+    items = [
+        f'<item><title>Both</title><link href="https://a/href">text</link><guid>g1</guid>{day}<summary>no description</summary></item>', f"<item><title>No link</title><guid>https://a/guid</guid>{day}</item>",
+        f"<item><title>Text</title><link>https://a/text</link>{day}<description>said</description></item>",
+    ]
+    (tmp_path / "f" / "one.xml").write_text(f"<rss><channel>{''.join(items)}</channel></rss>")
+    registry = spark.createDataFrame([("one.xml", "Báo", "https://feed", 91, "vi", None)], "file string, name string, url string, reliability int, language string, official boolean")
+    now = F.lit("2026-07-14 00:00:00").cast("timestamp")
+    got = {r.title: r for r in feeds.rss_items(spark, str(tmp_path / "f"), now, registry).collect()}
+    assert {t: r.url for t, r in got.items()} == {"Both": "https://a/href", "No link": "https://feed", "Text": "https://a/text"}
+    assert got["Text"].excerpt == "said" and got["Both"].excerpt == feeds.NO_EXCERPT and got["Both"].published == dt.datetime(2026, 7, 13, 14, 11)
+    r = got["Both"]
+    assert (r.source, r.reliability, r.language, r.official, r.translated) == ("Báo", 91, "vi", False, False)
+    hashes = spark.createDataFrame([("Both", "g1"), ("Text", "https://a/text")], "t string, u string").select("t", text.content_hash(F.col("t"), F.col("u")).alias("h")).collect()
+    assert {h.t: h.h for h in hashes} == {"Both": got["Both"].id, "Text": got["Text"].id}
 
 
 def test_feed_registry(spark):
     assert feeds.feed_registry(spark).count() == 12
     given = json.dumps([{"name": "A", "url": "https://a", "reliability": 70, "language": "en"}, {"name": "B", "url": "http://b", "reliability": 70, "language": "en"}])
     assert [r.name for r in feeds.feed_registry(spark, given).collect()] == ["A"]
-    assert [(r.name, r.reliability, r.language) for r in feeds.feed_registry(spark, "https://x.example/rss, nope").collect()] == [("x.example", 85, "vi")]
+    assert [(r.name, r.reliability, r.language) for r in feeds.feed_registry(spark, "https://x.example/rss, nope").collect()] == [("Nguồn tùy chỉnh 1", 85, "vi")]
+    assert [r.name for r in feeds.feed_registry(spark, "[broken, https://b.example/rss").collect()] == ["Nguồn tùy chỉnh 2"]
 
 
 def test_json_patterns_and_normalized(spark, tmp_path):
     (tmp_path / "n.json").write_text(json.dumps([{"externalId": "1", "url": "http://x", "title": " Demo  title ", "excerpt": " đoạn trích ", "publishedAt": "z"}]))
     r = feeds.normalized(feeds.json_articles(spark, str(tmp_path / "n.json")), "s").first()
     assert (r.title, r.excerpt, r.source_id, r.language) == ("Demo title", "đoạn trích", "s", "vi") and len(r.hash) == 8
-    xml = "".join(f"<item><title><![CDATA[T{n}]]></title><link>http://l/{n}</link></item>" for n in range(40))
-    p = feeds.pattern_articles(spark.createDataFrame([("u", xml)], "url string, xml string")).collect()
-    assert len(p) == 30 and tuple(p[3]) == ("3-http://l/3", "T3", "http://l/3")
+    xml = "".join(f"<item><title><![CDATA[ T{n}\n]]></title><link>http://l/{n}</link></item>" for n in range(40)) + "<item><title><![CDATA[x]]></title><link>http://open</link>"
+    landed = spark.createDataFrame([("u", xml)], "url string, xml string")
+    p = feeds.pattern_articles(landed).collect()
+    assert len(p) == 30 and tuple(p[3]) == ("3-http://l/3", "T3", "http://l/3", feeds.PATTERN_EXCERPT)
+    assert feeds.pattern_articles(landed, 99).count() == 40  # the last item is not closed
+    blank = feeds.normalized(spark.createDataFrame([("\u00a0 A  B\n", "\n x \u00a0", "u")], "title string, excerpt string, url string"), "s").first()
+    assert (blank.title, blank.excerpt) == ("A B", "x")
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "o.json").write_text('{"data": []}')
+    with pytest.raises(Exception, match="must hold an array"):
+        feeds.json_articles(spark, str(tmp_path / "o")).collect()
 
 
 def test_partial_failure(spark):
@@ -238,7 +315,7 @@ def test_providers(spark, tmp_path):
     fixture = lambda i, s, lg: {"fixture": {"id": i, "date": "d", "status": {"short": s, "elapsed": 3}, "venue": {"name": None}}, "league": {"id": lg, "name": "L"}, "teams": {"home": {"name": "H"}, "away": {"name": "A"}}, "goals": {"home": 1, "away": None}}
     (tmp_path / "f.json").write_text(json.dumps({"response": [fixture(1, "2H", 39), fixture(2, "FT", 40)]}))
     m = sports.api_matches(spark, str(tmp_path / "f.json"), [39]).collect()
-    assert [(r.id, r.status, r.home_score, r.away_score, r.venue) for r in m] == [("1", "live", 1, None, "")]
+    assert [(r.id, r.status, r.home_score, r.away_score, r.venue) for r in m] == [("1", "live", 1, None, sports.NO_VENUE)]
     assert sports.api_matches(spark, str(tmp_path / "f.json"), []).count() == 2
     t = {"name": " ", "shortName": "Short", "tla": None}
     match = {"id": 5, "utcDate": "u", "status": "FINISHED", "competition": {"name": "C"}, "homeTeam": t, "awayTeam": {"name": None}, "score": {"fullTime": {"homeTeam": 2, "awayTeam": 0}}}
@@ -252,4 +329,16 @@ def test_providers(spark, tmp_path):
     f = spark.range(1).select(sports.form_of_letters(F.lit("WD")), sports.form_of_letters(F.lit(None).cast("string"))).first()
     assert list(f) == [["W", "D"], []]
     merged = sports.merge_matches(sports.api_matches(spark, str(tmp_path / "f.json")), sports.api_matches(spark, str(tmp_path / "f.json"), [40]).withColumn("venue", F.lit("new")))
-    assert sorted((r.id, r.venue) for r in merged.collect()) == [("1", ""), ("2", "new")]
+    assert sorted((r.id, r.venue) for r in merged.collect()) == [("1", sports.NO_VENUE), ("2", "new")]
+    rows = {"league": {"standings": [[{"rank": 2, "team": {"name": "T"}, "points": 7, "goalsDiff": -3, "form": "LLWWDXW", "all": {"played": 5, "win": 2, "draw": 1, "lose": 2}}]]}}
+    (tmp_path / "as.json").write_text(json.dumps({"response": [rows]}))
+    assert tuple(sports.api_standings(spark, str(tmp_path / "as.json")).first()) == (2, "T", 5, 2, 1, 2, -3, 7, ["W", "W", "D", "W"])
+    (tmp_path / "at.json").write_text(json.dumps({"response": [{"team": {"id": 4, "name": "Hà Nội FC", "code": None, "country": None}, "venue": None}]}))
+    assert tuple(sports.api_teams(spark, str(tmp_path / "at.json")).first()) == ("4", "Hà Nội FC", "HÀ ", "h-n-i-fc", "", "")
+    (tmp_path / "dt.json").write_text(json.dumps({"teams": [{"id": 9, "name": "A B", "shortName": "Ab", "tla": None, "area": {"name": "Anh"}, "venue": "V"}]}))
+    assert tuple(sports.data_teams(spark, str(tmp_path / "dt.json")).first()) == ("9", "A B", "Ab", "a-b", "Anh", "V")
+    days = spark.createDataFrame([(f"2026-07-{n:02d}T20:00:00Z",) for n in range(8, 25)], "start_time string")
+    assert sports.in_window(days, F.lit("2026-07-13").cast("date")).count() == 9
+    assert [sports.provider_name(*x) for x in ((None, "football-data"), ("k", "api-football"), ("k", "other"))] == ["mock", "api-football", "mock"]
+    twice = spark.createDataFrame([("1", "a"), ("1", "b")], "id string, venue string").coalesce(1)
+    assert [r.venue for r in sports.merge_matches(twice).collect()] == ["b"]
