@@ -1,7 +1,8 @@
 """Benchmark decontamination in DataFrame operations only.
 
-Hashes of the benchmark's word windows are broadcast while their number has a proven bound, every
-window of every document is looked up, and hits are verified word by word.
+The benchmark's word windows are a hash table. While its size in bytes has a proven bound it is broadcast, every window
+of every document is looked up in one scan of the texts, and hits are verified word by word. A larger benchmark is joined
+by shuffle: windows go as hashes alone, and the words of documents are fetched again for those that were hit.
 """
 
 from __future__ import annotations
@@ -10,48 +11,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.words import PLAIN_SEPARATOR, plain_words
+from newsloom.operators.shared import materialize
 
 WINDOW = 10
-#: Benchmark windows (of about 16 bytes each in the hash table) that are still broadcast; more are joined by shuffle.
-BROADCAST_WINDOWS = 2_000_000
-
-
-def _windows(words: Column, n: int) -> Column:
-    """Hash of every run of n words, in order of its start; none if there are fewer words."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.when(F.size(words) >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+#: Bytes of windows, their words and the items they stand in, that are still broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, text) -> n, hash, words, items: one row for each different window; items without words have none."""
+    """(item_id, text) -> n, words, items, hash: one row for each different window; items without words have none."""
     w = bench.select("item_id", plain_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("n", F.least(F.size("w"), F.lit(window)))
     each = w.select("item_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice("w", i, F.col("n")))).alias("words"))
     return each.groupBy("n", "words").agg(F.collect_set("item_id").alias("items")).withColumn("hash", F.xxhash64("words"))
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """docs (doc_id, text), bench (item_id, text) -> doc_id, key, start, n, items: the verified windows.
+def _places(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, key, w, start, n, hash: every window of each of the lengths, and for each row of docs one of start 0.
 
-    start counts words from 1; key is a hash of doc_id and text, so that rows which share a
-    doc_id but not their text stay apart.
+    start counts words from 1; key is a hash of doc_id and text, so that rows which share a doc_id but not their text
+    stay apart. w, all words, is there for whoever needs it before rows move.
     """
-    wins = benchmark_windows(bench, window).cache()
-    lengths = sorted(r[0] for r in wins.select("n").distinct().collect())  # 1 to window: at most ten values
-    few = wins.count() <= broadcast_windows
     d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), plain_words(F.col("text")).alias("w"))
-    found = None
-    for n in lengths:
-        these = wins.where(F.col("n") == n).select("hash", "words", "items")
-        keys = these.select("hash").distinct()
-        seen = d.select("doc_id", "key", "w", F.posexplode(_windows(F.col("w"), n)).alias("at", "hash"))
-        seen = seen.join(F.broadcast(keys) if few else keys, "hash")
-        seen = seen.select("doc_id", "key", "hash", (F.col("at") + 1).alias("start"), F.slice("w", F.col("at") + 1, n).alias("words"))
-        hit = seen.join(F.broadcast(these) if few else these, ["hash", "words"]).select("doc_id", "key", "start", F.lit(n).alias("n"), "items")
-        found = hit if found is None else found.unionAll(hit)
-    if found is None:
-        return d.where("false").select("doc_id", "key", F.lit(0).alias("start"), F.lit(0).alias("n"), F.array().cast(f"array<{dict(bench.dtypes)['item_id']}>").alias("items"))
-    return found
+    kinds = F.lit(len(lengths))
+    place = d.select("doc_id", "key", "w", F.explode(F.sequence(F.lit(-1), F.size("w") * kinds - 1)).alias("at"))
+    n = F.element_at(F.array(*[F.lit(x) for x in lengths]), (F.pmod("at", kinds) + 1).cast("int")) if lengths else F.lit(0)
+    start = F.when(F.col("at") < 0, 0).otherwise(F.floor(F.col("at") / kinds).cast("int") + 1) if lengths else F.lit(0)
+    place = place.select("doc_id", "key", "w", start.alias("start"), n.alias("n"))
+    fits = (F.col("start") > 0) & (F.col("start") + F.col("n") - 1 <= F.size("w"))
+    return place.where((F.col("start") == 0) | fits).withColumn("hash", F.when(fits, F.xxhash64(F.slice("w", F.greatest("start", F.lit(1)), F.col("n")))))
+
+
+def find_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs (doc_id, text), bench (item_id, text) -> doc_id, key, n_words, start, n, items: the verified windows, and rows of start 0 as in _places."""
+    wins = materialize(benchmark_windows(bench, window))
+    size = F.sum(F.lit(64) + F.octet_length(F.array_join("words", " ")) + 16 * F.size("words") + 16 * F.size("items"))
+    lengths, held = wins.agg(F.sort_array(F.collect_set("n")), F.coalesce(size, F.lit(0))).first()  # at most `window` lengths
+    table = wins.select(F.col("hash").alias("b_hash"), F.col("words").alias("b_words"), "items")
+    places = _places(docs, lengths)
+    if held <= broadcast_bytes:
+        met = places.join(F.broadcast(table), F.col("hash") == F.col("b_hash"), "left")
+        true = (F.col("start") == 0) | (F.slice("w", F.greatest("start", F.lit(1)), F.col("n")) == F.col("b_words"))
+        return met.where(true).select("doc_id", "key", F.size("w").alias("n_words"), "start", "n", "items")
+    seen = places.where("start > 0").select("doc_id", "key", "start", "n", "hash").join(table.select(F.col("b_hash").alias("hash")).distinct(), "hash")
+    texts = docs.select(F.col("doc_id").alias("t_doc"), F.xxhash64("doc_id", "text").alias("t_key"), "text").distinct()
+    words = seen.join(texts, (F.col("key") == F.col("t_key")) & F.col("doc_id").eqNullSafe(F.col("t_doc")))
+    words = words.select("doc_id", "key", "start", "n", "hash", F.slice(plain_words(F.col("text")), F.col("start"), F.col("n")).alias("words"))
+    hit = words.join(table, (F.col("hash") == F.col("b_hash")) & (F.col("words") == F.col("b_words")))
+    hit = hit.select("doc_id", "key", F.lit(0).alias("n_words"), "start", "n", "items")
+    return hit.unionAll(places.where("start = 0").select("doc_id", "key", F.size("w").alias("n_words"), "start", "n", F.lit(None).cast(dict(table.dtypes)["items"]).alias("items")))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
@@ -60,20 +68,14 @@ def contamination(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
     Null or empty text has no words and no hits. Items without words match nothing; an empty
     benchmark gives zero hits. Rows with equal doc_id and text get equal results.
     """
-    spans = F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))
-    hits = find_hits(docs, bench, **how).groupBy("doc_id", "key").agg(
-        F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col("items").cast("array<string>"))))).alias("items"),
-    )
-    n = F.coalesce(F.regexp_count("text", F.lit(PLAIN_SEPARATOR.replace("[", "[^", 1))), F.lit(0)).cast("long")
-    all_docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), n.alias("n_words"))
-    h = hits.withColumnsRenamed({"doc_id": "h_doc", "key": "h_key"})
-    same = (F.col("key") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("h_doc"))
-    none_i, none_s = F.array().cast("array<int>"), F.array().cast("array<string>")
-    return all_docs.join(h, same, "left").select(
-        "doc_id", "key", "n_words", F.coalesce(F.size(F.coalesce("hit_words", none_i)), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", none_s).alias("items"), F.coalesce("hit_words", none_i).alias("hit_words"),
+    hit = F.col("start") > 0
+    spans = F.transform(F.collect_set(F.when(hit, F.struct("start", "n"))), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))
+    found = find_hits(docs, bench, **how).groupBy("doc_id", "key").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.count_if(~hit).alias("rows"), F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items").cast("array<string>")))))).alias("items"),
     )
+    each = found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "key", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "items", "hit_words")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", **how) -> DataFrame:

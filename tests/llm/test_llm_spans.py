@@ -99,7 +99,7 @@ def test_contamination(spark):
     bf = spark.createDataFrame([(*b, "z") for b in bench], "item_id long, text string, words string")
     key = lambda x: (x[0] if x[0] is not None else -1, x[1:])
     want = sorted(brute_hits(docs, bench), key=key)
-    for how in ({}, {"broadcast_windows": 0}):
+    for how in ({}, {"broadcast_bytes": -1}):
         got = decontaminate.contamination(df, bf, **how).collect()
         assert sorted([(r.doc_id, r.n_words, [p - 1 for p in r.hit_words], r["items"]) for r in got], key=key) == want
     kept = decontaminate.decontaminate(df, bf)
