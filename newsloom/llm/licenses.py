@@ -17,7 +17,34 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
-# The license texts that are looked for, and words too common to tell where one may stand.
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gpl_header(name: str, version: int) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
+        f"WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    )
+
+
+# The license texts that are looked for. Any others are given as `texts`.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": (
@@ -28,11 +55,35 @@ TEMPLATES = {
     ),
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
-        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
-        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    "GPL header": _gpl_header("GNU General Public License", 3),
+    "GPL-2.0 header": _gpl_header("GNU General Public License", 2),
+    "AGPL-3.0 header": _gpl_header("GNU Affero General Public License", 3),
+    "LGPL-3.0 header": _gpl_header("GNU Lesser General Public License", 3),
+    "BSD-2-Clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+        'this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+        "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"
+    ),
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0 long notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice "
+        "may not be removed or altered from any source distribution."
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
@@ -46,6 +97,7 @@ TEMPLATES = {
         "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
 }
+# Words too common to tell where a license may stand.
 COMMON = frozenset(b"a all and any at be by for in is it of on or that the this to with without you".split())
 
 
@@ -148,55 +200,96 @@ def _bounds(words: tuple[bytes, ...], telling: frozenset[bytes], coverage: float
     return Bounds(telling, max(need, 1), max(4 + len(words) // 4, *far, 1), max(len(words) // 2, at[k], len(words) - 1 - at[-1 - k]))
 
 
-def best_match(words: list[bytes], t: Template, coverage: float = COVERAGE) -> tuple[float, int, int] | None:
-    """Highest coverage of t in the text, and the words it reaches from and to (exclusive); ties to the first.
+def matches(words: list[bytes], t: Template, coverage: float = COVERAGE) -> list[tuple[float, int, int]]:
+    """Copies of t in the text, from left to right, none over another: coverage, from, to (exclusive).
 
-    None, or less than `coverage`, where no copy reaches it. Text put into a copy splits it if longer than Bounds.gap.
+    Text put into a copy splits it if it is longer than Bounds.gap.
     """
     x = _bounds(tuple(t.words), t.telling, coverage)
     spots = [i for i, w in enumerate(words) if w in x.telling]
-    best, reach, k = None, len(t.words), 0
+    found, reach, k, done = [], len(t.words), 0, 0
     while k < len(spots):
         z = k  # telling words that stand so near each other that one notice can hold them
         while z + 1 < len(spots) and spots[z + 1] - spots[z] <= x.gap:
             z += 1
-        if len(set(words[i] for i in spots[k : z + 1])) >= x.need:
-            a, b = max(0, spots[k] - reach), min(len(words), spots[z] + reach + 1)
-            pairs = align(words[a:b], t.words)
-            near = [p for p in pairs if spots[k] - x.edge <= a + p[0] <= spots[z] + x.edge]
-            if near and (best is None or len(near) / reach > best[0]):
-                best = (len(near) / reach, a + near[0][0], a + near[-1][0] + 1)
-        k = z + 1
-    return best
+        if len(set(words[i] for i in spots[k : z + 1])) < x.need:
+            k = z + 1
+            continue
+        a, b = max(done, spots[k] - reach), min(len(words), spots[z] + reach + 1)
+        near = [(a + i, j) for i, j in align(words[a:b], t.words) if spots[k] - x.edge <= a + i <= spots[z] + x.edge]
+        if len(near) < coverage * reach - 1e-9:
+            k = z + 1
+            continue
+        # A run may hold several copies: the shortest stretch at its front that is still a copy is the first of them.
+        end = next((e for e in range(min(near[0][0] + reach, near[-1][0] + 1), near[-1][0] + 1, max(1, reach // 2)) if _covers(words[a:e], t, coverage)), near[-1][0] + 1)
+        first = [(a + i, j) for i, j in align(words[a:end], t.words)] if end <= near[-1][0] else near
+        found.append((len(first) / reach, first[0][0], first[-1][0] + 1))
+        done = first[-1][0] + 1
+        k = bisect.bisect_left(spots, done, k)
+    return found
+
+
+def _covers(words: list[bytes], t: Template, coverage: float) -> bool:
+    return len(align(words, t.words)) >= coverage * len(t.words) - 1e-9
+
+
+def best_match(words: list[bytes], t: Template, coverage: float = COVERAGE) -> tuple[float, int, int] | None:
+    """The copy of t with the highest coverage, ties to the first; None where no copy reaches `coverage`."""
+    return max(matches(words, t, coverage), key=lambda m: (m[0], -m[1]), default=None)
+
+
+class Scanner:
+    """All copies of all templates in a text. Templates are looked up by the telling words that the text has."""
+
+    def __init__(self, templates: list[Template], coverage: float = COVERAGE):
+        self.templates, self.coverage = templates, coverage
+        self.bounds = [_bounds(tuple(t.words), t.telling, coverage) for t in templates]
+        self.of: dict[bytes, list[int]] = {}
+        for i, x in enumerate(self.bounds):
+            for w in x.telling:
+                self.of.setdefault(w, []).append(i)
+        self.known = frozenset(self.of)
+
+    def scan(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
+        """name, coverage, from, to, by name and place. Of copies that overlap by over half of the shorter one only that with the most words stays (ties: higher coverage, then name)."""
+        held = Counter(i for w in self.known.intersection(words) for i in self.of[w])
+        found = [
+            (self.templates[i].name, *m, round(m[0] * len(self.templates[i].words)))
+            for i in sorted(held) if held[i] >= self.bounds[i].need for m in matches(words, self.templates[i], self.coverage)
+        ]
+        kept: list[tuple] = []
+        at: dict[int, list[tuple]] = {}  # kept copies by the stretches of 512 words that they touch
+        for f in sorted(found, key=lambda f: (-f[4], -f[1], f[0], f[2])):
+            stretches = range(f[2] // 512, (f[3] - 1) // 512 + 1)
+            if all(2 * (min(f[3], g[3]) - max(f[2], g[2])) <= min(f[3] - f[2], g[3] - g[2]) for s in stretches for g in at.get(s, ())):
+                kept.append(f)
+                for s in stretches:
+                    at.setdefault(s, []).append(f)
+        return sorted((f[:4] for f in kept), key=lambda f: (f[0], f[2]))
 
 
 def scan(words: list[bytes], templates: list[Template], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """Templates covered to `coverage` and more: name, coverage, from, to."""
-    here, out = set(words), []
-    for t in templates:
-        x = _bounds(tuple(t.words), t.telling, coverage)
-        if len(x.telling & here) >= x.need and (m := best_match(words, t, coverage)) and m[0] >= coverage:
-            out.append((t.name, *m))
-    return out
+    return Scanner(templates, coverage).scan(words)
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, licenses: array of (license, coverage, begin, end), by name; words count from 0.
+    """docs (doc_id, text) -> doc_id, n_words, licenses: array of (license, coverage, begin, end), by name and place; words count from 0.
 
-    Whole texts are searched; a license whose best alignment covers less than `coverage` of its
-    words is not listed. Null and empty texts have no licenses; repeated rows have a row each; an
+    Whole texts are searched and every copy is listed that covers `coverage` of its license's words and more; of copies
+    of different licenses in one place only the one with the most words. Null and empty texts have no licenses; repeated rows have a row each; an
     empty table gives an empty result.
     """
     templates = templates_of(TEMPLATES if texts is None else texts)
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(templates, coverage)
         for b in batches:
             n, found = [], []
             for t in b.column(1).to_pylist():
                 words = words_of(t or b"")
                 n.append(len(words))
-                found.append([dict(zip(("license", "coverage", "begin", "end"), x)) for x in scan(words, templates, coverage)])
+                found.append([dict(zip(("license", "coverage", "begin", "end"), x)) for x in scanner.scan(words)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "licenses"])
 
     of = dict(docs.dtypes)["doc_id"]

@@ -78,11 +78,26 @@ def test_licenses(spark):
     assert found[0] == (1, [("MIT", 1.0)])
     assert found[1] == (2, [("MIT", round(len(licenses.words_of(cut.encode())) / n, 2))])
     assert [names for d, names in found if d in (3, 4, 5, 7)] == [[]] * 4
-    assert sorted(names for d, names in found if d == 6) == [[], [("Apache-2.0 notice", 1.0)]]
+    assert sorted(names for d, names in found if d == 6) == [[], [("Apache-2.0 notice", 1.0)] * 300]
     begin = next(x for r in licenses.scan_licenses(df.where("doc_id = 1")).collect() for x in r.licenses)
     assert (begin.begin, begin.end) == (300, 300 + n)
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
+
+def test_every_copy_and_every_template_is_listed():
+    filler = [f"word{i}" for i in range(50)]
+    everything = licenses.templates_of(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        own = licenses.words_of(text.encode())
+        once = licenses.scan(licenses.words_of(" ".join([*filler, text, *filler]).encode()), everything)
+        assert once == [(name, 1.0, 50, 50 + len(own))], (name, once)
+        for between in (filler, []):  # two copies, apart and one right after the other
+            twice = licenses.scan(licenses.words_of(" ".join([text, *between, text]).encode()), everything)
+            assert [x[:2] for x in twice] == [(name, 1.0)] * 2, (name, twice)
+    nc = licenses.scan(licenses.words_of(b"Licensed under CC BY-NC 4.0."), everything)
+    assert [x[0] for x in nc] == ["CC-BY-NC-4.0 notice"]
+
+
 def test_license_filters_leave_out_nothing():
     """Copies with altered telling words, at random and in one run, against alignment without a filter."""
     rng = random.Random(7)
