@@ -2,9 +2,13 @@
 
 Seeds: winnowing picks, in every run of MIN_WORDS words, the smallest hash of its SEED-word grams, so two
 equal runs pick the same gram at the same offset. An anchor is a picked place; its zone is the text of all
-windows (runs of MIN_WORDS words) that picked it. Documents are joined on anchors. Where all zones around an
-anchor are equal, matches reach over the whole zone; elsewhere they are extended word by word, in either
-direction, as far as an earlier document agrees, and only maximal repeats of MIN_WORDS words and more stay.
+windows (runs of MIN_WORDS words) that picked it. Documents are joined on anchors. Extension goes from an anchor both
+ways by hashes: where all zones around an anchor are equal, a match reaches over the whole zone, and so on to the next
+anchor's, as far as neighbouring zones are repeated too; where zones differ, which windows around the anchor an earlier
+document shares is settled by a join on (anchor, window). A match to one earlier document alone, word by word, would not
+do: which of the earlier ones reaches furthest differs from window to window, and pairing with all of them is quadratic.
+The union of all repeated windows is the union of the maximal repeats of MIN_WORDS words and more. Hashes have 64 bits and
+go by two (anchor and zone, or anchor and window).
 """
 
 from __future__ import annotations
@@ -129,24 +133,27 @@ def anchors(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> Da
                 ids = b.column(0).take(pa.array(np.concatenate(which)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "hash", "zone"])
 
-    return _bytes(docs).mapInArrow(run, "doc_id long, hash long, zone long")
+    return _bytes(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, hash long, zone long")
 
 
 def open_windows(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text, open: hashes of anchors) -> doc_id, hash: the different windows that picked these anchors."""
+    """docs (doc_id, text, open: hashes of anchors) -> doc_id, anchor, hash: the different windows that picked these anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, which = [np.empty(0, np.uint64)], []
+            found, which = [np.empty((0, 2), np.uint64)], []
             for k, (words, some) in enumerate(zip(_per_document(b.column(1).to_pylist()), b.column(2))):
                 a = Anchors(words, min_words, seed)
-                windows = np.unique(a.windows[a.windows_of(np.flatnonzero(np.isin(a.hash, _hashes(some))))])
-                found.append(windows), which.append(np.full(len(windows), k))
+                opened = np.flatnonzero(np.isin(a.hash, _hashes(some)))
+                windows, first = np.unique(a.windows[a.windows_of(opened)], return_index=True)
+                of = np.repeat(a.hash[opened], a.last[opened] - a.first[opened] + 1)[first]
+                found.append(np.stack([of, windows], 1)), which.append(np.full(len(windows), k))
             if which:
+                both = np.concatenate(found).view(np.int64)
                 ids = b.column(0).take(pa.array(np.concatenate(which)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "hash"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "anchor", "hash"])
 
-    return _bytes(docs, "open").mapInArrow(run, "doc_id long, hash long")
+    return _bytes(docs, "open").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, anchor long, hash long")
 
 
 def _hashes(values: pa.ListScalar) -> np.ndarray:
@@ -173,7 +180,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> Da
     """docs (doc_id, text) -> doc_id, closed, windows: what of each document another one has earlier, as hashes of the
     anchors all of whose windows are repeated, and of further windows."""
     docs = docs.select("doc_id", "text")
-    found = anchors(docs, min_words, seed)
+    found = materialize(anchors(docs, min_words, seed))  # read for the groups and for the join: texts are hashed once for both
     # Partial sums before the shuffle: a passage that a third of all documents share is one row a task.
     groups = found.groupBy("hash").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("zone").alias("low"), F.max("zone").alias("high")
@@ -184,8 +191,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> Da
     marks = materialize(met.groupBy("doc_id").agg(F.collect_set(closed).alias("closed"), F.collect_set(opened).alias("open")))
     texts = docs.join(marks.where(F.size("open") > 0).select("doc_id", "open"), "doc_id")
     windows = materialize(open_windows(texts, min_words, seed))
-    earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
-    later = windows.join(earliest.select("hash", "first_doc"), "hash").where("doc_id > first_doc")
+    earliest = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
+    later = windows.join(earliest.select("anchor", "hash", "first_doc"), ["anchor", "hash"]).where("doc_id > first_doc")
     return marks.select("doc_id", "closed").join(later.groupBy("doc_id").agg(F.collect_set("hash").alias("windows")), "doc_id", "full_outer")
 
 
@@ -212,7 +219,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SE
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", last])
 
     marked = docs.join(repeats(docs, min_words, seed), "doc_id", "left")
-    return _bytes(marked, "closed", "windows").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+    return _bytes(marked, "closed", "windows").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, {last} string")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -62,6 +62,20 @@ def test_substrings_of_odd_tables(spark):
     text = " ".join(f"t{i}" for i in range(30))
     rows = substrings.dedup_substrings(spark.createDataFrame([(None, text), (1, text), (1, text), (2, text)], schema)).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 0), (1, 0), (2, 30)]
+    for kind, ids in (("int", [1, 2]), ("string", ["a", "b"])):
+        df = spark.createDataFrame([(i, text) for i in ids], f"doc_id {kind}, text string")
+        assert sorted((r.doc_id, r.n_removed) for r in substrings.dedup_substrings(df).collect()) == [(ids[0], 0), (ids[1], 30)]
+
+
+def test_word_hashes():
+    """Words of every length, at any place, alike only where they are equal; blanks of all kinds part them."""
+    words = ["x" * n for n in (1, 7, 8, 9, 16, 17, 63, 64, 65, 200)] + ["a\u00a0b", "Été", "漢字かな交じり", "\x00", "x" * 64 + "y", "x" * 8 + "y"]
+    texts = ["", " \t", " ".join(words), "\n\v".join(words[::-1]), *words, "x" * 8 + " y"]
+    h, n = substrings.word_hashes([t.encode() for t in texts])
+    want = [w for t in texts for w in WORD.findall(t)]
+    assert n.tolist() == [len(WORD.findall(t)) for t in texts] and len(h) == len(want)
+    seen = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip(want, h.tolist())) and len(set(seen.values())) == len(seen)
 
 
 def brute_print(text):
