@@ -1,6 +1,8 @@
 """From raw documents to token files: five stages over the operators of newsloom.llm.
 
-Every stage works on all rows that the one before it kept; each result is written as Parquet and read again.
+Every stage works on all rows that the one before it kept; each result is written as Parquet and read again. Rows with a
+null in any column pass as the operators state it: null texts score as empty ones, near copies leaves rows without doc_id
+alone, a null source is a source of its own. Empty tables give empty results; further columns go along until tokens.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: Letter models and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: The toxicity models and the tokenizer are beyond SQL; tests/llm/test_llm_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
