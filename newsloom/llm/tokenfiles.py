@@ -18,6 +18,7 @@ bits each; select() finds one by its sample and a scan of at most the next 256 o
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ SAMPLE = 256
 #: A block is closed once it holds so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
 #: Different words remembered by a worker, of about 250 bytes each. Beyond, only those met more than once since stay.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+_CLOSING = re.compile(rb"(?<=[a-z])[.,]")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which begins pieces like 's
 
 BLOCK_SCHEMA = (
@@ -105,15 +107,35 @@ class WordEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of a word, where the vocabulary marks them
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Case does not matter, and letters are cut from what follows: words that differ so need not be told apart.
+        self.folds = bool(self.closes.any()) and self._cut("Ab, cD.e") == ["ab", ",", "cd", ".", "e"]
+        #: For words of small Latin letters alone, which are whole pieces already: without the steps that change or cut a text.
+        self.plain = Tokenizer(self.tokenizer.model)  # shared, not copied
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.places = _Places()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
+    def _cut(self, text: str) -> list[str]:
+        """Pieces that the tokenizer looks at on their own; none where it has no such steps."""
+        change, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        return [piece for piece, _ in cut.pre_tokenize_str(change.normalize_str(text))] if change and cut else []
+
+    def _words(self, text: bytes) -> list[bytes]:
+        """Blank-separated words; where the vocabulary allows it in lower case, a full stop or comma after letters apart."""
+        if self.folds:
+            low = text.lower()
+            if not any(t in low for t in self.special):  # those are found in the text as it stands
+                text = _CLOSING.sub(rb" \g<0>", low)
+        return text.split()
+
     def _forget(self) -> None:
         """Keep the words met more than once since this was last called, half of what is remembered at most."""
         n = len(self.places)
@@ -137,10 +159,10 @@ class WordEncoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
 
-    def _plain_ids(self, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _joined_ids(self, words: list[str], pieces: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """The same, faster, for words that are known to be cut into so many pieces: as one text, parted at ends of pieces."""
         lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        found = [e.ids for e in (self.plain if plain else self.tokenizer).encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, sum(map(len, found)))
         ends = np.flatnonzero(self.closes[flat]) + 1
         if len(ends) != pieces.sum():
@@ -151,15 +173,23 @@ class WordEncoder:
         """Encode the pending words. Letters, or letters and then punctuation, are one or two pieces; others go alone."""
         words, self.places.pending = [w.decode(errors="replace") for w in self.places.pending], []
         pieces = np.zeros(len(words), np.int64)
+        letters = self.folds and not any(t.isalpha() for t in self.special)
+        plain = np.array([letters and w.isalpha() and w == w.lower() and max(w) < "\u0180" for w in words], bool)
+        pieces[plain] = 1
         if self.closes.any():
-            for i, w in enumerate(words):
-                head = w.rstrip(_PUNCTUATION)
+            for i in np.flatnonzero(~plain).tolist():
+                head = words[i].rstrip(_PUNCTUATION)
                 if head.lower().isalpha():
-                    pieces[i] = 1 if head == w else 2
+                    pieces[i] = 1 if head == words[i] else 2
         first = len(self.places) - len(words)
         if len(self.places) > len(self.start):
             self.start, self.size, self.met = (np.concatenate([x, np.zeros(len(self.places), np.int64)]) for x in (self.start, self.size, self.met))
-        for which, ids_of in ((pieces > 0, lambda ws: self._plain_ids(ws, pieces[pieces > 0])), (pieces == 0, self._ids)):
+        joined = (pieces > 0) & ~plain
+        for which, ids_of in (
+            (plain, lambda ws: self._joined_ids(ws, pieces[plain], True)),
+            (joined, lambda ws: self._joined_ids(ws, pieces[joined], False)),
+            (pieces == 0, self._ids),
+        ):
             if not which.any():
                 continue
             ids, sizes = ids_of([w for w, x in zip(words, which) if x])
@@ -173,7 +203,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.places) > self.remembered:
             self._forget()
-        words = [text.split() for text in texts]
+        words = [self._words(text) for text in texts]
         places = [np.fromiter(map(self.places.__getitem__, ws), np.int64, len(ws)) for ws in words]
         if self.places.pending:
             self._learn()

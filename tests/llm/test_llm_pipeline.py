@@ -49,3 +49,16 @@ def test_run(spark):
         start += len(ids)
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+def test_words_are_encoded_as_whole_texts_are():
+    """Case, stops after letters, special tokens, marks that combine and words forgotten and met again change no id."""
+    encoder = tokenfiles.WordEncoder(tokenfiles.default_tokenizer(), remembered=8)
+    assert encoder.folds
+    texts = [
+        "A<|endoftext|>b, C", "<|ENDOFTEXT|> Ab.", "İstanbul, e.g. A.B.C, 'S it's, O'Neil.'s", "x.,y ,, a,.b !, .", "K, É. Été, straße. İ ŉa ǅx",
+        "", "1,000.5 a1,b2. 中文, đá,", "the The THE the, The.", "a̸, ≠ ,̸ .́",
+    ]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
