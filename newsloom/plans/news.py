@@ -220,11 +220,11 @@ def page_strip(spark, d):
     return search.page_strip(spark, 5, max(1, -(-read(spark, d, "orders").count() // 25)))
 
 
-@query("""WITH b AS (SELECT doc_id AS seq FROM documents WHERE doc_id % 7 = 0), t AS (SELECT doc_id AS seq FROM documents WHERE doc_id % 5 = 0)
+@query("""WITH b AS (SELECT doc_id AS seq FROM documents WHERE lang = 'en'), t AS (SELECT doc_id AS seq FROM documents WHERE source < 'src2')
 (SELECT seq FROM b EXCEPT SELECT seq FROM t) UNION ALL (SELECT seq FROM t EXCEPT SELECT seq FROM b)""")
 def toggle_bookmark(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("seq"))
-    saved, toggled = docs.where("seq % 7 = 0"), docs.where("seq % 5 = 0")
+    docs, seq = read(spark, d, "documents"), F.col("doc_id").alias("seq")
+    saved, toggled = docs.where("lang = 'en'").select(seq), docs.where("source < 'src2'").select(seq)
     both = saved.withColumn("side", F.lit(1)).unionAll(toggled.withColumn("side", F.lit(2)))
     return both.groupBy("seq").agg(F.countDistinct("side").alias("n")).where("n = 1").select("seq")  # one shuffle for both differences
 

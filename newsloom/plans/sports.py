@@ -28,12 +28,12 @@ def query(oracle: str | None = None):
 
 
 @query("""WITH u AS (SELECT 1 AS l, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT 2, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 3, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'),
+UNION ALL SELECT 2, o_orderkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT 3, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'),
 w AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY l DESC) AS n, min(l) OVER (PARTITION BY o_orderkey) AS first_list FROM u)
 SELECT o_orderkey, o_orderstatus, o_totalprice, l AS list, first_list FROM w WHERE n = 1""")
 def union_merge_dedupe(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    lists = [o.where("o_orderstatus = 'P'"), o.where("o_orderkey % 3 = 0"), o.where("o_orderstatus = 'F'")]
+    lists = [o.where("o_orderstatus = 'P'"), o, o.where("o_orderstatus = 'F'")]
     u = None
     for n, df in enumerate(lists, 1):
         df = df.withColumn("list", F.lit(n))
@@ -117,22 +117,25 @@ def standings_row_number(spark, d):
 # Warehouse
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def upsert_do_nothing(spark, d):
-    c = read(spark, d, "customer").select("c_custkey", "c_name")
-    return warehouse.insert_new(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("new")), "c_custkey")
+    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    known, loaded = c.where("c_mktsegment <> 'BUILDING'"), c.where("c_mktsegment IN ('BUILDING', 'MACHINERY')")
+    return warehouse.insert_new(known.drop("c_mktsegment"), loaded.select("c_custkey", F.lit("new").alias("c_name")), "c_custkey")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_custkey % 2 = 0
-UNION ALL SELECT c_custkey, 'new', c_mktsegment FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0""")
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'new' ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT c_custkey, 'new', c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def upsert_do_update(spark, d):
     c = read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return warehouse.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("new")), "c_custkey", ["c_name"])
+    known, loaded = c.where("c_mktsegment <> 'BUILDING'"), c.where("c_mktsegment IN ('BUILDING', 'MACHINERY')")
+    return warehouse.upsert(known, loaded.withColumn("c_name", F.lit("new")), "c_custkey", ["c_name"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 10 <> 0)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING')")
 def fk_orphans(spark, d):
-    return warehouse.orphans(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", read(spark, d, "customer").where("c_custkey % 10 <> 0"), "c_custkey")
+    return warehouse.orphans(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", read(spark, d, "customer").where("c_mktsegment <> 'BUILDING'"), "c_custkey")
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'quantity_range' AS rule FROM lineitem WHERE NOT l_quantity BETWEEN 1 AND 45
