@@ -5,6 +5,7 @@ from __future__ import annotations
 from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
 from newsloom.llm.licenses import op4_licenses
 from newsloom.llm.lmscore import OP6_SQL, op6_lm_scores
+from newsloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
 from newsloom.llm.neighbours import op2_nearest
 from newsloom.llm.pii import OP7_SQL, op7_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op7_pii": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
