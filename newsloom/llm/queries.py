@@ -6,8 +6,10 @@ from newsloom.llm.decontaminate import OP8_SQL, op8_decontaminate
 from newsloom.llm.licenses import op4_licenses
 from newsloom.llm.lmscore import OP6_SQL, op6_lm_scores
 from newsloom.llm.merkle import OP11_SQL, op11_merkle_manifest
+from newsloom.llm.minhash import op13_minhash
 from newsloom.llm.mixing import OP9_SQL, op9_mix_sources
 from newsloom.llm.neighbours import op2_nearest
+from newsloom.llm.periodic import op12_periodic_runs
 from newsloom.llm.pii import OP7_SQL, op7_pii
 from newsloom.llm.simhash import op3_simhash
 from newsloom.llm.substrings import op1_substring_dedup
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES = {
