@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.shared import materialize
-from newsloom.operators.similarity import same_story
+from newsloom.operators.similarity import story_links
 
 
 def first_fit(order: list[int], linked: dict[int, set[int]]) -> dict[int, int]:
@@ -28,24 +28,31 @@ def first_fit(order: list[int], linked: dict[int, set[int]]) -> dict[int, int]:
     return {a: members[0] for members in clusters for a in members}
 
 
-def story_clusters(df: DataFrame) -> DataFrame:
-    """df (seq, published, tok) -> seq, cluster (seq of the cluster's first article), pos (place in the cluster)."""
-    pairs = same_story(df).select("a", "b")
-    key = F.struct("published", (-F.col("seq")).alias("back"))  # of two articles the first has the greater key
-    rows = df.select("seq", key.alias("key"))
-    ends = pairs.join(rows.select(F.col("seq").alias("a"), F.col("key").alias("ka")), "a").join(rows.select(F.col("seq").alias("b"), F.col("key").alias("kb")), "b")
-    links = materialize(ends.select(F.least("ka", "kb").alias("key"), F.greatest("ka", "kb").alias("before")))
-    labels = materialize(links.select("key").union(links.select("before")).distinct().select("key", F.col("key").alias("label")))
+def spread(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """links (key, before), labels (key, label) -> key, label: the greatest label that links lead to, over any number of them.
+
+    A round hands labels on over links and then over labels, so long chains take few rounds. A label that is no key stays.
+    """
     while True:
         heard = links.join(labels.select(F.col("key").alias("before"), "label"), "before").groupBy("key").agg(F.max("label").alias("heard"))
         met = labels.join(heard, "key", "left").select("key", F.col("label").alias("old"), F.greatest("label", "heard").alias("label"))
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        new = materialize(met.join(jump, "label").select("key", "old", F.greatest("label", "further").alias("label")))
+        new = materialize(met.join(jump, "label", "left").select("key", "old", F.greatest("label", "further").alias("label")))
         labels = new.select("key", "label")
         if new.where("label <> old").limit(1).count() == 0:
-            break
+            return labels
+
+
+def story_clusters(df: DataFrame) -> DataFrame:
+    """df (seq, published, tok) -> seq, cluster (seq of the cluster's first article), pos (place in the cluster)."""
+    links = materialize(story_links(df).distinct())
+    labels = spread(links, materialize(links.select("key").union(links.select("before")).distinct().select("key", F.col("key").alias("label"))))
     linked = labels.select((-F.col("key.back")).alias("seq"), (-F.col("label.back")).alias("cluster"))
     alone = df.select("seq").join(linked.select("seq"), "seq", "left_anti").select("seq", F.col("seq").alias("cluster"))
-    named = linked.unionByName(alone).join(df.select("seq", "published"), "seq")
+    return placed(linked.unionByName(alone).join(df.select("seq", "published"), "seq"))
+
+
+def placed(named: DataFrame) -> DataFrame:
+    """named (seq, cluster, published) -> seq, cluster, pos: the place in the cluster, newest first."""
     pos = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("published"), "seq"))
     return named.select("seq", "cluster", pos.alias("pos"))

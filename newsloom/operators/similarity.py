@@ -1,60 +1,131 @@
-"""Pairs of articles that tell the same story, by joins on the rarest tokens of either."""
+"""Pairs of articles that tell the same story, by joins on the rarest tokens of either.
+
+Articles with equal token sets are one class. Classes are compared, once each however often a title is repeated, and their
+members are paired afterwards, within the hours allowed. Who only needs to know what hangs together takes story_links,
+which chains the members of a class instead of pairing them all.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.shared import materialize
+
+
+def needed(n: Column, share: float, least: int = 1) -> Column:
+    """How many tokens a set of n must share: `least`, and `share` of its own."""
+    return F.greatest(F.lit(least), F.ceil(n * share - 1e-9)).cast("int")
+
+
+def _rare_first(classes: DataFrame) -> DataFrame:
+    """classes with tok in order of how many classes have a token, rarest first."""
+    t = classes.select("c", F.explode("tok").alias("w"))
+    counts = t.groupBy("w").agg(F.count("*").alias("held"))
+    ranked = t.join(counts, "w").groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "w"))), lambda x: x["w"]).alias("tok"))
+    return classes.drop("tok").join(ranked, "c")
 
-def _rare_first(df: DataFrame) -> DataFrame:
-    """df (seq, published, tok) -> seq, published, tok in order of how many articles have a token, rarest first, n."""
-    t = df.select("seq", F.explode("tok").alias("w"))
-    counts = t.groupBy("w").agg(F.count("*").alias("articles"))
-    ranked = t.join(counts, "w").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("articles", "w"))), lambda x: x["w"]).alias("tok"))
-    return df.select("seq", "published").join(ranked, "seq").withColumn("n", F.size("tok"))
 
+def _seconds(published: str) -> Column:
+    return F.unix_seconds(F.col(published).cast("timestamp"))
 
-def _met(df: DataFrame, hours: int, left: Callable[[Column], Column], right: Callable[[Column], Column], one_way: Column) -> DataFrame:
-    """Pairs within so many hours that share one of the first left(n) tokens of a and the first right(n) of b: a, b, na, nb, shared.
 
-    Times also give a key: days from a fixed one, in steps of `hours`; a pair lies in the same step or in neighbouring
-    ones. Both stand in the join, so pairs that are far apart are never made. shared is counted on the whole token sets.
+class Stories:
+    """Articles (seq, published, tok: different tokens; maybe fresh) and their classes, for pairs at most `hours` apart.
+
+    Times also give a step: days from a fixed one, in units of `hours`; a pair lies in one step or in neighbouring ones.
+    Where articles say which of them are fresh, only pairs with a fresh one are made. Rows without a time or tokens have no
+    pairs; seq is unique.
     """
-    step = F.floor(F.unix_seconds(F.col("published").cast("timestamp")) / (hours * 3600)).cast("long")
-    t = _rare_first(df).withColumn("step", step)
-    a = t.select(
-        F.col("seq").alias("a"), F.col("published").alias("pa"), F.col("n").alias("na"), F.col("tok").alias("ta"),
-        F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step_a"), F.slice("tok", 1, F.greatest(F.lit(0), left(F.col("n")))).alias("some"),
-    ).withColumn("wa", F.explode("some")).drop("some")
-    b = t.select(
-        F.col("seq").alias("b"), F.col("published").alias("pb"), F.col("n").alias("nb"), F.col("tok").alias("tb"), F.col("step").alias("step_b"),
-        F.explode(F.slice("tok", 1, F.greatest(F.lit(0), right(F.col("n"))))).alias("wb"),
-    )
-    gap = F.abs(F.unix_seconds(F.col("pa").cast("timestamp")) - F.unix_seconds(F.col("pb").cast("timestamp")))
-    met = a.join(b, (F.col("wa") == F.col("wb")) & (F.col("step_a") == F.col("step_b")) & one_way & (gap <= hours * 3600))
-    return met.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
-
-
-def _needed(n: Column, share: float, least: int = 1) -> Column:
-    return F.greatest(F.lit(least), F.ceil(n * share - 1e-9)).cast("int")
+
+    def __init__(self, df: DataFrame, hours: int):
+        self.hours = hours
+        fresh = F.col("fresh") if "fresh" in df.columns else F.lit(True)
+        rows = df.where(F.col("published").isNotNull() & (F.size("tok") > 0)).select("seq", "published", F.array_sort("tok").alias("tok"), fresh.alias("fresh"))
+        rows = materialize(rows.withColumn("step", F.floor(_seconds("published") / (hours * 3600)).cast("long")))
+        classes = rows.groupBy("tok").agg(F.min("seq").alias("c"), F.collect_set("step").alias("steps"), F.bool_or("fresh").alias("fresh"))
+        classes = materialize(classes)
+        self.members = materialize(rows.join(classes.select("tok", "c", F.col("fresh").alias("renewed")), "tok").select("c", "seq", "published", "step", "fresh", "renewed", F.size("tok").alias("n")))
+        self.classes = materialize(_rare_first(classes).withColumn("n", F.size("tok")))
+
+    def met(self, left: Callable[[Column], Column], right: Callable[[Column], Column], one_way: Column) -> DataFrame:
+        """Pairs of different classes that may have members near in time and whose first common token, in order of rarity, is
+        among the first left(n) of a and the first right(n) of b: ca, cb, na, nb, shared. Each pair comes once."""
+
+        def side(x: str, steps: Column, some: Callable[[Column], Column]) -> DataFrame:
+            first = F.slice("tok", 1, F.greatest(F.lit(0), some(F.col("n"))))
+            rows = self.classes.select(F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("tok").alias(f"t{x}"), F.col("fresh").alias(f"f{x}"), F.explode(steps).alias(f"s{x}"), first.alias("some"))
+            return rows.withColumn(f"w{x}", F.explode("some")).drop("some")
+
+        around = F.array_distinct(F.flatten(F.transform("steps", lambda s: F.array(s - 1, s, s + 1))))
+        a, b = side("a", around, left), side("b", F.col("steps"), right)
+        common = F.array_intersect("ta", "tb")
+        on = (F.col("wa") == F.col("wb")) & (F.col("sa") == F.col("sb")) & one_way & (F.col("wa") == F.get(common, F.lit(0)))
+        met = a.where("fa").join(b, on).unionAll(a.where("NOT fa").join(b.where("fb"), on))
+        return met.select("ca", "cb", "na", "nb", F.size(common).cast("long").alias("shared")).distinct()
+
+    def pairs(self, classes: DataFrame) -> DataFrame:
+        """ca, cb, shared -> a, b, pa, pb, shared: the members of both that are near in time; if ca = cb, each pair once."""
+        a = self.members.select(F.col("c").alias("ca"), F.col("seq").alias("a"), F.col("published").alias("pa"), F.col("fresh").alias("fa"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("sa"))
+        b = self.members.select(F.col("c").alias("cb"), F.col("seq").alias("b"), F.col("published").alias("pb"), F.col("fresh").alias("fb"), F.col("step").alias("sb"))
+        gap = F.abs(_seconds("pa") - _seconds("pb")) <= self.hours * 3600
+        near = classes.join(a, "ca").join(b, "cb").where((F.col("sa") == F.col("sb")) & gap & (F.col("fa") | F.col("fb")) & ((F.col("ca") != F.col("cb")) | (F.col("a") < F.col("b"))))
+        return near.select("a", "b", "pa", "pb", "shared")
+
+    def alike(self, least: int = 1) -> DataFrame:
+        """The classes themselves as pairs: ca, cb, shared."""
+        return self.classes.where(F.col("n") >= least).select(F.col("c").alias("ca"), F.col("c").alias("cb"), F.col("n").cast("long").alias("shared"))
+
+    def chains(self, least: int = 1) -> DataFrame:
+        """key, before: each member of a class that has a fresh one and its next newer one, if it is near. The greater key is first.
+
+        A class is cut into days, so no task sorts more than a day of one title; then days are joined at their ends.
+        """
+        key = F.struct("published", (-F.col("seq")).alias("back"))
+        m = self.members.where("renewed").where(F.col("n") >= least).select("c", key.alias("key"), F.to_date("published").alias("day"))
+        inside = m.select("c", "day", "key", F.lead("key").over(Window.partitionBy("c", "day").orderBy("key")).alias("before"))
+        ends = m.groupBy("c", "day").agg(F.max("key").alias("key"), F.min("key").alias("low"))
+        across = ends.select("c", "day", "key", F.lead("low").over(Window.partitionBy("c").orderBy("day")).alias("before"))
+        both = inside.unionAll(across).where(F.col("before").isNotNull())
+        gap = F.unix_seconds(F.col("before.published").cast("timestamp")) - F.unix_seconds(F.col("key.published").cast("timestamp"))
+        return both.where(gap <= self.hours * 3600).select("key", "before")
+
+
+def _smaller() -> Column:
+    return (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb")))
+
+
+def _story_classes(s: Stories, least: int, overlap: float) -> DataFrame:
+    """The smaller set must share t = max(least, overlap * n) tokens, so at least one of its n - t + 1 rarest: these meet all
+    tokens of sets that are not smaller."""
+    p = s.met(lambda n: n - needed(n, overlap, least) + 1, lambda n: n, _smaller())
+    return p.where((F.col("shared") >= least) & (F.col("shared") / F.greatest(F.lit(1), F.least("na", "nb")) >= overlap)).select("ca", "cb", "shared")
 
 
 def same_story(df: DataFrame, hours: int = 72, least: int = 3, overlap: float = 0.52) -> DataFrame:
-    """Df (seq, published, tok: different tokens) -> a, b, shared, with a < b.
+    """Df (seq, published, tok: different tokens; maybe fresh) -> a, b, shared, with a < b."""
+    s = Stories(df, hours)
+    p = s.pairs(_story_classes(s, least, overlap).unionAll(s.alike(least)))
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
+
+
+def story_links(df: DataFrame, hours: int = 72, least: int = 3, overlap: float = 0.52) -> DataFrame:
+    """key, before: links between articles of the same story, from the later in order to the earlier, as struct(published, -seq).
 
-    The smaller set must share t = max(least, overlap * n) tokens, so at least one of its n - t + 1 rarest: these meet all
-    tokens of sets that are not smaller. Rows without a time or tokens have no pairs; seq is unique.
+    Not all of them: of equal token sets only neighbours are linked, since from there the chain leads to all that are near.
     """
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    p = _met(df, hours, lambda n: n - _needed(n, overlap, least) + 1, lambda n: n, smaller)
-    p = p.where((F.col("shared") >= least) & (F.col("shared") / F.greatest(F.lit(1), F.least("na", "nb")) >= overlap))
-    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
+    s = Stories(df, hours)
+    p = s.pairs(_story_classes(s, least, overlap))
+    ka, kb = (F.struct(F.col(f"p{x}").alias("published"), (-F.col(x)).alias("back")) for x in ("a", "b"))
+    return p.select(F.least(ka, kb).alias("key"), F.greatest(ka, kb).alias("before")).unionAll(s.chains(least))
 
 
 def likely_duplicates(df: DataFrame, hours: int = 48, least: float = 0.55) -> DataFrame:
     """A, b, shared, with a < b. Either set shares at least `least` of its own n tokens, so one of its n - least * n + 1 rarest."""
-    rarest = lambda n: n - _needed(n, least) + 1
-    p = _met(df, hours, rarest, rarest, F.col("a") < F.col("b"))
-    return p.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= least).select("a", "b", "shared").distinct()
+    rarest = lambda n: n - needed(n, least) + 1
+    s = Stories(df, hours)
+    p = s.met(rarest, rarest, (F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")))
+    p = p.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= least).select("ca", "cb", "shared")
+    return s.pairs(p.unionAll(s.alike())).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
