@@ -1,22 +1,22 @@
 """MinHash near-duplicates: many universal hash minima, bands, verified signatures, confirmed sets, components by stars.
 
 A text's signature holds the minima of BANDS * ROWS universal hash functions over its shingles. Texts that agree on all rows of
-a band meet in a bucket; two of similarity 0.85 miss each other in all buckets with a chance of 2.3e-8. A bucket is not
-expanded into pairs: in a few rounds each member is compared with one leader of its bucket, signatures first, then whole
-sets, and what is linked becomes one component. Pairs of members that are still in different components are then all
-compared by signature, in tiles of bounded size, and those that may be similar are confirmed on their sets. So a group of
-copies costs a few comparisons a member, and no link between components is lost.
+a band meet in a bucket; two of similarity 0.85 miss each other in all buckets with a chance of 2.3e-8. In a bucket all
+signatures are compared, in tiles of bounded size that return a spanning forest, not their pairs; the components of these
+forests, found by alternating stars, hold all links that there can be. Whole sets are then compared inside such a component,
+to which each text goes once. A component too large for that is first thinned: in a few rounds each member is confirmed
+against one leader, and what is linked counts as one from there on. No link between components is lost to any bound.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.stars import star_components
@@ -25,10 +25,14 @@ from newsloom.operators.shared import materialize
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, SEED = 30, 5, 20260101
-#: Members of a bucket that are compared in one tile, and texts that are confirmed beside one copy of a leader's.
-TILE, CHUNK = 512, 256
-#: Rounds with leaders before the rest is compared in tiles; they end sooner where so few pairs a member are open.
-ROUNDS, FEW = 4, 4
+#: Members of a bucket that are compared in one tile; a larger bucket than LARGE becomes one component to be confirmed, unseen.
+TILE, LARGE = 1024, 1 << 15
+#: Members and shingles of a component that are confirmed in one task, and texts that are confirmed beside one copy of a leader's.
+MEMBERS, SHINGLES, CHUNK = 8192, 1 << 20, 256
+#: Rounds with leaders while more than so many pairs a member are open.
+ROUNDS, FEW = 4, 4096
+#: Bytes of a minimum that a signature keeps: two texts agree on one by chance once in 65,536 times.
+WIDTH = 2
 _CELLS = 1 << 15
 
 
@@ -90,7 +94,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digest, signature = [None] * len(sets), [None] * len(sets)
                 for i, m in zip(full, minima([sets[i] for i in full], a, b)):
-                    digest[i], signature[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), m.astype("<u4").tobytes()
+                    digest[i], signature[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), m.astype(f"<u{WIDTH}").tobytes()
                 n = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["doc_id", "text_id", "n", "digest", "signature"])
 
@@ -98,36 +102,55 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return rows_in.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_id binary, n long, digest binary, signature binary")
 
 
-def _agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(len(c), -1) for c in (left, right))
-    return pa.array((x == y).sum(1).astype(np.int32))
+class _Joined:
+    """Components of rows 0 to n - 1: each has the smallest row as its label."""
 
+    def __init__(self, n: int):
+        self.label = np.arange(n)
 
-def _tile_pairs(least: int, percent: int):
-    """Over rows sorted by tile (band, key, i, j, mine, digest, component, n, signature): pairs of different components that may be similar."""
+    def join(self, x: int, others: np.ndarray) -> None:
+        labels = np.unique(self.label[np.append(others, x)])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
+    def edges(self, ids: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """A star for each component of several rows: its other rows, and its smallest id."""
+        rows = np.flatnonzero(np.bincount(self.label, minlength=len(ids))[self.label] > 1)
+        least: dict[int, bytes] = {}
+        for i in rows.tolist():
+            k = int(self.label[i])
+            least[k] = min(ids[i], least.get(k, ids[i]))
+        out = [(ids[i], least[int(self.label[i])]) for i in rows.tolist() if ids[i] != least[int(self.label[i])]]
+        return [x[0] for x in out], [x[1] for x in out]
+
+
+def _edges(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _alike_signatures(least: int, percent: int):
+    """Over rows sorted by tile (band, key, i, j, mine, digest, n, signature): a forest of the pairs that may be similar."""
+
+    def forest(t: pa.Table) -> pa.RecordBatch:
         key = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
-        mine, n = t.column(4).to_numpy(), t.column(7).to_numpy()
-        ids, comps = t.column(5).to_pylist(), t.column(6).to_pylist()
-        number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-        comp = np.array([number[c] for c in comps])
-        sig = np.frombuffer(b"".join(t.column(8).to_pylist()), "<u4").reshape(len(ids), -1)
+        mine, n, ids = t.column(4).to_numpy(), t.column(6).to_numpy(), t.column(5).to_pylist()
+        sig = np.frombuffer(b"".join(t.column(7).to_pylist()), f"<u{WIDTH}").reshape(len(ids), -1)
         cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
-        found = set()
+        a, b = [], []
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            i, j = key[s, 2:]
+            (i, j), found = key[s, 2:], _Joined(e - s)
             for x in range(s, e):
                 if mine[x] != i:
                     continue
                 others = np.arange(x + 1, e) if i == j else s + np.flatnonzero(mine[s:e] == j)
                 low, high = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
-                others = others[(comp[others] != comp[x]) & (100 * low >= percent * high)]
+                others = others[(found.label[others - s] != found.label[x - s]) & (100 * low >= percent * high)]
                 if len(others):
-                    others = others[(sig[others] == sig[x]).sum(1) >= least]
-                    found.update((ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x]) for y in others.tolist())
-        a, b = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    found.join(x - s, others[(sig[others] == sig[x]).sum(1) >= least] - s)
+            more = found.edges(ids[s:e])
+            a += more[0]
+            b += more[1]
+        return _edges(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -137,10 +160,57 @@ def _tile_pairs(least: int, percent: int):
             same = (key == key[-1]).all(1)
             whole = len(key) - int((~same[::-1]).argmax()) if not same.all() else 0
             if whole:  # the last tile may go on in the next batch
-                yield pairs(held.slice(0, whole).combine_chunks())
+                yield forest(held.slice(0, whole).combine_chunks())
                 held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield pairs(held.combine_chunks())
+            yield forest(held.combine_chunks())
+
+    return run
+
+
+def _alike_sets(percent: int, shingle: int):
+    """Over rows sorted by tile (node, i, j, mine, digest, component, text): a forest of the links of its different components."""
+
+    def forest(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch:
+        mine = np.array([r[0] for r in rows])
+        ids, sets = [r[1] for r in rows], [r[3] for r in rows]
+        n = np.array([len(s) for s in sets])
+        word = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        starts, marked, found = ends - n, np.zeros(int(word.max()) + 1, bool), _Joined(len(rows))
+        known: dict[bytes, int] = {}
+        for x, r in enumerate(rows):  # what is linked already
+            found.join(known.setdefault(r[2], x), np.array([x]))
+        for x in range(len(rows)):
+            if mine[x] != i:
+                continue
+            others = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(mine == j)
+            low, high = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
+            others = others[(found.label[others] != found.label[x]) & (100 * low >= percent * high)]
+            if not len(others):
+                continue
+            marked[word[starts[x] : ends[x]]] = True
+            size, first = n[others], np.cumsum(n[others]) - n[others]
+            each = np.repeat(starts[others] - first, size) + np.arange(int(size.sum()))
+            both = np.add.reduceat(marked[word[each]].astype(np.int64), first)
+            marked[word[starts[x] : ends[x]]] = False
+            found.join(x, others[100 * both >= percent * (size + n[x] - both)])
+        return _edges(*found.edges(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = (part.column(k).to_pylist() for k in range(6))
+                for node, i, j, mine, digest, component, words in zip(*columns, _per_document(_lowered(part.column(6)))):
+                    if tile != (node, i, j):
+                        if len(rows) > 1:
+                            yield forest(*tile[1:], rows)
+                        tile, rows = (node, i, j), []
+                    rows.append((mine, digest, component, shingle_set(words, shingle)))
+        if len(rows) > 1:
+            yield forest(*tile[1:], rows)
 
     return run
 
@@ -171,7 +241,7 @@ def _confirmed(percent: int, shingle: int):
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """pairs (a, b), texts (digest, text) -> a, b, linked, by their whole sets. b's text goes to its partners' tasks, once for each chunk of them."""
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    named = materialize(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk")))
+    named = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
     members = named.select("b", "chunk", F.lit(1).alias("role"), F.col("a").alias("digest"))
     centers = named.select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("digest")).distinct()
     rows = members.unionAll(centers).join(texts, "digest").select("b", "chunk", "role", "digest", F.col("text").cast("binary").alias("text"))
@@ -179,71 +249,71 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle:
     return materialize(rows.mapInArrow(_confirmed(percent, shingle), "a binary, b binary, linked boolean"))
 
 
-def _similar_sizes(percent: int):
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _tiled(rows: DataFrame, key: list[str], tiles: Column, *columns: str) -> DataFrame:
+    """rows once for every pair of tiles of its key that it takes part in, sorted by pair: key, i, j, mine, columns."""
+    cut = rows.withColumn("tiles", tiles.cast("int")).withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = each.select(*key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *columns)
+    return placed.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
 
 
-def _components(
-    classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, shingle: int, bands: int, rows: int, rounds: int, tile: int
-) -> DataFrame:
-    """classes (digest, n, signature); texts_of: (digest) -> digest, text. Gives node, component for the classes that have a link."""
-    least, wide = least_agreeing(bands * rows, percent), 4 * rows
+def candidates(classes: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, large: int = LARGE) -> DataFrame:
+    """classes (digest, n, signature) -> node, component: components that hold all classes that may be linked, of two and more."""
+    wide = WIDTH * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring("signature", i * wide + 1, F.lit(wide))).alias("key")))
-    keyed = classes.select("digest", "n", F.explode(keys).alias("k")).select("k.band", "k.key", "digest", "n")
-    crowded = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(keyed.join(crowded, ["band", "key"]).withColumn("component", F.col("digest")))
-    texts = materialize(texts_of(members.select("digest").distinct()))
-    signed = classes.select("digest", "signature")
+    keyed = classes.select("digest", F.explode(keys).alias("k")).select("k.band", "k.key", "digest")
+    crowded = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("digest").alias("lead")).where("size > 1")
+    members = materialize(keyed.join(crowded, ["band", "key"]))
+    signed = members.where(F.col("size") <= large).join(classes, "digest")
+    tiled = _tiled(signed, ["band", "key"], F.ceil(F.col("size") / tile), "digest", "n", "signature")
+    alike = tiled.mapInArrow(_alike_signatures(least_agreeing(bands * rows, percent), percent), "a binary, b binary")
+    return star_components(alike.unionAll(members.where(F.col("size") > large).select(F.col("digest").alias("a"), F.col("lead").alias("b"))))
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """members (node, component, n) of the nodes that have several components, with size, shingles and open: their pairs of different ones."""
+    each = members.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
+    squares = F.sum(F.col("c").cast("double") * F.col("c"))
+    g = each.groupBy("node").agg(F.sum("c").alias("size"), F.sum("words").alias("shingles"), squares.alias("squares"), F.count("*").alias("parts")).where("parts > 1")
+    g = g.select("node", "size", "shingles", ((F.col("size").cast("double") * F.col("size") - F.col("squares")) / 2).alias("open"))
+    return members.join(g, "node")
+
+
+def linked(
+    members: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, rounds: int = ROUNDS, most: int = MEMBERS, shingles: int = SHINGLES, few: int = FEW
+) -> DataFrame:
+    """members (node, digest, n), texts (digest, text) -> node, component of digests: those linked inside a node, by whole sets."""
+    members = materialize(_sizes(members.withColumn("component", F.col("digest"))))
     edges = members.select(F.col("digest").alias("a"), F.col("digest").alias("b")).where("false")
-    tried, found = edges, edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    agree = F.arrow_udf(_agreeing, "int")
-
-    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Confirm pairs; the edges, pairs that failed, and components after that."""
-        said = confirm(pairs, texts, percent, shingle)
-        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionAll(said.where("linked").select("a", "b"))
-        failed = tried.unionAll(said.where("NOT linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        return failed, star_components(links)
-
-    def still_open(found: DataFrame) -> tuple[DataFrame, int, int]:
-        """Members of buckets with more than one component, how many they are, and how many pairs of them are in different ones."""
-        now = members.drop("component", "size").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-        each = now.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-        buckets = each.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("c").alias("size"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
-        rest = materialize(now.join(buckets.where("parts > 1"), ["band", "key"]))
-        counted = rest.select("band", "key", "size", "squares").distinct().agg(F.sum("size"), F.sum((F.col("size").cast("double") * F.col("size") - F.col("squares")) / 2)).first()
-        return rest.drop("parts", "squares"), counted[0] or 0, counted[1] or 0
-
+    whole = lambda: members.agg(F.max("open"), F.max(F.greatest(F.col("size") / most, F.col("shingles") / shingles)), F.max(F.col("open") / F.col("size"))).first()
+    (pairs_left, tiles_most, per_member), thinned = whole(), False
     for turn in range(rounds):
-        order = F.xxhash64("digest", F.lit(turn))
-        leaders = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("order"), "digest", "n", "component")).alias("lead"))
-        met = members.join(leaders, ["band", "key"]).select(F.col("digest").alias("a"), F.col("lead.digest").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"), "component", F.col("lead.component").alias("other"))
-        pairs = met.where((F.col("component") != F.col("other")) & _similar_sizes(percent)).select("a", "b").distinct()
-        pairs = _untried(pairs, tried) if turn else pairs
-        pairs = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b").where(agree("sa", "sb") >= least)
-        tried, found = settle(materialize(pairs.select("a", "b")))
-        members, rows_left, pairs_left = still_open(found)
-        if not pairs_left:
-            return found
-        if pairs_left <= FEW * rows_left:
+        if not pairs_left or per_member <= few:
             break
-    tiles = F.ceil(F.col("size") / tile).cast("int")
-    tiled = members.join(signed, "digest").withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "digest", "component", "n", "signature")
-    tiled = tiled.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    pairs = tiled.mapInArrow(_tile_pairs(least, percent), "a binary, b binary").distinct()
-    return settle(materialize(_untried(pairs, tried)))[1]
-
-
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    ordered = tried.toDF("low", "high")
-    return pairs.join(ordered, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
-
-
-def minhash_components(
-    docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, tile: int = TILE
-) -> DataFrame:
+        thinned = True
+        order = F.xxhash64("digest", F.lit(turn))
+        crowd = members.where(F.col("open") > few * F.col("size"))
+        leaders = crowd.groupBy("node").agg(F.min(F.struct(order.alias("order"), "digest", "n", "component")).alias("lead"))
+        met = crowd.join(leaders, "node").where(F.col("component") != F.col("lead.component"))
+        met = met.where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
+        said = confirm(materialize(met.select(F.col("digest").alias("a"), F.col("lead.digest").alias("b"))), texts, percent, shingle)
+        found = star_components(edges.unionAll(said.where("linked").select("a", "b")))
+        edges = found.where("node <> component").toDF("a", "b")
+        renamed = found.withColumnRenamed("node", "digest").withColumnRenamed("component", "now")
+        now = members.select("node", "digest", "n", "component").join(renamed, "digest", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+        members = materialize(_sizes(now))
+        pairs_left, tiles_most, per_member = whole()
+    if pairs_left:
+        tiles = F.ceil(F.greatest(F.col("size") / most, F.col("shingles") / shingles))
+        tiled = _tiled(members.join(texts, "digest").withColumn("text", F.col("text").cast("binary")), ["node"], tiles, "digest", "component", "text")
+        more = materialize(tiled.mapInArrow(_alike_sets(percent, shingle), "a binary, b binary"))
+        if tiles_most <= 1 and not thinned:  # each component was seen whole: its star is there
+            return more.toDF("node", "component").unionAll(more.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        edges = edges.unionAll(more)
+    return star_components(edges)
+
+
+def minhash_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, **bounds: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     Texts are linked if 100 * intersection >= percent * union holds for their sets of different word shingles (64-bit hashes
@@ -251,18 +321,17 @@ def minhash_components(
     an empty set and no links. component_id is the smallest doc_id reachable, itself included, and kept says whether it is
     the row's own. Texts of equal sets are one class, linked as such. Rows that share a doc_id are linked by their own
     texts; a row without doc_id takes the smallest of its component, and is kept if that has none. Repeated rows stay;
-    further columns are left out; an empty table gives an empty result.
+    further columns are left out; an empty table gives an empty result. bounds are those of `linked`; none changes results.
     """
     docs = docs.select("doc_id", "text")
     prints = materialize(signatures(docs, shingle, bands, rows))
     full = prints.where("digest IS NOT NULL").groupBy("digest")
     classes = materialize(full.agg(F.min("doc_id").alias("first"), F.min("text_id").alias("text_id"), F.min("n").alias("n"), F.min("signature").alias("signature")))
-
-    def texts_of(digests: DataFrame) -> DataFrame:
-        wanted = classes.join(digests, "digest", "left_semi").select("text_id", "digest")
-        return docs.withColumn("text_id", F.unhex(F.md5("text"))).join(wanted, "text_id").dropDuplicates(["digest"]).select("digest", "text")
-
-    found = _components(classes.select("digest", "n", "signature"), texts_of, percent, shingle, bands, rows, rounds, tile)
+    maybe = candidates(classes.select("digest", "n", "signature"), percent, bands, rows)
+    members = materialize(maybe.toDF("digest", "node").join(classes.select("digest", "n", "text_id"), "digest"))
+    texts = docs.withColumn("text_id", F.unhex(F.md5("text"))).join(members.select("text_id", "digest"), "text_id")
+    texts = materialize(texts.groupBy("digest").agg(F.first("text").alias("text")))
+    found = linked(members.select("node", "digest", "n"), texts, percent, shingle, **bounds)
     named = classes.select("digest", "first").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(named.join(smallest, "component").select("digest", "component_id"))

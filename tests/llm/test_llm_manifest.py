@@ -231,15 +231,24 @@ def near_corpus(seed, most=50):
     return docs + [docs[3], (docs[4][0], "another text of the same id, long enough to have shingles"), (907, " ".join(vocabulary * 4))]
 
 
-@pytest.mark.parametrize("seed, rounds, tile", [(1, 4, 512), (2, 0, 7), (3, 1, 16)])
-def test_minhash_against_brute_force(spark, seed, rounds, tile):
+@pytest.mark.parametrize("seed, bounds", [(1, {}), (2, {"few": 0, "most": 7}), (3, {"few": 1, "rounds": 1, "shingles": 2000})])
+def test_minhash_against_brute_force(spark, seed, bounds):
     docs = near_corpus(seed)
     df = spark.createDataFrame([(d, t, 0, "x") for d, t in docs], "doc_id long, text string, n long, digest string").repartition(5)
-    got = sorted((tuple(r) for r in minhash.minhash_components(df, rounds=rounds, tile=tile).collect()), key=key)
+    got = sorted((tuple(r) for r in minhash.minhash_components(df, **bounds).collect()), key=key)
     assert got == brute_minhash(docs)
     assert len({r[2] for r in got}) < len(docs) - 20
 
 
+def test_candidates_in_tiles_and_large_buckets(spark):
+    """Small tiles find the same components as one tile; buckets taken unseen may only join more."""
+    rng = random.Random(6)
+    rows = [(bytes([i, g]), 100, b"".join(rng.choice(2 * [g] + [g + 50]).to_bytes(2, "little") for _ in range(150))) for g in range(3) for i in range(25)]
+    df = spark.createDataFrame(rows, "digest binary, n long, signature binary")
+    some, more, unseen = (sorted((bytes(r.node), bytes(r.component)) for r in minhash.candidates(df, 40, tile=t, large=u).collect()) for t, u in ((1024, 1000), (4, 1000), (4, 5)))
+    assert some == more and {n for n, _ in some} <= {n for n, _ in unseen} and len({c for _, c in some}) == 3
+
+
 def test_minhash_of_an_empty_table(spark):
     assert minhash.minhash_components(spark.createDataFrame([], "doc_id string, text string")).count() == 0
 
