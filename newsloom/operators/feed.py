@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, scoring
@@ -10,6 +10,7 @@ from newsloom.functions.text import tokens
 from newsloom.operators.clustering import story_clusters
 from newsloom.operators.dedupe import last_wins
 from newsloom.operators.ranking import with_rank
+from newsloom.operators.shared import materialize
 from newsloom.sources.articles import NOW, age_hours
 
 
@@ -20,43 +21,48 @@ CATEGORY = "Bóng đá"
 def news_items(articles: DataFrame, now: str = NOW) -> DataFrame:
     """articles (seq, title, excerpt, url, published, language, source, reliability, official) -> news items with cluster_pos.
 
-    articles may have category and translated; without them all are of CATEGORY and none is translated.
+    articles may have category, translated, id, and what enrichment gives: topic, key_points, importance. Without them all
+    are of CATEGORY, none is translated, seq is the id, and the rest is derived. All is combined before it is shuffled; only
+    the sources and details of a cluster, which are its output, are gathered.
     """
-    defaults = {"category": F.lit(CATEGORY), "translated": F.lit(False)}
+    defaults = {
+        "category": F.lit(CATEGORY), "translated": F.lit(False), "id": F.col("seq").cast("string"), "topic": F.lit(None).cast("string"),
+        "key_points": F.lit(None).cast("array<string>"), "importance": F.lit(None).cast("int"),
+    }
     a = articles.withColumns({c: x for c, x in defaults.items() if c not in articles.columns}).withColumn("tok", tokens(F.col("title")))
-    c = story_clusters(a)
-    imp = scoring.importance(F.col("title"), F.col("category"))
-    m = a.join(c, "seq").withColumn("imp", imp)
-    own = Window.partitionBy("cluster")
+    a = materialize(a)  # read for links, for places and for the items
+    given = F.when(F.col("importance") != 0, F.col("importance").cast("double"))
+    m = a.join(story_clusters(a), "seq").withColumn("imp", F.coalesce(given, scoring.importance(F.col("title"), F.col("category"))))
     # The last article of a source stands for it, at the place of its first.
-    s = m.withColumn("src_n", F.row_number().over(Window.partitionBy("cluster", "source").orderBy(F.desc("pos"))))
-    s = s.withColumn("src_first", F.min("pos").over(Window.partitionBy("cluster", "source")))
-    s = s.withColumn("lead_n", F.row_number().over(own.orderBy(F.desc("translated"), F.desc("published"), F.desc("reliability"), "pos")))
-    detail = F.struct("pos", F.col("source").alias("name"), "url", "reliability", "language")
-    g = s.groupBy("cluster").agg(
-        F.count_if(F.col("src_n") == 1).cast("double").alias("n"),
-        F.avg(F.when(F.col("src_n") == 1, F.col("reliability").cast("double"))).alias("rel"),
-        F.bool_or(F.when(F.col("src_n") == 1, F.col("official"))).alias("official"), F.max("imp").alias("imp"),
-        F.array_sort(F.collect_list(F.when(F.col("src_n") == 1, F.struct("src_first", "source")))).alias("srcs"),
-        F.array_sort(F.collect_list(detail)).alias("details"),
-        F.array_sort(F.collect_list(F.when(F.col("lead_n") > 1, F.struct("pos", "title")))).alias("others"),
-        F.max(F.when(F.col("lead_n") == 1, F.struct("seq", "title", "excerpt", "url", "published", "language", "category", "translated"))).alias("lead"),
-        F.max("published").alias("newest"),
+    stands = F.max(F.struct("pos", "reliability", F.col("official").alias("official"))).alias("last")
+    s = m.groupBy("cluster", "source").agg(stands, F.min("pos").alias("src_first")).groupBy("cluster").agg(
+        F.count("*").cast("double").alias("n"), F.avg(F.col("last.reliability").cast("double")).alias("rel"), F.bool_or("last.official").alias("official"),
+        F.array_sort(F.collect_list(F.struct("src_first", "source"))).alias("srcs"),
     )
+    lead = F.struct("translated", "published", "reliability", (-F.col("pos")).alias("back"), "seq", "id", "title", "excerpt", "url", "language", "category", "topic", "key_points")
+    g = m.groupBy("cluster").agg(
+        F.max("imp").alias("imp"), F.max(lead).alias("lead"), F.max("published").alias("newest"),
+        F.array_sort(F.collect_list(F.struct("pos", F.col("source").alias("name"), "url", "reliability", "language"))).alias("details"),
+        F.array_sort(F.collect_list(F.when(F.col("pos") <= 3, F.struct("pos", "id", "title")))).alias("first"),
+    ).join(s, "cluster")
     age = age_hours(F.col("lead.published"), now)
     english = F.col("lead.language") == "en"
     g = with_rank(g.withColumn("age", age), [F.desc("newest"), F.col("cluster")], "cluster_pos")
     verified = F.col("official") | (F.col("n") >= 2)
     hot = scoring.hotness(F.col("age"), F.col("n"), F.col("rel"), F.col("imp"), scoring.velocity(F.col("n"), F.col("age")), F.col("imp"), verified)
     rel = scoring.reliability(F.col("rel"), F.col("n"), F.col("official"), scoring.speculative(F.col("lead.title"), F.col("lead.excerpt")))
-    points = F.slice(F.concat(F.array("lead.excerpt"), F.slice(F.transform("others", lambda o: o["title"]), 1, 2)), 1, 3)
+    others = F.slice(F.filter("first", lambda o: o["id"] != F.col("lead.id")), 1, 2)
+    derived = F.transform(F.concat(F.array("lead.excerpt"), F.transform(others, lambda o: o["title"])), lambda p: F.left(p, F.lit(190)))
+    points = F.when(F.size("lead.key_points") > 0, F.col("lead.key_points")).otherwise(derived)
+    topic = F.col("lead.topic")
+    kind = F.when(english, F.concat(F.coalesce(topic, "lead.category"), F.lit(" · Quốc tế"))).otherwise(F.concat("lead.category", F.lit(" · Việt Nam")))
     place = F.when(english, "Bóng đá quốc tế").otherwise("Thể thao Việt Nam")
     tone = F.element_at(F.array(*[F.lit(t) for t in scoring.TONES]), (F.col("cluster_pos") % 5 + 1).cast("int"))
     return g.select(
-        F.col("lead.seq").alias("seq"), F.concat(F.lit("rss-"), F.col("lead.seq").cast("string")).alias("id"), F.col("lead.title").alias("title"),
-        F.left("lead.excerpt", F.lit(420)).alias("summary"), F.transform(points, lambda p: F.left(p, F.lit(190))).alias("key_points"),
-        F.concat(F.lit("rss-"), F.col("lead.seq").cast("string")).alias("slug"), F.concat("lead.category", F.when(english, " · Quốc tế").otherwise(" · Việt Nam")).alias("category"),
-        place.alias("competition"), place.alias("team"), dates.distance(F.col("lead.published"), F.lit(now).cast("timestamp")).alias("published_ago"),
+        F.col("lead.seq").alias("seq"), F.concat(F.lit("rss-"), "lead.id").alias("id"), F.col("lead.title").alias("title"),
+        F.left("lead.excerpt", F.lit(420)).alias("summary"), F.slice(points, 1, 3).alias("key_points"),
+        F.concat(F.lit("rss-"), "lead.id").alias("slug"), kind.alias("category"),
+        F.coalesce(topic, place).alias("competition"), place.alias("team"), dates.distance(F.col("lead.published"), F.lit(now).cast("timestamp")).alias("published_ago"),
         dates.iso(F.col("lead.published")).alias("published_timestamp"), F.col("lead.published").alias("published"), hot.alias("hotness"), rel.alias("reliability"),
         F.transform("srcs", lambda x: x["source"]).alias("sources"), F.transform("details", lambda x: x.dropFields("pos")).alias("source_details"),
         F.col("lead.url").alias("original_url"), F.col("lead.language").alias("original_language"), F.col("lead.translated").alias("translated"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.ranking import with_rank
@@ -10,8 +10,8 @@ from newsloom.operators.ranking import with_rank
 
 def _one_a_key(source: DataFrame, key: str) -> DataFrame:
     """One row of each key: the one whose columns, as JSON, come first. Rows that repeat a key would be inserted twice."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in source.columns]))))
-    return source.withColumn("_first", first).where("_first = 1").drop("_first")
+    row = F.struct(*[F.col(f"`{c}`") for c in source.columns])
+    return source.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.to_json(row)).alias("one")).select("one.*")  # combined before the shuffle
 
 
 def insert_new(target: DataFrame, source: DataFrame, key: str) -> DataFrame:

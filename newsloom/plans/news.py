@@ -138,7 +138,17 @@ def duplicate_pairs_jaccard(spark, d):
     return similarity.likely_duplicates(articles(spark, d).withColumn("tok", text.title_words(F.col("title"))))
 
 
-@query()
+#: The first article that links to earlier ones lead to; links in a table, walked to their end.
+_CLUSTERS = f"""WITH RECURSIVE {sql.ARTICLES}, t AS (SELECT seq, published, {sql.tokens('title')} AS tok FROM a), e AS (SELECT seq, published, len(tok) AS n, unnest(tok) AS w FROM t),
+p AS ({_PAIRS.format(hours=72)}), s AS (SELECT a, b FROM p WHERE shared >= 3 AND CAST(shared AS DOUBLE) / greatest(1, least(na, nb)) >= CAST(0.52 AS DOUBLE)),
+l AS (SELECT CASE WHEN x.published > y.published OR (x.published = y.published AND x.seq < y.seq) THEN y.seq ELSE x.seq END AS seq,
+      CASE WHEN x.published > y.published OR (x.published = y.published AND x.seq < y.seq) THEN x.seq ELSE y.seq END AS before FROM s JOIN t x ON x.seq = s.a JOIN t y ON y.seq = s.b),
+r AS (SELECT seq, seq AS head FROM t UNION SELECT r.seq, l.before FROM r JOIN l ON l.seq = r.head),
+c AS (SELECT r.seq, arg_max(r.head, (t.published, -r.head)) AS cluster FROM r JOIN t ON t.seq = r.head GROUP BY r.seq)
+SELECT c.seq, cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY t.published DESC, c.seq) AS INT) AS pos FROM c JOIN t ON t.seq = c.seq"""
+
+
+@query(_CLUSTERS)
 def story_clusters(spark, d):
     return clustering.story_clusters(articles(spark, d).withColumn("tok", text.tokens(F.col("title"))))
 

@@ -43,44 +43,40 @@ def feed_registry(spark: SparkSession, config: str | None = None) -> DataFrame:
     kinds = f"array<struct<{','.join(':'.join(c.split()) for c in schemas.FEED_CONFIG.split(', '))}>>"
     try:
         if not isinstance(json.loads(config), list):
-            raise TypeError("feeds are a JSON array")
+            raise ValueError("feeds are a JSON array")
         feeds = one.select(F.inline(F.from_json("config", kinds))).withColumn("official", F.coalesce("official", F.lit(False)))
         return feeds.where((F.length("name") > 0) & F.col("url").startswith("https://") & F.col("language").isin("vi", "en"))
-    except json.JSONDecodeError:
+    except ValueError:  # no JSON, or no array
         urls = one.select(F.posexplode(F.split("config", ",")).alias("n", "url")).select("n", text.trim_space(F.col("url")).alias("url"))
         name = F.concat(F.lit(CUSTOM_NAME), (F.col("n") + 1).cast("string"))
         return urls.where(F.col("url").startswith("https://")).select(name.alias("name"), "url", F.lit(RELIABILITY).alias("reliability"), F.lit(LANGUAGE).alias("language"), F.lit(False).alias("official"))
 
 
+_LINK, _GUID = "array<struct<`#text`:string,`@_href`:string>>", "struct<`#text`:string>"
+_ITEM = {
+    "title": "string", "link": _LINK, "guid": _GUID, "id": "string", "description": "string", "summary": "string", "content": "string", "pubDate": "string",
+    "published": "string", "updated": "string", "category": "array<string>",
+}
+_XML = {"attributePrefix": "@_", "valueTag": "#text", "mode": "PERMISSIVE"}
+
+
 def _fields(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Items of landed XML as text; a link may be text or an attribute."""
-    link = "link array<struct<`#text`:string,`@_href`:string>>"
-    guid = "guid struct<`#text`:string>"
-    schema = f"title string, {link}, {guid}, id string, description string, summary string, content string, pubDate string, published string, updated string, category array<string>"
-    return (
-        spark.read.format("xml").schema(schema).options(rowTag=tag, attributePrefix="@_", valueTag="#text", mode="PERMISSIVE").load(path)
-        .select("*", F.col("_metadata.file_path").alias("file"))
-    )
+    schema = ", ".join(f"{name} {kind}" for name, kind in _ITEM.items())
+    return spark.read.format("xml").schema(schema).options(rowTag=tag, **_XML).load(path).select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def rss_items(spark: SparkSession, path: str, now: Column, feeds: DataFrame | None = None, per_feed: int = PER_FEED) -> DataFrame:
-    """Raw articles of all feeds landed under path: the first `per_feed` items of each file, of these the valid ones.
+def _valid_articles(first: DataFrame, now: Column, *keep: str) -> DataFrame:
+    """Items, with their feed's source, feed_url, reliability, language and official, as articles; only valid ones.
 
-    A file is a feed. feeds has (file: the end of the landed file's path, name, url, reliability, language, official); a
-    file that it lacks has null there and no Vietnamese times. A link is its address, else its text, else the feed's own
-    address. Rows without title, without a link to http(s), or whose time cannot be read, are dropped.
+    A link is its address, else its text, else the feed's own address. Rows without title, without a link to http(s), or
+    whose time cannot be read, are dropped.
     """
-    both = _fields(spark, path, "item").withColumn("kind", F.lit(0)).unionByName(_fields(spark, path, "entry").withColumn("kind", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("kind", "at"))
-    first = both.withColumn("at", F.monotonically_increasing_id()).withColumn("pos", place).where(F.col("pos") <= per_feed)
-    feeds = feeds if feeds is not None else spark.createDataFrame([], f"file string, {schemas.FEED_CONFIG}")
-    known = feeds.select(F.col("file").alias("f_file"), F.col("name").alias("source"), F.col("url").alias("feed_url"), "reliability", "language", F.coalesce("official", F.lit(False)).alias("official"))
-    first = first.join(F.broadcast(known), F.col("file").endswith(F.col("f_file")), "left")  # a registry of feeds is a small list
     link = F.get("link", F.lit(0))
     excerpt = F.left(text.clean_text(F.col("description")), F.lit(520))
     when = normalize_timestamp(F.coalesce("pubDate", "published", "updated"), now, F.coalesce(F.col("language") == "vi", F.lit(False)))
     raw = first.select(
-        "file", "pos", text.clean_text(F.col("title")).alias("title"), F.coalesce(link["@_href"], link["#text"], "feed_url").alias("url"),
+        *keep, "pos", text.clean_text(F.col("title")).alias("title"), F.coalesce(link["@_href"], link["#text"], "feed_url").alias("url"),
         F.coalesce(F.nullif(excerpt, F.lit("")), F.lit(NO_EXCERPT)).alias("excerpt"), F.col("guid.`#text`").alias("guid"),
         F.coalesce(F.nullif(text.clean_text(F.get("category", F.lit(0))), F.lit("")), F.lit(NO_CATEGORY)).alias("category"), when.alias("published"),
         "source", "reliability", "language", "official", F.lit(False).alias("translated"),
@@ -89,6 +85,36 @@ def rss_items(spark: SparkSession, path: str, now: Column, feeds: DataFrame | No
     return valid.withColumn("id", text.content_hash(F.col("title"), F.coalesce("guid", "url"))).drop("guid")
 
 
+def rss_items(spark: SparkSession, path: str, now: Column, feeds: DataFrame | None = None, per_feed: int = PER_FEED) -> DataFrame:
+    """Raw articles of all feeds landed under path: the first `per_feed` items of each file, of these the valid ones.
+
+    A file is a feed. feeds has (file: the end of the landed file's path, name, url, reliability, language, official); a
+    file that it lacks has null there and no Vietnamese times.
+    """
+    both = _fields(spark, path, "item").withColumn("kind", F.lit(0)).unionByName(_fields(spark, path, "entry").withColumn("kind", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("kind", "at"))
+    first = both.withColumn("at", F.monotonically_increasing_id()).withColumn("pos", place).where(F.col("pos") <= per_feed)
+    feeds = feeds if feeds is not None else spark.createDataFrame([], f"file string, {schemas.FEED_CONFIG}")
+    known = feeds.select(F.col("file").alias("f_file"), F.col("name").alias("source"), F.col("url").alias("feed_url"), "reliability", "language", F.coalesce("official", F.lit(False)).alias("official"))
+    first = first.join(F.broadcast(known), F.col("file").endswith(F.col("f_file")), "left")  # a registry of feeds is a small list
+    return _valid_articles(first, now, "file")
+
+
+def feed_articles(bodies: DataFrame, feeds: DataFrame, now: Column, per_feed: int = PER_FEED) -> DataFrame:
+    """S01, P01, F07 of feeds read as (source, place, body): RSS or Atom; one item or many; the first `per_feed` of each feed.
+
+    feeds (name, url, reliability, language, official) tells about sources by name. seq numbers articles feed after feed,
+    in the order of the list: what the news items of operators.feed start from. A body that is no XML has no items.
+    """
+    item = ",".join(f"{name}:{kind}" for name, kind in _ITEM.items())
+    parsed = F.from_xml("body", f"channel struct<item:array<struct<{item}>>>, entry array<struct<{item}>>", _XML)
+    items = F.slice(F.coalesce(F.col("x.channel.item"), F.col("x.entry")), 1, per_feed)
+    each = bodies.select("source", "place", parsed.alias("x")).select("source", "place", F.posexplode(items).alias("pos", "item")).select("source", "place", (F.col("pos") + 1).alias("pos"), "item.*")
+    known = feeds.select(F.col("name").alias("source"), F.col("url").alias("feed_url"), "reliability", "language", F.coalesce("official", F.lit(False)).alias("official"))
+    valid = _valid_articles(each.join(F.broadcast(known), "source"), now, "place")  # a registry of feeds is a small list
+    return valid.withColumn("seq", F.col("place").cast("long") * per_feed + F.col("pos") - 1).drop("place", "pos")
+
+
 def json_articles(spark: SparkSession, path: str) -> DataFrame:
     """Landed JSON arrays of external articles. A file that holds anything but an array is an error when it is read."""
     landed = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
@@ -135,7 +161,10 @@ def retried(fetch: Callable[[], object], attempts: int = 2, wait: float = 0.0) -
 
 
 def union_of_available(reads: Iterable[Callable[[], DataFrame]]) -> DataFrame:
-    """The sources that can be read, one after the other; an error only if none can."""
+    """The sources whose plans can be made, one after the other; an error only if none can.
+
+    What fails while rows are read fails the action; sources.landed reads sources of which some may do that.
+    """
     out, errors = None, []
     for n, read in enumerate(reads):
         try:

@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_without_oracle_are_few():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"clean_html", "story_clusters", "news_feed_top60"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"clean_html", "news_feed_top60"}
 
 
 def test_feed_is_ordered_and_whole(spark):
