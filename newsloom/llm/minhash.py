@@ -329,7 +329,8 @@ def minhash_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     classes = materialize(full.agg(F.min("doc_id").alias("first"), F.min("text_id").alias("text_id"), F.min("n").alias("n"), F.min("signature").alias("signature")))
     maybe = candidates(classes.select("digest", "n", "signature"), percent, bands, rows)
     members = materialize(maybe.toDF("digest", "node").join(classes.select("digest", "n", "text_id"), "digest"))
-    texts = docs.withColumn("text_id", F.unhex(F.md5("text"))).join(members.select("text_id", "digest"), "text_id")
+    # A list of texts that grows with the table is never broadcast: both sides are shuffled at every size.
+    texts = docs.withColumn("text_id", F.unhex(F.md5("text"))).join(members.select("text_id", "digest").hint("merge"), "text_id")
     texts = materialize(texts.groupBy("digest").agg(F.first("text").alias("text")))
     found = linked(members.select("node", "digest", "n"), texts, percent, shingle, **bounds)
     named = classes.select("digest", "first").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
