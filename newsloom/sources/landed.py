@@ -81,8 +81,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[OneSource]:
         return [OneSource(n, name, url) for n, (name, url) in enumerate(self.o.sources)]
 
-    def read(self, partition: OneSource) -> Iterator[tuple]:
-        yield fetch(partition, self.o.attempts, self.o.timeout)
+    def read(self, partition: OneSource | None) -> Iterator[tuple]:
+        if partition is not None:  # Spark reads a list without sources once
+            yield fetch(partition, self.o.attempts, self.o.timeout)
 
 
 class _StreamReader(DataSourceStreamReader):
