@@ -10,6 +10,7 @@ Inner products become distances by one more coordinate, sqrt(longest^2 - length^
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,35 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rel
                 d[c < 0] = np.inf
                 o = np.argsort(d, axis=1, kind="stable")[:, : 3 * degree]
                 graph[nodes[full]] = robust_prune(x, np.take_along_axis(c, o, 1), np.take_along_axis(d, o, 1), degree, relax)
-    return graph, start
+    return connected(graph, start), start
+
+
+def connected(graph: np.ndarray, start: int) -> np.ndarray:
+    """The graph with an edge more to each node that pruning cut off from start, from its nearest neighbour that is reached."""
+    reached, more = np.zeros(len(graph) + 1, bool), []
+    reached[-1] = True  # stands for -1: no neighbour
+
+    def walk(front: np.ndarray) -> None:
+        while len(front):
+            reached[front] = True
+            front = np.unique(graph[front])
+            front = front[~reached[front]]
+
+    walk(np.array([start]))
+    while len(lost := np.flatnonzero(~reached)):
+        near = reached[graph[lost]] & (graph[lost] >= 0)
+        can = np.flatnonzero(near.any(1))
+        child = int(lost[can[0]]) if len(can) else int(lost[0])
+        more.append((int(graph[child, near[can[0]].argmax()]) if len(can) else start, child))
+        walk(np.array([child]))
+    if not more:
+        return graph
+    wide = np.full((len(graph), max(Counter(p for p, _ in more).values())), -1)
+    held: Counter = Counter()
+    for parent, child in more:
+        wide[parent, held[parent]] = child
+        held[parent] += 1
+    return np.concatenate([graph, wide], 1)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -151,7 +180,7 @@ def build_index(vectors: DataFrame, shard: int = SHARD, per_class: int = K + 1)
         length = (x * x).sum(1)
         x = np.concatenate([x, np.sqrt(np.maximum(length.max() - length, 0))[:, None]], 1).astype(np.float32)
         graph, start = build_graph(x)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * DEGREE), pa.array(graph.ravel().astype(np.int32)))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * graph.shape[1]), pa.array(graph.ravel().astype(np.int32)))
         more = {"neighbours": flat, "node": pa.array(np.arange(len(x), dtype=np.int32)), "start": pa.array(np.full(len(x), start, np.int32))}
         return pa.table({c: more[c] if c in more else t[c] for c in ("dim", "shard", "node", "start", "embedding", "members", "neighbours")})
 
@@ -160,6 +189,19 @@ def build_index(vectors: DataFrame, shard: int = SHARD, per_class: int = K + 1)
     return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, kind))
 
 
+def nearest_ids(nodes: np.ndarray, scores: np.ndarray, members: list[list[int]], most: int) -> list[tuple[int, float]]:
+    """The `most` best different ids of nodes given by score, best first (-1: none), as (id, score); ties go to the smaller id."""
+    got: dict[int, float] = {}
+    last = None
+    for node, score in zip(nodes.tolist(), scores.tolist()):
+        if node < 0 or len(got) >= most and score < last:
+            break
+        last = score
+        for v in members[node]:
+            got.setdefault(v, score)
+    return sorted(got.items(), key=lambda g: (-g[1], g[0]))[:most]
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, block: int = BLOCK) -> DataFrame:
     """index, queries (query_id, embedding) -> query_id, rank, vec_id, score: the k nearest found of other ids, nearest first.
 
@@ -187,19 +229,24 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_
                 ids, _ = beam_search(wide, graph, int(nodes["start"][0].as_py()), np.pad(part, ((0, 0), (0, 1))).astype(np.float32), beam)
                 exact = np.matmul(x[ids], part[:, :, None])[:, :, 0]
                 exact[ids < 0] = -np.inf
-                best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
+                best = np.argsort(-exact, axis=1, kind="stable")
                 for i in range(len(part)):
-                    got = [(v, exact[i, j]) for j in best[i] if ids[i, j] >= 0 for v in members[ids[i, j]]]
-                    got = sorted(got, key=lambda g: (-g[1], g[0]))[: k + 1]
+                    got = nearest_ids(ids[i, best[i]], exact[i, best[i]], members, k + 1)
+                    if len(got) <= k and beam < len(x):  # ids that repeat fill the beam: the whole shard is looked at
+                        every = x @ part[i]
+                        order = np.argsort(-every, kind="stable")
+                        got = nearest_ids(order, every[order], members, k + 1)
                     qs.append(np.full(len(got), q_ids[a + i])), vs.append(np.array([g[0] for g in got], np.int64)), ss.append(np.array([g[1] for g in got]))
         return pa.table({"q": pa.array(np.concatenate(qs)), "vec_id": pa.array(np.concatenate(vs)), "score": pa.array(np.concatenate(ss))})
 
     found = copies.groupBy("dim", "shard", "block").cogroup(each.groupBy("dim", "shard", "block")).applyInArrow(find, "q long, vec_id long, score double")
+    # An id counts once, by its best vector, before anything is cut: one that repeats takes no other's place.
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     who = queries.select("query_id", F.col("embedding").alias("e")).join(asked.select("q", F.col("embedding").alias("e")), "e").select("query_id", "q")
-    own = found.join(who, "q").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("n"))
+    own = found.join(who, "q").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return own.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -207,11 +254,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard: int = SHARD,
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score, for the rows whose id is divisible by `every`.
 
     Rows without id, and vectors that are null, zero, or hold a null or non-finite component, take
-    no part; an id that is repeated counts once for each different vector; ties go to the smaller
+    no part. An id that is repeated is asked with each of its different vectors, found once, by the best pair of vectors,
+    and never finds itself. Ties go to the smaller
     id; queries without candidates have no rows; an empty table gives an empty result.
     """
     v = materialize(valid_vectors(vectors))
-    queries = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    queries = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     return search(build_index(v, shard, k + 1), queries, k, beam)
 
 

@@ -42,6 +42,29 @@ def test_recall(spark, shard):
     assert hits >= 0.95 * 20 * len(want)
 
 
+def test_ids_that_repeat_lose_no_neighbours(spark):
+    """58 ids beside one that stands in 31 nearly equal vectors, and another one asked with two vectors that are far apart."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [(20, (base + 1e-4 * rng.normal(size=8)).tolist()) for _ in range(31)]
+    rows += [(100 + i, (base + 0.3 * rng.normal(size=8)).tolist()) for i in range(58)]
+    rows += [(40, base.tolist()), (40, (-base).tolist())]
+    want = {}
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max([float(np.dot(v, w)) for j, w in rows if j == q] + [best.get(i, -np.inf)])
+        want[q] = [i for i, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    for beam in (112, 24):
+        got = {}
+        for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), beam=beam).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert set(got) == set(want) and len(want) == 5 and all(len(x) == len(set(x)) == 20 and q not in x for q, x in got.items())
+        missed = sum(len(set(want[q]) - set(x)) for q, x in got.items())
+        assert missed == 0 if beam == 112 else missed <= 10
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, [nan, 1.0]), (60, None), (80, [inf, 1.0]), (100, [None, 1.0]), (None, [1.0, 1.0])]
