@@ -12,6 +12,10 @@ from newsloom.operators.ranking import with_rank
 TRANSFER = "(chuyen nhuong|thuong vu|transfer|sign(?:s|ed|ing)?|deal|loan|gia nhap|dam phan|hop dong)"
 
 
+#: Rows up to the end of a page that a task may hold.
+NEAR = 10_000
+
+
 def search_text() -> Column:
     """P11 of an item."""
     return normalize_search(F.concat_ws(" ", "title", "summary", "category", "competition", "team", F.concat_ws(" ", "sources"), F.concat_ws(" ", "key_points")))
@@ -74,14 +78,17 @@ def personalized(items: DataFrame, followed: list[str]) -> DataFrame:
 def paginate(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     """Rows of one page, with page and total_pages; the page is held between 1 and the last. Rows that tie in `order` may change places.
 
-    Places come from with_rank: no task sees more than its range of the sort, however far the page is. df's own columns
-    page and total_pages are replaced.
+    Near pages are the best rows of each task and then of all. For pages beyond NEAR rows places come from with_rank: no task
+    sees more than its range of the sort, however far the page is. Who turns pages often stores the order once, in
+    operators.pages. df's own columns page and total_pages are replaced.
     """
-    ranked = with_rank(df, order, "_place")
-    pages = max(1, -(-ranked.count() // size))
+    pages = max(1, -(-df.count() // size))
     page = min(max(1, page), pages)
+    if page * size <= NEAR:
+        rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+        return rows.withColumns({"page": F.lit(page), "total_pages": F.lit(pages)})
     here = F.col("_place").between((page - 1) * size, page * size - 1)
-    return ranked.where(here).drop("_place").withColumns({"page": F.lit(page), "total_pages": F.lit(pages)}).orderBy(*order)
+    return with_rank(df, order, "_place").where(here).drop("_place").withColumns({"page": F.lit(page), "total_pages": F.lit(pages)}).orderBy(*order)
 
 
 def page_strip(spark, page: int, total: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import incremental, runs, stored
+from newsloom.operators import asked, incremental, pages, runs, stored, text_index
 from newsloom.operators.shared import new_path
 from newsloom.plans import news, sports, sql
 from newsloom.sources import landed
@@ -94,7 +94,56 @@ def logged_ingestion(spark, d):
 @query("SELECT page_id, url, length(html) AS n FROM pages")
 def sources_one_failing(spark, d):
     """Pages landed as JSON files, each a source, beside one source that cannot be read."""
-    pages, path = read(spark, d, "pages"), new_path(spark, "pages")
-    pages.write.option("maxRecordsPerFile", 2000).json(path)
+    rows, path = read(spark, d, "pages"), new_path(spark, "pages")
+    rows.write.option("maxRecordsPerFile", 2000).json(path)
     good, _ = landed.read_sources(spark, [("missing", f"{path}/no-such-file"), *landed.files_under(spark, path)])
     return landed.json_rows(good, "page_id long, url string, html string").select("page_id", "url", F.length("html").cast("long").alias("n"))
+
+
+@query(news.ORACLES["paginate"])
+def stored_page(spark, d):
+    order, path = [F.desc("o_totalprice"), F.col("o_orderkey")], new_path(spark, "pages")
+    pages.store(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), path, order)
+    return pages.page(spark, path, order, 3, 25)
+
+
+def _texts(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), text.normalize_search(F.col("text")).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT split_part(x, ' ', 1) || ' ' || split_part(x, ' ', 2) AS term FROM (SELECT {sql.fold('text')} AS x FROM benchmark) UNION SELECT left(lower(n_name), 2) FROM nation),
+x AS (SELECT doc_id AS id, {sql.fold('text')} AS text FROM documents) SELECT term, id FROM t JOIN x ON contains(x.text, t.term) WHERE term <> ''""")
+def indexed_search(spark, d):
+    """The first two words of every benchmark item, and two letters of every nation, in whole documents."""
+    folded = F.split(text.normalize_search(F.col("text")), " ")
+    words = read(spark, d, "benchmark").select(F.concat_ws(" ", F.get(folded, F.lit(0)), F.coalesce(F.get(folded, F.lit(1)), F.lit(""))).alias("term"))
+    terms = words.unionAll(read(spark, d, "nation").select(F.left(F.lower("n_name"), F.lit(2)).alias("term"))).where("term <> ''")
+    texts, path = _texts(spark, d), new_path(spark, "index")
+    text_index.build(texts, path)
+    return text_index.holding(texts, path, terms)
+
+
+@query(f"""WITH w AS (SELECT c_mktsegment AS who, left(lower(n_name), 3) AS term, count(*) AS times FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+x AS (SELECT doc_id AS id, {sql.fold('text')} AS text FROM documents) SELECT who, id, CAST(sum(times) AS BIGINT) AS relevance FROM w JOIN x ON contains(x.text, w.term) GROUP BY who, id""")
+def followed_relevance(spark, d):
+    """Segments follow the nations of their customers, by three letters, as often as they have customers there."""
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.left(F.lower("n_name"), F.lit(3)).alias("term"))
+    wishes = read(spark, d, "customer").join(nations, "c_nationkey").select(F.col("c_mktsegment").alias("who"), "term")
+    texts, path = _texts(spark, d), new_path(spark, "index")
+    text_index.build(texts, path)
+    return text_index.relevance(texts, path, wishes, 3)
+
+
+def echo(some: list[dict]) -> list[dict]:
+    """Stands for a model: says what it is asked, and refuses every title with an x."""
+    return [{"id": a["id"], "title": "VI " + a["title"], "summary": a["excerpt"][:40], "key_points": [a["title"][:10]], "topic": "echo", "importance": len(a["title"])} for a in some if "x" not in a["title"]]
+
+
+@query(f"""WITH {sql.ARTICLES} SELECT seq, CASE WHEN ok THEN 'VI ' || title ELSE title END AS title, ok AS translated, CASE WHEN ok THEN 'echo' END AS topic, CASE WHEN ok THEN CAST(length(title) AS INT) END AS importance
+FROM (SELECT *, language = 'en' AND NOT contains(title, 'x') AND length(title) > 0 AND length(left(excerpt, 40)) > 0 AS ok FROM a)""")
+def enriched_articles(spark, d):
+    """All English articles are put to a model that echoes; the second run finds every answer stored."""
+    a, path = articles(spark, d), new_path(spark, "answers")
+    english = a.where("language = 'en'")
+    asked.enriched(a, english, path, echo)
+    return asked.enriched(a, english, path, echo).select("seq", "title", "translated", "topic", "importance")
