@@ -10,7 +10,7 @@ from newsloom.operators.shared import new_path
 from newsloom.plans import news, sports, sql
 from newsloom.sources import landed
 from newsloom.sources.articles import articles, read
-from newsloom.streaming import stories
+from newsloom.streaming import latest, stories
 
 QUERIES, ORACLES = {}, {}
 
@@ -147,3 +147,14 @@ def enriched_articles(spark, d):
     english = a.where("language = 'en'")
     asked.enriched(a, english, path, echo)
     return asked.enriched(a, english, path, echo).select("seq", "title", "translated", "topic", "importance")
+
+
+@query(news.ORACLES["dedupe_by_url_last_wins"])
+def stream_last_wins(spark, d):
+    """Articles in three slices by a hash of their text, one after the other; a table keeps the last of each url."""
+    a = articles(spark, d).select("url", "seq", "title")
+    inbox, path, checkpoint = (new_path(spark, f"latest-{x}") for x in ("in", "table", "state"))
+    for i in range(3):
+        a.where(F.pmod(F.xxhash64("title"), F.lit(3)) == i).write.mode("append").parquet(inbox)
+        latest.store_latest(spark.readStream.schema(a.schema).parquet(inbox), path, "url", checkpoint)
+    return stored.table(spark, path, "url string, seq long, title string, first_seq long").select("url", "seq", "first_seq", "title")
