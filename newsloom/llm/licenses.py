@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
+#: A copy is at most so many times as long as its license: words put in may take the rest.
+STRETCH = 4
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 _BSD_CONDITIONS = (
@@ -34,6 +36,27 @@ _BSD_DISCLAIMER = (
     "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
     "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+_DEALINGS = "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSL_OPENING = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+    'this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+    "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"
+)
+_UNLICENSE_OPENING = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+_ISC_OPENING = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+    "that the above copyright notice and this permission notice appear in all copies."
+)
+_MIT_OPENING = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
 
 
 def _gpl_header(name: str, version: int) -> str:
@@ -61,11 +84,6 @@ TEMPLATES = {
     "LGPL-3.0 header": _gpl_header("GNU Lesser General Public License", 3),
     "BSD-2-Clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
     "BSD-3-Clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
-    "BSL-1.0": (
-        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
-        'this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
-        "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"
-    ),
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0 long notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -74,10 +92,6 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
         "obtain one at https://mozilla.org/MPL/2.0/."
     ),
-    "Unlicense": (
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
-        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
-    ),
     "Zlib": (
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
         "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
@@ -85,17 +99,35 @@ TEMPLATES = {
         "the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice "
         "may not be removed or altered from any source distribution."
     ),
+    "MIT notice": "Released under the MIT License.",
+    "BSL-1.0": (
+        _BSL_OPENING + ": The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+        "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative "
+        "works are solely in the form of machine-executable object code generated by a source language processor. " + _AS_IS + "FITNESS FOR A PARTICULAR PURPOSE, "
+        "TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN CONTRACT, TORT OR OTHERWISE, " + _DEALINGS
+    ),
+    "BSL-1.0 opening": _BSL_OPENING,
+    "Unlicense": (
+        _UNLICENSE_OPENING + " In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+        "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS
+        + "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, " + _DEALINGS
+    ),
+    "Unlicense opening": _UNLICENSE_OPENING,
     "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
-        "that the above copyright notice and this permission notice appear in all copies."
+        _ISC_OPENING + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
-    "MIT notice": "Released under the MIT License.",
+    "ISC opening": _ISC_OPENING,
     "MIT": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+        _MIT_OPENING + " " + _AS_IS + "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, " + _DEALINGS
     ),
+    "MIT opening": _MIT_OPENING,
 }
 # Words too common to tell where a license may stand.
 COMMON = frozenset(b"a all and any at be by for in is it of on or that the this to with without you".split())
@@ -176,13 +208,14 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
 
 @dataclass
 class Bounds:
-    """What a copy of a template that covers `coverage` of its words has at least: `need` different words out of `telling`,
-    none further apart than `gap` if words were altered or left out, or further from the copy's ends than `edge`."""
+    """What a stretch of text that covers `coverage` of a template has at least: `words` words in the template's order, and
+    `need` different ones out of `telling`. ahead and back: each word's places in the template, and in it read backwards, as bits."""
 
     telling: frozenset[bytes]
     need: int
-    gap: int
-    edge: int
+    words: int
+    ahead: dict[bytes, int]
+    back: dict[bytes, int]
 
 
 @functools.lru_cache(maxsize=4096)
@@ -194,43 +227,118 @@ def _bounds(words: tuple[bytes, ...], telling: frozenset[bytes], coverage: float
         need -= left >= 0
     if need < 1 and len(telling) < len(set(words)):
         return _bounds(words, frozenset(words), coverage)
-    at = [i for i, w in enumerate(words) if w in telling]
-    far = [z - a for a, z in zip(at, at[missed + 1 :])] or [len(words)]
-    k = min(missed, len(at) - 1)
-    return Bounds(telling, max(need, 1), max(4 + len(words) // 4, *far, 1), max(len(words) // 2, at[k], len(words) - 1 - at[-1 - k]))
+    ahead: dict[bytes, int] = {}
+    back: dict[bytes, int] = {}
+    for i, w in enumerate(words):
+        ahead[w] = ahead.get(w, 0) | 1 << i
+        back[w] = back.get(w, 0) | 1 << (len(words) - 1 - i)
+    return Bounds(telling, max(need, 1), max(len(words) - missed, 1), ahead, back)
 
 
-def matches(words: list[bytes], t: Template, coverage: float = COVERAGE) -> list[tuple[float, int, int]]:
-    """Copies of t in the text, from left to right, none over another: coverage, from, to (exclusive).
+class _Stretches:
+    """Stretches of a text that hold enough of a template's words in their order to be a copy of it.
 
-    Text put into a copy splits it if it is longer than Bounds.gap.
+    at: places of the template's words in the text. How many words of a stretch can be had in order (its longest common
+    subsequence with the template, which no alignment exceeds) is counted by one sum of bit rows a word.
     """
-    x = _bounds(tuple(t.words), t.telling, coverage)
+
+    def __init__(self, at: list[int], words: list[bytes], n: int, x: Bounds, wide: int):
+        self.at, self.n, self.x, self.wide = at, n, x, wide
+        self.ahead, self.back = [x.ahead[words[i]] for i in at], [x.back[words[i]] for i in at]
+
+    def _more(self, row: int, bits: int) -> int:
+        common = row & bits
+        return ((row + common) | (row - common)) & ((1 << self.n) - 1)
+
+    def _reach(self, bits: list[int], ks: range, limit: int) -> int | None:
+        """First of ks up to which (and less than limit words off) enough words are in order."""
+        row = (1 << self.n) - 1
+        for k in ks:
+            if abs(self.at[k] - self.at[ks[0]]) >= limit:
+                return None
+            row = self._more(row, bits[k])
+            if self.n - row.bit_count() >= self.x.words:
+                return k
+        return None
+
+    def first(self, b: int) -> tuple[int, int] | None:
+        """Of the stretches from the b-th place on, up to `wide` words long, that with the first end; of those the shortest."""
+        while b < len(self.at):
+            e = self._reach(self.ahead, range(b, len(self.at)), 2 * self.wide)
+            if e is None:  # what begins up to `wide` words further on would have ended in what was read
+                b = bisect.bisect_right(self.at, self.at[b] + self.wide)
+                continue
+            s = self._reach(self.back, range(e, b - 1, -1), 2 * self.wide)
+            if self.at[e] - self.at[s] < self.wide:
+                return s, e
+            b = s + 1
+        return None
+
+    def grown(self, bits: list[int], ks: range, inside: int, step: int, limit: int) -> tuple[int, bool]:
+        """The last of ks (`inside` of them are taken as they are) that adds a word in order, over steps of up to `step`
+        words and less than limit words in all; and whether the template is complete."""
+        row, last = (1 << self.n) - 1, ks[inside - 1]
+        for i, k in enumerate(ks):
+            if i >= inside and (not row or abs(self.at[k] - self.at[last]) > step or abs(self.at[k] - self.at[ks[0]]) >= limit):
+                break
+            before, row = row, self._more(row, bits[k])
+            if i >= inside and row.bit_count() < before.bit_count():
+                last = k
+        return last, not row
+
+    def whole(self, s: int, e: int, b: int) -> tuple[int, int]:
+        """The stretch s..e with what stands before (from b on) and after it and adds to it, as far as the next copy is left its own stretch."""
+        near, complete = self.grown(self.ahead, range(s, len(self.at)), e - s + 1, max(3, self.n // 16), self.wide)
+        if not complete and near + 1 < len(self.at):
+            following = self.first(near + 1)
+            end = len(self.at) if following is None else following[0]
+            near, _ = self.grown(self.ahead, range(s, max(end, near + 1)), near - s + 1, self.n, self.wide)
+        far, _ = self.grown(self.back, range(near, b - 1, -1), near - s + 1, self.n, self.wide)
+        return far, near
+
+
+def _regions(words: list[bytes], x: Bounds, wide: int) -> list[tuple[int, int]]:
+    """Parts of the text outside of which no stretch of `wide` words has `need` different telling words."""
     spots = [i for i, w in enumerate(words) if w in x.telling]
-    found, reach, k, done = [], len(t.words), 0, 0
-    while k < len(spots):
-        z = k  # telling words that stand so near each other that one notice can hold them
-        while z + 1 < len(spots) and spots[z + 1] - spots[z] <= x.gap:
+    held: Counter[bytes] = Counter()
+    out: list[tuple[int, int]] = []
+    z = 0
+    for i in spots:
+        while z < len(spots) and spots[z] < i + wide:
+            held[words[spots[z]]] += 1
             z += 1
-        if len(set(words[i] for i in spots[k : z + 1])) < x.need:
-            k = z + 1
-            continue
-        a, b = max(done, spots[k] - reach), min(len(words), spots[z] + reach + 1)
-        near = [(a + i, j) for i, j in align(words[a:b], t.words) if spots[k] - x.edge <= a + i <= spots[z] + x.edge]
-        if len(near) < coverage * reach - 1e-9:
-            k = z + 1
-            continue
-        # A run may hold several copies: the shortest stretch at its front that is still a copy is the first of them.
-        end = next((e for e in range(min(near[0][0] + reach, near[-1][0] + 1), near[-1][0] + 1, max(1, reach // 2)) if _covers(words[a:e], t, coverage)), near[-1][0] + 1)
-        first = [(a + i, j) for i, j in align(words[a:end], t.words)] if end <= near[-1][0] else near
-        found.append((len(first) / reach, first[0][0], first[-1][0] + 1))
-        done = first[-1][0] + 1
-        k = bisect.bisect_left(spots, done, k)
-    return found
-
+        if len(held) >= x.need:
+            a, b = max(i - wide, 0), i + wide
+            if out and a <= out[-1][1]:
+                a = out.pop()[0]
+            out.append((a, b))
+        held[words[i]] -= 1
+        if not held[words[i]]:
+            del held[words[i]]
+    return out
+
+
+def matches(words: list[bytes], t: Template, coverage: float = COVERAGE, stretch: int = STRETCH) -> list[tuple[float, int, int]]:
+    """Copies of t in the text, from left to right, none over another: coverage, from, to (exclusive).
 
-def _covers(words: list[bytes], t: Template, coverage: float) -> bool:
-    return len(align(words, t.words)) >= coverage * len(t.words) - 1e-9
+    A copy is a stretch of at most `stretch` times the template's words whose alignment covers `coverage` of them, whatever
+    was altered, left out or put in. Taking the copy that ends first, again and again, gives the most copies.
+    """
+    n, x = len(t.words), _bounds(tuple(t.words), t.telling, coverage)
+    found = []
+    for lo, hi in _regions(words, x, stretch * n):
+        at = [i for i in range(lo, min(hi, len(words))) if words[i] in x.ahead]
+        within, b = _Stretches(at, words, n, x, stretch * n), 0
+        while (tight := within.first(b)) is not None:
+            for s, e in (within.whole(*tight, b), tight):
+                pairs = [(at[s] + i, j) for i, j in align(words[at[s] : at[e] + 1], t.words)]
+                if len(pairs) >= coverage * n - 1e-9:
+                    found.append((len(pairs) / n, pairs[0][0], pairs[-1][0] + 1))
+                    b = bisect.bisect_right(at, pairs[-1][0])
+                    break
+            else:
+                b = tight[0] + 1
+    return found
 
 
 def best_match(words: list[bytes], t: Template, coverage: float = COVERAGE) -> tuple[float, int, int] | None:
@@ -275,8 +383,8 @@ def scan(words: list[bytes], templates: list[Template], coverage: float = COVERA
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, licenses: array of (license, coverage, begin, end), by name and place; words count from 0.
 
-    Whole texts are searched and every copy is listed that covers `coverage` of its license's words and more; of copies
-    of different licenses in one place only the one with the most words. Null and empty texts have no licenses; repeated rows have a row each; an
+    Whole texts are searched and every copy is listed that covers `coverage` of its license's words and more within a stretch
+    of STRETCH times its length; of copies of different licenses in one place only the one with the most words. Null and empty texts have no licenses; repeated rows have a row each; an
     empty table gives an empty result.
     """
     templates = templates_of(TEMPLATES if texts is None else texts)

@@ -141,6 +141,45 @@ def test_license_filters_leave_out_nothing():
     assert met[True] > 100 and met[False] > 100
 
 
+@pytest.mark.parametrize("inserted", ["unknown", "common", "of licenses"])
+def test_words_put_into_a_copy_hide_it_nowhere(inserted):
+    """Copies with 1 to 50 words put in at one place in 20 and one word in 10 left out, against alignment without a filter."""
+    rng = random.Random(9)
+    everything = licenses.templates_of(licenses.TEMPLATES)
+    filler = [b"word%d" % i for i in range(400)]
+    pool = {"unknown": filler, "common": filler + sorted(licenses.COMMON) * 8, "of licenses": sorted({w for t in everything for w in t.words})}[inserted]
+    met = 0
+    for t in everything:
+        for _ in range(20):
+            copy = []
+            for w in t.words:
+                copy += [rng.choice(pool) for _ in range(rng.randrange(1, 51))] if rng.random() < 0.05 else []
+                copy += [w] if rng.random() < 0.9 else []
+            if len(licenses.align(copy, t.words)) >= 0.8 * len(t.words) and len(copy) <= licenses.STRETCH * len(t.words):
+                got = licenses.matches(filler[:30] + copy + filler[30:60], t)
+                assert len(got) == 1 and 30 <= got[0][1] < got[0][2] <= 30 + len(copy), t.name
+                met += 1
+    assert met > 200
+
+
+def test_altered_copies_in_a_row_are_all_found():
+    """The copy that ends first leaves the next one its own stretch; a copy wider than STRETCH times its license is none."""
+    rng = random.Random(10)
+    for t in licenses.templates_of(licenses.TEMPLATES):
+        gone = len(t.words) - licenses._bounds(tuple(t.words), t.telling, 0.8).words
+        words, keep = [], 0
+        for _ in range(100):
+            lost = set(rng.sample(range(len(t.words)), gone))
+            copy = [b"altered" if i in lost else w for i, w in enumerate(t.words)]
+            if len(licenses.align(copy, t.words)) == len(t.words) - gone:
+                words, keep = words + copy, keep + 1
+        got = licenses.matches(words, t)
+        assert len(got) >= keep > 0, t.name
+        assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+        apart = [x for w in t.words for x in (w, *[b"between"] * (licenses.STRETCH + 1))]
+        assert licenses.matches(apart, t) == []
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the driver's tables")
 def test_toxicity_of_held_out_rows(spark):
     """About 130 held-out toxic rows; the smaller tables hold a dozen, some without any word that other toxic rows have."""
