@@ -286,15 +286,28 @@ class _Stretches:
                 last = k
         return last, not row
 
-    def whole(self, s: int, e: int, b: int) -> tuple[int, int]:
-        """The stretch s..e with what stands before (from b on) and after it and adds to it, as far as the next copy is left its own stretch."""
-        near, complete = self.grown(self.ahead, range(s, len(self.at)), e - s + 1, max(3, self.n // 16), self.wide)
-        if not complete and near + 1 < len(self.at):
-            following = self.first(near + 1)
-            end = len(self.at) if following is None else following[0]
-            near, _ = self.grown(self.ahead, range(s, max(end, near + 1)), near - s + 1, self.n, self.wide)
-        far, _ = self.grown(self.back, range(near, b - 1, -1), near - s + 1, self.n, self.wide)
-        return far, near
+    def complete(self, s: int, e: int) -> int:
+        """e, or where the stretch s..e goes on in small steps to the template's last missing word, that place."""
+        last, done = self.grown(self.ahead, range(s, len(self.at)), e - s + 1, max(3, self.n // 16), self.wide)
+        return last if done else e
+
+    def wider(self, tight: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Each stretch with the words around it that add to it. None takes from the others: from the last to the first they
+        grow up to the next one, leave what they need not at their front, and grow there up to what goes on right after the one before."""
+        out: list[tuple[int, int]] = []
+        end = len(self.at)
+        for i in range(len(tight) - 1, -1, -1):
+            s, e = tight[i]
+            e, _ = self.grown(self.ahead, range(s, end), e - s + 1, self.n, self.wide)
+            s, _ = self.grown(self.back, range(e, s - 1, -1), 1, self.wide, self.wide)
+            lo = 0
+            if i:
+                a, z = tight[i - 1]
+                lo = 1 + self.grown(self.ahead, range(a, s), z - a + 1, max(3, self.n // 16), self.wide)[0]
+            s, _ = self.grown(self.back, range(e, lo - 1, -1), e - s + 1, self.n, self.wide)
+            out.append((s, e))
+            end = s
+        return out[::-1]
 
 
 def _regions(words: list[bytes], x: Bounds, wide: int) -> list[tuple[int, int]]:
@@ -322,22 +335,34 @@ def matches(words: list[bytes], t: Template, coverage: float = COVERAGE, stretch
     """Copies of t in the text, from left to right, none over another: coverage, from, to (exclusive).
 
     A copy is a stretch of at most `stretch` times the template's words whose alignment covers `coverage` of them, whatever
-    was altered, left out or put in. Taking the copy that ends first, again and again, gives the most copies.
+    was altered, left out or put in. The copy that ends first is taken, again and again, which gives the most copies; then
+    all are widened.
     """
     n, x = len(t.words), _bounds(tuple(t.words), t.telling, coverage)
     found = []
     for lo, hi in _regions(words, x, stretch * n):
         at = [i for i in range(lo, min(hi, len(words))) if words[i] in x.ahead]
         within, b = _Stretches(at, words, n, x, stretch * n), 0
-        while (tight := within.first(b)) is not None:
-            for s, e in (within.whole(*tight, b), tight):
-                pairs = [(at[s] + i, j) for i, j in align(words[at[s] : at[e] + 1], t.words)]
-                if len(pairs) >= coverage * n - 1e-9:
-                    found.append((len(pairs) / n, pairs[0][0], pairs[-1][0] + 1))
-                    b = bisect.bisect_right(at, pairs[-1][0])
-                    break
-            else:
-                b = tight[0] + 1
+
+        def aligned(s: int, e: int) -> tuple[float, int, int] | None:
+            pairs = align(words[at[s] : at[e] + 1], t.words)
+            return (len(pairs) / n, at[s] + pairs[0][0], at[s] + pairs[-1][0] + 1) if len(pairs) >= coverage * n - 1e-9 else None
+
+        tight = []
+        while (one := within.first(b)) is not None:
+            one = one[0], within.complete(*one)
+            if not aligned(*one):  # words around it may be anchors that it lacks
+                following = within.first(one[1] + 1)
+                end = len(at) if following is None else following[0]
+                e, _ = within.grown(within.ahead, range(one[0], end), one[1] - one[0] + 1, n, stretch * n)
+                s, _ = within.grown(within.back, range(e, b - 1, -1), e - one[0] + 1, n, stretch * n)
+                if not aligned(s, e):
+                    b = one[0] + 1
+                    continue
+                one = s, e
+            tight.append(one)
+            b = one[1] + 1
+        found += [aligned(*wide) or aligned(*one) for wide, one in zip(within.wider(tight), tight)]
     return found
 
 
