@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 _WEEKDAY = r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 _US = r"^(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])$"
+# Hours of the zone names of RFC 822; EST stands for either time of its year and is read apart.
+_ZONES = {"EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 _RFC = ("d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm:ss xxx", "d MMM yyyy HH:mm xx")
 
 
 def _instant(text: Column) -> Column:
-    """ISO dates and times (without zone: UTC, as the session is) and RFC 822 with offset, GMT, UTC or Z."""
+    """ISO dates and times (without zone: UTC, as the session is) and RFC 822 with offset or zone name."""
     rfc = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), r"(?i)\s*(?:GMT|UTC|UT|Z)$", " +0000")
+    for name, hours in _ZONES.items():
+        rfc = F.regexp_replace(rfc, rf"(?i)\s*\b{name}$", f" {hours}")
     iso = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})[Tt ]", "$1 ")
     is_iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?$")
     found = F.when(is_iso, iso.try_cast("timestamp"))

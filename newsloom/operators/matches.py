@@ -48,10 +48,13 @@ def with_display(df: DataFrame, name: str, teams: DataFrame, default: str = "#7c
     return df.join(first, F.col(name) == F.col("_team"), "left").withColumn("accent", F.coalesce("_accent", F.lit(default))).drop("_team", "_accent")
 
 
-def all_real(answers: DataFrame, expected: int = 4) -> DataFrame:
-    """A10: (provider, demo) -> one row, real: whether all the expected answers came, none from the demo provider. No answers: false."""
+def all_real(answers: DataFrame, expected: int = 4, by: list[str] | None = None) -> DataFrame:
+    """A10: (provider, demo) -> real: whether all the expected answers came, none from the demo provider. No answers: false.
+
+    One row, or one for each value of the columns `by`.
+    """
     ok = (F.col("provider") != "mock") & ~F.col("demo")
-    return answers.agg(F.coalesce((F.count("*") == expected) & F.bool_and(F.coalesce(ok, F.lit(False))), F.lit(False)).alias("real"))
+    return answers.groupBy(*by or []).agg(F.coalesce((F.count("*") == expected) & F.bool_and(F.coalesce(ok, F.lit(False))), F.lit(False)).alias("real"))
 
 
 def total_hits(*results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import news, sports, stored, views
+from newsloom.plans import news, providers, sports, stored, views
 
-QUERIES = news.QUERIES | sports.QUERIES | views.QUERIES | stored.QUERIES
-ORACLES = news.ORACLES | sports.ORACLES | views.ORACLES | stored.ORACLES
+QUERIES = news.QUERIES | sports.QUERIES | views.QUERIES | stored.QUERIES | providers.QUERIES
+ORACLES = news.ORACLES | sports.ORACLES | views.ORACLES | stored.ORACLES | providers.ORACLES

@@ -185,31 +185,19 @@ def json_prop_extract(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-_NAMES = ("Minh Quân", "Alex Martin", "Luka Silva", "Noah Williams", "Marco Rossi", "Kai Müller")
-_POSITIONS = ("Tiền đạo", "Tiền vệ", "Hậu vệ", "Thủ môn")
-
-
-@query(f"""SELECT i AS id, [{', '.join(f"'{n}'" for n in _NAMES)}][(i - 1) % 6 + 1] || ' ' || i AS name, 'demo-player-' || i AS slug, CAST(DATE '1995-01-01' + CAST(i * 97 AS INT) AS DATE) AS born,
-[{', '.join(f"'{n}'" for n in _POSITIONS)}][(i - 1) % 4 + 1] AS position, (i * 7) % 30 + 1 AS shirt FROM (SELECT unnest(range(1, 31)) AS i)""")
-def generated_rows(spark, d):
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.col("id") - 1, F.lit(len(values))) + 1).cast("int"))
-    i = F.col("id").cast("string")
-    return spark.range(1, 31).select(
-        "id", F.concat(pick(_NAMES), F.lit(" "), i).alias("name"), F.concat(F.lit("demo-player-"), i).alias("slug"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("id") * 97).cast("int")).alias("born"),
-        pick(_POSITIONS).alias("position"), (F.col("id") * 7 % 30 + 1).alias("shirt"),
-    )
-
-
-_TIMES = (
-    ("invalid", False, None), (None, False, None), ("2026-07-13T19:00:00Z", False, "2026-07-13 16:00:00"), ("Mon, 13 Jul 2026 11:48:02 EST", False, "2026-07-13 15:48:02"),
-    ("Mon, 13 Jul 2026 16:06:00 BST", False, "2026-07-13 15:06:00"), ("7/13/2026 9:11:00 PM", True, "2026-07-13 14:11:00"), ("2026-07-13T11:45:00Z", False, "2026-07-13 11:45:00"),
-    ("Mon, 05 Jan 2026 11:48:02 EST", False, "2026-01-05 16:48:02"), ("2026-07-12", False, "2026-07-12 00:00:00"), ("Sun, 12 Jul 2026 10:00:00 +0700", False, "2026-07-12 03:00:00"),
-    ("Sun, 12 Jul 2026 10:00:00 GMT", False, "2026-07-12 10:00:00"),
+_FORMS = (  # nine ways to write a time, by order
+    "CASE o_orderkey % 9 WHEN 0 THEN date_format(t, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN date_format(t, 'EEE, dd MMM yyyy HH:mm:ss') || ' EST' WHEN 2 THEN date_format(t, 'EEE, dd MMM yyyy HH:mm:ss') || ' BST' "
+    "WHEN 3 THEN date_format(t, 'M/d/yyyy h:mm:ss a') WHEN 4 THEN date_format(t, 'yyyy-MM-dd') WHEN 5 THEN date_format(t, 'EEE, dd MMM yyyy HH:mm:ss') || ' +0700' WHEN 6 THEN date_format(t, 'dd MMM yyyy HH:mm:ss') || ' GMT' "
+    "WHEN 7 THEN date_format(t, 'EEE, dd MMM yyyy HH:mm:ss') || ' PDT' ELSE o_orderstatus END"
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)}, CAST({'NULL' if u is None else repr(u)} AS TIMESTAMP))" for i, (t, _, u) in enumerate(_TIMES)) + ") AS t(id, given, published)")
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate, o_orderdate + to_minutes(o_orderkey % 1440) AS t FROM orders),
+u AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 1 THEN t + to_hours(CASE WHEN month(t) BETWEEN 3 AND 11 THEN 4 ELSE 5 END) WHEN 2 THEN t - INTERVAL 1 HOUR WHEN 3 THEN t - INTERVAL 7 HOURS WHEN 4 THEN date_trunc('day', t)
+WHEN 5 THEN t - INTERVAL 7 HOURS WHEN 7 THEN t + INTERVAL 7 HOURS WHEN 8 THEN NULL ELSE t END AS published FROM o)
+SELECT o_orderkey, CASE WHEN published > TIMESTAMP '1999-06-01 00:10:00' THEN TIMESTAMP '1999-06-01 00:00:00' ELSE published END AS published FROM u""")
 def normalize_timestamps(spark, d):
-    rows = spark.createDataFrame([(i, t, v) for i, (t, v, _) in enumerate(_TIMES)], "id int, given string, vn boolean")
-    now = F.lit("2026-07-13 16:00:00").cast("timestamp")
-    return rows.select("id", "given", normalize_timestamp(F.col("given"), now, F.col("vn")).cast("timestamp_ntz").alias("published"))
+    t = (F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))).cast("timestamp")
+    rows = read(spark, d, "orders").withColumn("t", t).select("o_orderkey", F.expr(_FORMS).alias("given"))
+    now = F.lit("1999-06-01 00:00:00").cast("timestamp")
+    return rows.select("o_orderkey", normalize_timestamp(F.col("given"), now, F.lit(True)).cast("timestamp_ntz").alias("published"))

@@ -1,4 +1,4 @@
-"""Queries over match views, enrichment, the demo tables and the warehouse's rules, each with its SQL."""
+"""Queries over match views, enrichment, ingestion and the warehouse's rules, each with its SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from newsloom import warehouse_rules
 from newsloom.functions import dates
 from newsloom.operators import dedupe, enrich, matches, warehouse
 from newsloom.plans import sql
-from newsloom.sources import demo, feeds, sports
+from newsloom.sources import feeds
 from newsloom.sources.articles import NOW, articles, items, read
 
 QUERIES, ORACLES = {}, {}
@@ -76,16 +76,6 @@ def team_display(spark, d):
     return matches.with_display(p.select("p_partkey", "p_brand"), "p_brand", teams)
 
 
-@query("""SELECT 'all' AS name, TRUE AS real UNION ALL SELECT 'mock', FALSE UNION ALL SELECT 'few', FALSE UNION ALL SELECT 'none', FALSE""")
-def providers_real(spark, d):
-    given = {"all": [("x", False)] * 4, "mock": [("x", False)] * 3 + [("mock", True)], "few": [("x", False)] * 3, "none": []}
-    out = None
-    for name, rows in given.items():
-        one = matches.all_real(spark.createDataFrame(rows, "provider string, demo boolean")).select(F.lit(name).alias("name"), "real")
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
 @query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM nation) AS total")
 def total_hits(spark, d):
     return matches.total_hits(*(read(spark, d, t) for t in ("customer", "part", "nation")))
@@ -151,30 +141,10 @@ def extracted_entities(spark, d):
     return e.select("seq", F.size("e.teams").alias("n_teams"), F.get("e.competitions", F.lit(0)).alias("competition"))
 
 
-# Demo tables, ingestion, times
-
-
-@query("SELECT * FROM (VALUES ('live', 2), ('scheduled', 3), ('finished', 3)) AS t(status, n)")
-def demo_matches_by_status(spark, d):
-    return sports.provider_matches(spark, sports.provider_name(None, "football-data")).groupBy("status").agg(F.count("*").alias("n"))
-
-
-_TEAMS = ", ".join(f"({n}, '{t[0]}', '{t[1]}', '{t[4]}')" for n, t in enumerate(demo.TEAMS, 1))
-
-
-@query(f"SELECT 'team-' || i AS id, name, short_name, stadium, trim(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM (VALUES {_TEAMS}) AS t(i, name, short_name, stadium)")
-def demo_teams(spark, d):
-    return demo.teams(spark).select("id", "name", "short_name", "stadium", "slug")
-
-
-@query(f"""WITH t AS (SELECT * FROM (VALUES {_TEAMS}) AS t(i, name, short_name, stadium)), n AS (SELECT unnest(range(0, 10)) AS i)
-SELECT 'transfer-' || (n.i + 1) AS id, a.name AS from_team, b.name AS to_team, CASE n.i % 3 WHEN 0 THEN 94 ELSE 58 + n.i * 3 END AS reliability,
-CASE n.i % 3 WHEN 0 THEN (20 + n.i * 4) || ' triệu €' ELSE 'Chưa công bố' END AS fee FROM n JOIN t a ON a.i = n.i + 1 JOIN t b ON b.i = (n.i + 6) % 20 + 1""")
-def demo_transfers(spark, d):
-    return demo.transfers(spark).select("id", "from_team", "to_team", "reliability", "fee")
+# Ingestion, times
 
 
-@query("SELECT 5 AS fetched, 5 AS inserted, 0 AS skipped, 5 AS classified, 'success' AS status")
+@query(f"""WITH {sql.ITEMS}, f AS (SELECT id FROM i ORDER BY seq LIMIT 5) SELECT count(*) AS fetched, count(DISTINCT id) AS inserted, count(*) - count(DISTINCT id) AS skipped, count(DISTINCT id) AS classified, 'success' AS status FROM f""")
 def mock_ingestion(spark, d):
     first = items(spark, d).withColumn("slug", F.col("id"))
     landed = feeds.normalized(feeds.mock_articles(first, F.lit(NOW)), "mock")

@@ -68,12 +68,26 @@ def players(spark: SparkSession, n: int = 30) -> DataFrame:
     )
 
 
-def transfers(spark: SparkSession, n: int = 10) -> DataFrame:
+def transfers_of(ids: DataFrame) -> DataFrame:
+    """ids (i, from 0) -> a transfer each, further columns left out."""
     i, sure = F.col("i"), F.col("i") % 3 == 0
     names = [t[0] for t in TEAMS]
-    return spark.range(n).withColumnRenamed("id", "i").select(
+    return ids.select(
         F.concat(F.lit("transfer-"), (i + 1).cast("string")).alias("id"), F.concat(pick(NAMES, i), F.lit(" "), (i + 1).cast("string")).alias("player"),
         pick(names, i).alias("from_team"), pick(names, i + 6).alias("to_team"), pick(TRANSFER_STATES, i).alias("status"),
         F.when(sure, 94).otherwise(58 + i * 3).alias("reliability"), F.when(sure, F.concat((20 + i * 4).cast("string"), F.lit(" triệu €"))).otherwise("Chưa công bố").alias("fee"),
         F.concat((i + 1).cast("string"), F.lit(" giờ trước")).alias("updated"),
     )
+
+
+def transfers(spark: SparkSession, n: int = 10) -> DataFrame:
+    return transfers_of(spark.range(n).withColumnRenamed("id", "i"))
+
+
+def seeded_players(ids: DataFrame) -> DataFrame:
+    """Ids (id, from 1) -> a player each as the seed makes them: id, name, slug, born, position, shirt."""
+    i = F.col("id").cast("string")
+    return ids.select(
+        "id", F.concat(pick(NAMES, F.col("id") - 1), F.lit(" "), i).alias("name"), F.concat(F.lit("demo-player-"), i).alias("slug"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("id") * 97).cast("int")).alias("born"), pick(POSITIONS, F.col("id") - 1).alias("position"), (F.col("id") * 7 % 30 + 1).alias("shirt"),
+    )

@@ -16,6 +16,11 @@ COMPETITIONS = ("PL", "CL", "PD", "SA", "BL1", "FL1", "DED", "PPL", "BSA", "ELC"
 WINDOW_DAYS = (-1, 7)
 
 
+def _answers(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Answers landed as files of one answer (or one array of answers) each, or of one answer a line, so that large files are split."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
 def last_five(form: Column) -> Column:
     """The last five entries, and of these only W, D and L."""
     tail = F.slice(form, F.greatest(F.lit(1), F.size(form) - 4), F.lit(5))
@@ -40,9 +45,9 @@ def short_name(team: Column) -> Column:
     return F.coalesce(team["tla"], team["shortName"], F.upper(F.left(team_name(team), F.lit(3))))
 
 
-def api_matches(spark: SparkSession, path: str, leagues: list[int] | None = None) -> DataFrame:
+def api_matches(spark: SparkSession, path: str, leagues: list[int] | None = None, lines: bool = False) -> DataFrame:
     """Fixtures of the first provider; an empty list of leagues allows all."""
-    r = spark.read.schema(schemas.API_FIXTURES).option("multiLine", True).json(path).select(F.inline("response"))
+    r = _answers(spark, path, schemas.API_FIXTURES, lines).select(F.inline("response"))
     if leagues:
         r = r.where(F.col("league.id").isin(leagues))
     return r.select(
@@ -53,9 +58,9 @@ def api_matches(spark: SparkSession, path: str, leagues: list[int] | None = None
     )
 
 
-def data_matches(spark: SparkSession, path: str) -> DataFrame:
+def data_matches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Matches of the second provider; scores by either of its two names."""
-    m = spark.read.schema(schemas.DATA_MATCHES).option("multiLine", True).json(path).select(F.inline("matches"))
+    m = _answers(spark, path, schemas.DATA_MATCHES, lines).select(F.inline("matches"))
     score = F.col("score.fullTime")
     return m.select(
         F.col("id").cast("string").alias("id"), F.col("competition.name").alias("competition"), team_name(F.col("homeTeam")).alias("home"), team_name(F.col("awayTeam")).alias("away"),
@@ -65,9 +70,9 @@ def data_matches(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def data_standings(spark: SparkSession, path: str) -> DataFrame:
+def data_standings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """The table of type TOTAL, else the first."""
-    s = spark.read.schema(schemas.DATA_STANDINGS).option("multiLine", True).json(path)
+    s = _answers(spark, path, schemas.DATA_STANDINGS, lines)
     table = F.coalesce(F.get(F.filter("standings", lambda x: x["type"] == "TOTAL"), F.lit(0)), F.get("standings", F.lit(0)))["table"]
     t = s.select(F.inline(table))
     return t.select(
@@ -87,9 +92,9 @@ def of_status(matches: DataFrame, status: str) -> DataFrame:
     return matches.where(F.col("status") == status)
 
 
-def api_standings(spark: SparkSession, path: str) -> DataFrame:
+def api_standings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """P06 of the first provider: the first table of the first answer; form letter by letter."""
-    r = spark.read.schema(schemas.API_STANDINGS).option("multiLine", True).json(path)
+    r = _answers(spark, path, schemas.API_STANDINGS, lines)
     t = r.select(F.inline(F.get(F.get("response", F.lit(0))["league"]["standings"], F.lit(0))))
     return t.select(
         F.col("rank").alias("position"), F.col("team.name").alias("team"), F.col("all.played").alias("played"), F.col("all.win").alias("won"), F.col("all.draw").alias("drawn"),
@@ -97,9 +102,9 @@ def api_standings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def api_teams(spark: SparkSession, path: str) -> DataFrame:
+def api_teams(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """P08 of the first provider."""
-    r = spark.read.schema(schemas.API_TEAMS).option("multiLine", True).json(path).select(F.inline("response"))
+    r = _answers(spark, path, schemas.API_TEAMS, lines).select(F.inline("response"))
     name = F.col("team.name")
     return r.select(
         F.col("team.id").cast("string").alias("id"), name.alias("name"), F.coalesce("team.code", F.upper(F.left(name, F.lit(3)))).alias("short_name"), text.slugify_ascii(name).alias("slug"),
@@ -107,9 +112,9 @@ def api_teams(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def data_teams(spark: SparkSession, path: str) -> DataFrame:
+def data_teams(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """P08 of the second provider."""
-    t = spark.read.schema(schemas.DATA_TEAMS).option("multiLine", True).json(path).select(F.explode("teams").alias("team"))
+    t = _answers(spark, path, schemas.DATA_TEAMS, lines).select(F.explode("teams").alias("team"))
     name = team_name(F.col("team"))
     return t.select(
         F.col("team.id").cast("string").alias("id"), name.alias("name"), F.coalesce("team.tla", "team.shortName", F.upper(F.left(name, F.lit(3)))).alias("short_name"),
