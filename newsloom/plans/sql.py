@@ -81,7 +81,7 @@ def importance(t: str) -> str:
 _N = r"CAST(regexp_extract(source, '(\d+)$', 1) AS INT)"
 
 ARTICLES = f"""a AS (
-  SELECT doc_id AS seq, left(text, 80) AS title, left(text, 520) AS excerpt,
+  SELECT doc_id AS seq, split_part(text, chr(10), 1) AS title, left(text, 520) AS excerpt,
          'https://news.example/' || CAST(doc_id - CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END AS VARCHAR) AS url,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((doc_id * 7919) % 720 AS INT)) AS published,
          lang AS language, source, 80 + {_N} * 7 % 19 AS reliability, {_N} < 2 AS official

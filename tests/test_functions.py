@@ -89,7 +89,7 @@ def test_statuses(spark):
 @pytest.mark.parametrize("given, vietnamese, want", [
     ("invalid", False, None), (None, False, None), ("", False, None), ("2026-07-13T19:00:00Z", False, (16, 0, 0)), ("Mon, 13 Jul 2026 11:48:02 EST", False, (15, 48, 2)),
     ("Mon, 13 Jul 2026 16:06:00 BST", False, (15, 6, 0)), ("7/13/2026 9:11:00 PM", True, (14, 11, 0)), ("7/13/2026 9:11 PM", True, (14, 11, 0)), ("2026-07-13T11:45:00Z", False, (11, 45, 0)),
-    ("7/13/2026 9:11:00 PM", False, None),
+    ("7/13/2026 9:11:00 PM", False, None), ("Mon, 13 Jul 2026 04:48:02 EDT", False, (8, 48, 2)), ("13 Jul 2026 04:48:02 PST", False, (12, 48, 2)), ("Mon, 13 Jul 2026 04:48:02 mdt", False, (10, 48, 2)),
 ])
 def test_times(spark, given, vietnamese, want):
     now = F.lit("2026-07-13 16:00:00").cast("timestamp")
