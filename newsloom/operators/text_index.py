@@ -17,11 +17,13 @@ BUCKETS = 64
 def grams(text: Column, sizes: tuple[int, ...] = (1, 2, GRAM)) -> Column:
     """The different runs of so many characters."""
 
-    def runs(t: Column, n: int) -> Column:
-        last = F.length(t) - n + 1
-        return F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(t, i, F.lit(n)))
+    def runs(c: Column, n: int) -> Column:
+        last = F.size(c) - n + 1
+        each = lambda i: F.concat(*[F.element_at(c, i + F.lit(k)) for k in range(n)])
+        return F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), each)
 
-    one = F.transform(F.array(text), lambda t: F.array_distinct(F.concat(*[runs(t, n) for n in sizes])))
+    characters = F.filter(F.split(text, ""), lambda c: c != "")  # an array, since a place in a string is found by counting from its start
+    one = F.transform(F.array(characters), lambda c: F.array_distinct(F.concat(*[runs(c, n) for n in sizes])))
     return F.get(one, F.lit(0))  # as an argument of a lambda the text is made once
 
 
