@@ -10,7 +10,7 @@ from newsloom.functions.text import tokens
 from newsloom.operators.clustering import story_clusters
 from newsloom.operators.dedupe import last_wins
 from newsloom.operators.ranking import with_rank
-from newsloom.operators.shared import materialize
+from newsloom.operators.shared import apart, materialize
 from newsloom.sources.articles import NOW, age_hours
 
 
@@ -32,7 +32,7 @@ def news_items(articles: DataFrame, now: str = NOW) -> DataFrame:
     a = articles.withColumns({c: x for c, x in defaults.items() if c not in articles.columns}).withColumn("tok", tokens(F.col("title")))
     a = materialize(a)  # read for links, for places and for the items
     given = F.when(F.col("importance") != 0, F.col("importance").cast("double"))
-    m = a.join(story_clusters(a), "seq").withColumn("imp", F.coalesce(given, scoring.importance(F.col("title"), F.col("category"))))
+    m = apart(a).join(story_clusters(a), "seq").withColumn("imp", F.coalesce(given, scoring.importance(F.col("title"), F.col("category"))))
     # The last article of a source stands for it, at the place of its first.
     stands = F.max(F.struct("pos", "reliability", F.col("official").alias("official"))).alias("last")
     s = m.groupBy("cluster", "source").agg(stands, F.min("pos").alias("src_first")).groupBy("cluster").agg(
@@ -44,7 +44,7 @@ def news_items(articles: DataFrame, now: str = NOW) -> DataFrame:
         F.max("imp").alias("imp"), F.max(lead).alias("lead"), F.max("published").alias("newest"),
         F.array_sort(F.collect_list(F.struct("pos", F.col("source").alias("name"), "url", "reliability", "language"))).alias("details"),
         F.array_sort(F.collect_list(F.when(F.col("pos") <= 3, F.struct("pos", "id", "title")))).alias("first"),
-    ).join(s, "cluster")
+    ).join(apart(s), "cluster")
     age = age_hours(F.col("lead.published"), now)
     english = F.col("lead.language") == "en"
     g = with_rank(g.withColumn("age", age), [F.desc("newest"), F.col("cluster")], "cluster_pos")

@@ -57,6 +57,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df for a join that is never broadcast: what stored tables hold is many times what the sizes of their files tell, and the
+    driver would have to gather it."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> int:
     """Empty every intermediate table of this application: call it when the results that were built on them are written."""
     paths = _written.pop(spark.sparkContext.applicationId, [])

@@ -19,7 +19,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     hours = F.pmod(F.col("doc_id") * 7919, F.lit(720)).cast("int")
     return read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("seq"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.left("text", F.lit(520)).alias("excerpt"),
+        F.col("doc_id").alias("seq"), F.substring_index("text", "\n", 1).alias("title"), F.left("text", F.lit(520)).alias("excerpt"),
         F.concat(F.lit("https://news.example/"), (F.col("doc_id") - (F.col("doc_id") % 10 == 9).cast("int")).cast("string")).alias("url"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours)).alias("published"),
         F.col("lang").alias("language"), "source", (80 + n * 7 % 19).alias("reliability"), (n < 2).alias("official"),

@@ -68,6 +68,33 @@ def test_many_equal_titles_are_chained(spark):
     assert time.time() - began < 60
 
 
+def joins(df):
+    """The joins of a plan that is not run."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+
+
+@pytest.mark.parametrize("rule", [similarity.same_story, similarity.likely_duplicates, clustering.story_clusters])
+def test_no_join_of_stories_is_gathered_by_the_driver(spark, rule):
+    found = joins(rule(spark.createDataFrame(written(30), SCHEMA)))
+    assert found and not [line for line in found if "Broadcast" in line]
+
+
+def test_alike_classes_have_no_more_links_than_members(spark):
+    """Two titles alike, 400 articles each within three days: all pairs would be 160,000."""
+    arts = [(i, T0 + dt.timedelta(minutes=5 * i), ["one", "two", "three", "four" if i % 2 else "five"]) for i in range(800)]
+    df = spark.createDataFrame(arts, SCHEMA)
+    assert similarity.story_links(df).count() <= 2 * len(arts)
+    assert {r.cluster for r in clustering.story_clusters(df).collect()} == {799}
+
+
+def test_long_titles_meet_as_numbers(spark):
+    """Titles of 200 words go by number and outline; before, each of their words carried all the others."""
+    arts = [(i, T0, [f"w{j}" for j in range(i, i + 200)]) for i in range(0, 120, 20)]
+    s = similarity.Stories(spark.createDataFrame(arts, SCHEMA), 72)
+    assert dict(s.sets.dtypes)["ids"] == "array<bigint>" and "tok" not in s.sets.columns
+    assert listed(similarity.same_story(spark.createDataFrame(arts, SCHEMA))) == pairs(arts, same)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_slices_in_any_order_equal_one_run(spark, tmp_path, seed):
     arts = written(70, seed, 500)
