@@ -7,9 +7,15 @@ a table and not a list of literals.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.shared import apart
+
 GRAM, RAREST = 3, 2
 BUCKETS = 64
 
@@ -27,15 +33,41 @@ def grams(text: Column, sizes: tuple[int, ...] = (1, 2, GRAM)) -> Column:
     return F.get(one, F.lit(0))  # as an argument of a lambda the text is made once
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of id, text -> gram, ids: those of a batch that hold it, once each. A gram is a number of 21 bits a character while it is sorted."""
+    for batch in batches:
+        each = [np.empty(0, np.uint64)]
+        for text in batch.column(1).to_pylist():
+            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+            runs = [c]
+            for k in range(1, GRAM):
+                runs.append(runs[-1][: max(0, len(c) - k)] | (c[k:] << np.uint64(21 * k)))
+            each.append(np.unique(np.concatenate(runs)))
+        grams_, rows = np.concatenate(each), np.repeat(np.arange(-1, len(each) - 1), [len(e) for e in each])
+        order = np.argsort(grams_, kind="stable")
+        found, starts = np.unique(grams_[order], return_index=True)
+        points = np.stack([(found >> np.uint64(21 * k)) & np.uint64(0x1FFFFF) for k in range(GRAM)], 1).tolist()
+        names = pa.array(["".join(chr(p - 1) for p in ps if p) for ps in points], pa.string())
+        for low in range(0, len(names), 4096):  # bounded batches on the way back
+            high = min(low + 4096, len(names))
+            ends = np.append(starts, len(order))[low : high + 1]
+            ids = batch.column(0).take(pa.array(rows[order[ends[0] : ends[-1]]]))
+            offsets = pa.array((ends - ends[0]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([names[low:high], pa.ListArray.from_arrays(offsets, ids)], ["gram", "ids"])
+
+
 def build(texts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """texts (id, text) -> the index at path: postings (gram, id) in buckets of grams, sorted, and how many texts hold a gram.
+    """texts (id, text) -> the index at path: postings (gram, ids) in buckets of grams, sorted, and how many texts hold a gram.
 
-    A frequent gram's postings are dealt over all buckets' tasks by id, so no task writes a hot gram alone. Null texts hold nothing.
+    A row has the ids of one Arrow batch of texts, so a frequent gram has many rows, which are dealt over its bucket's tasks.
+    Null texts hold nothing.
     """
-    each = texts.where(F.col("text").isNotNull()).select("id", F.explode(grams(F.col("text"))).alias("gram"))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-    each.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
-    each.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("texts")).write.parquet(f"{path}/counts")
+    kind = texts.schema["id"].dataType.simpleString()
+    each = texts.where(F.col("text").isNotNull()).select("id", "text").mapInArrow(_postings, f"gram string, ids array<{kind}>")
+    each = each.withColumns({"n": F.size("ids").cast("long"), "bucket": F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")})
+    dealt = each.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "gram").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    each.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum("n").alias("texts")).write.parquet(f"{path}/counts")
 
 
 def candidates(spark: SparkSession, path: str, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -47,6 +79,7 @@ def candidates(spark: SparkSession, path: str, terms: DataFrame, buckets: int =
     wanted = rare.select("term", F.size("rare").alias("needed"), F.explode("rare").alias("r")).select("term", "needed", F.col("r.gram").alias("gram"))
     wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
     met = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "gram"])  # both sides say the bucket, so it can be pruned
+    met = met.select("term", "needed", F.explode("ids").alias("id"))
     return met.groupBy("term", "id").agg(F.count("*").alias("held"), F.max("needed").alias("needed")).where("held = needed").select("term", "id")
 
 
@@ -56,8 +89,11 @@ def holding(texts: DataFrame, path: str, terms: DataFrame, buckets: int = BUCKET
     The empty term is in every text that is not null; a null term in none; terms that repeat count once.
     """
     asked = terms.select("term").where(F.col("term").isNotNull()).distinct()
-    may = candidates(texts.sparkSession, path, asked.where("term <> ''"), buckets)
-    found = may.join(texts.select("id", "text"), "id").where(F.contains("text", "term")).select("term", "id")
+    short = F.length("term") <= GRAM  # a gram itself, so the index alone tells who holds it
+    found = candidates(texts.sparkSession, path, asked.where("term <> ''").where(short), buckets)
+    if asked.where(~short).limit(1).count():
+        may = candidates(texts.sparkSession, path, asked.where(~short), buckets)
+        found = found.unionAll(apart(may).join(texts.select("id", "text"), "id").where(F.contains("text", "term")).select("term", "id"))
     if asked.where("term = ''").limit(1).count():
         found = found.unionAll(texts.where(F.col("text").isNotNull()).select(F.lit("").alias("term"), "id"))
     return found

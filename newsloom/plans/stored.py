@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import asked, incremental, pages, runs, stored, text_index
-from newsloom.operators.shared import new_path
+from newsloom.operators import asked, incremental, pages, runs, similarity, stored, text_index
+from newsloom.operators.shared import materialize, new_path
 from newsloom.plans import news, sports, sql
 from newsloom.sources import landed
 from newsloom.sources.articles import articles, read
@@ -34,30 +34,30 @@ def _slices(df, column: str, n: int):
         yield df.where((F.lit(True) if low is None else seconds > low) & (F.lit(True) if high is None else seconds <= high) & seconds.isNotNull())
 
 
-def _replayed(spark, df, rule, kind: str):
+def _replayed(spark, df, rule, hours: int, kind: str):
     """Three slices of articles by time land one after the other; the stream of pairs starts again for each."""
-    df = df.select("seq", F.col("published").cast("timestamp").alias("published"), "tok")
-    inbox, out, checkpoint = (new_path(spark, f"{kind}-{x}") for x in ("in", "out", "state"))
+    df = materialize(df.select("seq", F.col("published").cast("timestamp").alias("published"), "tok"))
+    inbox, path, checkpoint = (new_path(spark, f"{kind}-{x}") for x in ("in", "stored", "state"))
     for some in _slices(df, "published", 3):
         some.write.mode("append").parquet(inbox)
-        stories.append(rule(spark.readStream.schema(df.schema).parquet(inbox)), out, checkpoint)
-    return spark.read.schema("a long, b long, shared long").parquet(out)
+        stories.store_pairs(spark.readStream.schema(df.schema).parquet(inbox), path, checkpoint, rule, hours)
+    return stories.stored_pairs(spark, path)
 
 
 @query(news.ORACLES["same_story_pairs"])
 def stream_story_pairs(spark, d):
-    return _replayed(spark, articles(spark, d).withColumn("tok", text.tokens(F.col("title"))), stories.same_story_stream, "story")
+    return _replayed(spark, articles(spark, d).withColumn("tok", text.tokens(F.col("title"))), similarity.same_story, 72, "story")
 
 
 @query(news.ORACLES["duplicate_pairs_jaccard"])
 def stream_duplicate_pairs(spark, d):
-    return _replayed(spark, articles(spark, d).withColumn("tok", text.title_words(F.col("title"))), stories.likely_duplicates_stream, "duplicate")
+    return _replayed(spark, articles(spark, d).withColumn("tok", text.title_words(F.col("title"))), similarity.likely_duplicates, 48, "duplicate")
 
 
 @query(news.ORACLES["story_clusters"])
 def story_clusters_by_slices(spark, d):
     """Five slices by time, the second newest first: each but that has articles that are newer than some that are stored."""
-    a, path = articles(spark, d).select("seq", "published", text.tokens(F.col("title")).alias("tok")), new_path(spark, "stories")
+    a, path = materialize(articles(spark, d).select("seq", "published", text.tokens(F.col("title")).alias("tok"))), new_path(spark, "stories")
     slices = list(_slices(a, "published", 5))
     for i in (3, 4, 1, 0, 2):
         incremental.load(spark, path, slices[i])
@@ -118,7 +118,7 @@ def indexed_search(spark, d):
     folded = F.split(text.normalize_search(F.col("text")), " ")
     words = read(spark, d, "benchmark").select(F.concat_ws(" ", F.get(folded, F.lit(0)), F.coalesce(F.get(folded, F.lit(1)), F.lit(""))).alias("term"))
     terms = words.unionAll(read(spark, d, "nation").select(F.left(F.lower("n_name"), F.lit(2)).alias("term"))).where("term <> ''")
-    texts, path = _texts(spark, d), new_path(spark, "index")
+    texts, path = materialize(_texts(spark, d)), new_path(spark, "index")  # folded once, for the index and for a last look
     text_index.build(texts, path)
     return text_index.holding(texts, path, terms)
 
@@ -152,7 +152,7 @@ def enriched_articles(spark, d):
 @query(news.ORACLES["dedupe_by_url_last_wins"])
 def stream_last_wins(spark, d):
     """Articles in three slices by a hash of their text, one after the other; a table keeps the last of each url."""
-    a = articles(spark, d).select("url", "seq", "title")
+    a = materialize(articles(spark, d).select("url", "seq", "title"))
     inbox, path, checkpoint = (new_path(spark, f"latest-{x}") for x in ("in", "table", "state"))
     for i in range(3):
         a.where(F.pmod(F.xxhash64("title"), F.lit(3)) == i).write.mode("append").parquet(inbox)

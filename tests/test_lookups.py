@@ -99,3 +99,14 @@ def test_who_may_write(spark):
         n("teams", "drop")
     for table in ("ai_jobs", "ingestion_logs", "admin_audit_logs"):
         assert warehouse_rules.readable({table: rows}, table, "u").count() == 0 and warehouse_rules.readable({table: rows}, table, "u", True).count() == 2
+
+
+def test_postings_are_gathered_and_short_terms_need_no_texts(spark, tmp_path):
+    df, path = spark.createDataFrame([(i, "ab cd" if i % 2 else "ab 𝄞é") for i in range(400)] + [(400, ""), (401, None)], "id long, text string").coalesce(1), str(tmp_path / "index")
+    text_index.build(df, path, 2)
+    stored = spark.read.parquet(f"{path}/postings")
+    assert stored.count() < 100  # a row for each gram of a batch, not for each text that holds it
+    assert {r.gram: r.n for r in stored.groupBy("gram").agg(F.sum("n").alias("n")).collect()} == {r.gram: r.n for r in df.select(F.explode(text_index.grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    terms = spark.createDataFrame([("ab",), ("𝄞é",), ("zz",)], "term string")
+    got = text_index.holding(df.withColumn("text", F.lit("gone")), path, terms, 2)
+    assert {r.term: r.n for r in got.groupBy("term").agg(F.count("*").alias("n")).collect()} == {"ab": 400, "𝄞é": 200}
