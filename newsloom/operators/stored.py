@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from newsloom.operators.shared import materialize
@@ -30,7 +31,7 @@ def _part(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def table(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
+def table(spark: SparkSession, path: str, columns: str | StructType | None = None) -> DataFrame:
     """The rows of a stored table; one that was never written is empty if its columns are given."""
     try:
         found = spark.read.parquet(path)

@@ -1,7 +1,8 @@
 """A04 on a stream: the last row of each key and the place of its first, given again whenever either changes.
 
-State is one value a key, the row as JSON, kept by RocksDB on executors' disks and in the checkpoint. Keys that nothing has
-come for leave it after their time to live; what comes later begins anew.
+A stream's own state (last_wins_stream) is one value a key, the row as JSON, kept by RocksDB on executors' disks and in the
+checkpoint. Keys that nothing has come for leave it after their time to live; what comes later begins anew. Where a table is
+kept (store_latest), it is the state.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from newsloom.operators import stored
+from newsloom.operators.shared import apart
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,14 +71,25 @@ def last_wins_stream(stream: DataFrame, key: str, order: str = "seq", ttl_second
 
 
 def store_latest(stream: DataFrame, path: str, key: str, checkpoint: str, order: str = "seq", parts: int = stored.PARTS) -> StreamingQuery:
-    """Keep the table at path at the last row of each key; rows without key are not stored. Ends when all that is there is read."""
-    with rocksdb(stream.sparkSession):
-        last = last_wins_stream(stream.where(F.col(key).isNotNull()), key, order)
-        update = [c for c in last.columns if c != key]
+    """Keep the table at path at the last row of each key, with first_seq; rows without key or `order` are not stored. Ends when all that is there is read.
 
-        def one(batch: DataFrame, number: int) -> None:
-            stored.merge(batch.sparkSession, path, batch, key, update, parts=parts)
-
-        query = last.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+    The table is the state: a batch is combined to a row a key and joined with it, and what changes is merged. So no key is
+    handled alone, and a batch that comes again changes nothing.
+    """
+    columns, update = stream.columns, [c for c in [*stream.columns, "first_seq"] if c != key]
+
+    def one(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+        last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.col(order)).alias("last")
+        new = rows.groupBy(F.col(key).alias("_key")).agg(last, F.min(order).cast("long").alias("first"))
+        held = stored.table(batch.sparkSession, path, batch.withColumn("first_seq", F.lit(0).cast("long")).schema)
+        held = held.select(F.col(key).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("old"), F.col("first_seq").alias("old_first"))
+        met = apart(new).join(held, "_key", "left")
+        later = F.col("old").isNull() | (F.col(f"last.`{order}`") > F.col(f"old.`{order}`"))
+        changed = met.where(later | (F.col("first") < F.col("old_first")))
+        rows = changed.select(F.when(later, F.col("last")).otherwise(F.col("old")).alias("row"), F.least("first", "old_first").alias("first_seq"))
+        stored.merge(batch.sparkSession, path, rows.select("row.*", "first_seq"), key, update, parts=parts)
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
     return query

@@ -80,3 +80,13 @@ def test_database_is_read_in_ranges(spark, notes):
     got = database.table(spark, url, "notes", "note_id", 5)
     assert got.rdd.getNumPartitions() == 5 and sorted(r.note_id for r in got.collect()) == list(range(300))
     assert database.table(spark, url, "(SELECT * FROM notes WHERE \"note_id\" < 0) x", "note_id", 5).collect() == []
+
+
+def test_the_table_is_the_state(spark, tmp_path):
+    """Keys are combined and joined, none is handled alone; a batch may come again."""
+    inbox, path, schema = str(tmp_path / "in"), str(tmp_path / "t"), "seq long, k string, v string"
+    for n, rows in enumerate([[(5, "a", "new"), (9, "b", None), (4, None, "x")], [(2, "a", "old"), (12, "b", "last"), (None, "a", "y")], [(2, "a", "old"), (7, "c", "one")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        q = latest.store_latest(spark.readStream.schema(schema).parquet(inbox), path, "k", str(tmp_path / "ck"), parts=2)
+        assert not q.lastProgress["stateOperators"]
+    assert sorted(tuple(r) for r in stored.table(spark, path).select("k", "seq", "v", "first_seq").collect()) == [("a", 5, "new", 2), ("b", 12, "last", 9), ("c", 7, "one", 7)]
