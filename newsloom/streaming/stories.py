@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
+from newsloom.operators.shared import materialize
 from newsloom.operators.similarity import needed
 
 DELAY = "1 hour"
@@ -64,3 +66,50 @@ def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+_STORED = "seq long, published timestamp, tok array<string>, batch long, day date"
+
+
+def store_pairs(stream: DataFrame, path: str, checkpoint: str, rule: Callable[[DataFrame, int], DataFrame], hours: int, delay_seconds: int = 3600) -> StreamingQuery:
+    """Pairs of a stream (seq, published, tok) by a rule of similarity.py, added to those stored at path. Ends when all that is there is read.
+
+    Instead of a join's state, which holds each article's tokens with each of them, every batch is compared, as classes of
+    equal titles, with itself and with the stored articles of the days around it. Rows that come more than the delay behind
+    the newest stored one are dropped by rule; seq is unique. What a batch writes has its number and is written over if it
+    comes again, so each pair is there once.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _kept(spark, path).where(F.col("batch") < number)
+        newest = known.agg(F.max("published").alias("p"))  # a row
+        rows = batch.select("seq", F.col("published").cast("timestamp").alias("published"), F.array_distinct("tok").alias("tok")).where(F.col("published").isNotNull())
+        in_time = F.col("p").isNull() | (F.unix_micros("published") >= F.unix_micros("p") - delay_seconds * 1_000_000)
+        new = materialize(rows.crossJoin(F.broadcast(newest)).where(in_time).drop("p").withColumn("day", F.to_date("published")))
+        span = F.expr(f"INTERVAL {hours} HOURS")
+        low, high = new.agg((F.min("published") - span).cast("date"), (F.max("published") + span).cast("date")).first()
+        if low is not None:
+            near = known.where(F.col("day").between(F.lit(low), F.lit(high))).select("seq", "published", "tok", F.lit(False).alias("fresh"))
+            both = near.unionAll(new.select("seq", "published", "tok", F.lit(True).alias("fresh")))
+            rule(both, hours).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/pairs/batch={number}")
+            new.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/articles/batch={number}")
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def _kept(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_STORED).parquet(f"{path}/articles")
+    except AnalysisException:
+        return spark.createDataFrame([], _STORED)
+
+
+def stored_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """a, b, shared: all pairs that store_pairs has found, with a < b."""
+    try:
+        return spark.read.schema("a long, b long, shared long, batch long").parquet(f"{path}/pairs").drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], "a long, b long, shared long")

@@ -155,3 +155,16 @@ def test_late_rows_are_dropped_by_rule(spark, tmp_path):
     late = [(3, T0 + dt.timedelta(hours=1), tok), (4, T0 + dt.timedelta(hours=99, minutes=30), tok)]
     got, _ = replay(spark, tmp_path, [first, late], stories.same_story_stream)
     assert got == [(2, 4, 3)]  # 3 is further back than the delay, so it meets nothing; 4 is not
+
+
+@pytest.mark.parametrize("rule, hours, brute", [(similarity.same_story, 72, same), (similarity.likely_duplicates, 48, alike)])
+def test_stored_pairs_need_no_state(spark, tmp_path, rule, hours, brute):
+    arts = sorted(written(60, 7), key=lambda a: a[1])
+    late = (90, arts[-1][1] - dt.timedelta(hours=2), arts[-1][2])
+    inbox, path, schema = str(tmp_path / "in"), str(tmp_path / "stored"), SCHEMA.replace("timestamp_ntz", "timestamp")
+    for some in (arts[:30], arts[30:], [late]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(inbox)
+        q = stories.store_pairs(spark.readStream.schema(schema).parquet(inbox), path, str(tmp_path / "ck"), rule, hours)
+        assert not q.lastProgress["stateOperators"]
+    got = listed(stories.stored_pairs(spark, path))
+    assert got == pairs(arts, brute) and got
