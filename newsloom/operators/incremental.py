@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from newsloom.operators.clustering import placed, spread
-from newsloom.operators.shared import materialize
+from newsloom.operators.shared import apart, materialize
 from newsloom.operators.similarity import story_links
 
 HOURS = 72
+HOPS = 2  # so many links are followed one by one, from what changed alone
 _KEY = "struct<published: timestamp_ntz, back: bigint>"
 _TABLES = {"articles": "seq long, published timestamp_ntz, tok array<string>", "links": f"key {_KEY}, before {_KEY}", "labels": f"key {_KEY}, label {_KEY}"}
 
@@ -63,8 +64,12 @@ def load(spark: SparkSession, path: str, articles: DataFrame) -> dict[str, int]:
     first = spread(links, start.select("key", "label"))
     moved = materialize(first.join(start.select("key", "old"), "key").where(~F.col("old").eqNullSafe(F.col("label"))))
     changed, front = moved.select("key", "label"), moved.where("old IS NOT NULL")
-    while (reach := _bounds(front, "key.published")) is not None:
+    for _ in range(HOPS):
+        if (reach := _bounds(front, "key.published")) is None:
+            break
         changed, front = _handed_on(spark, path, changed, front, reach)
+    if (reach := _bounds(front, "key.published")) is not None:
+        changed = _handed_far(spark, path, changed, links, reach)
 
     days = 0
     if new.limit(1).count():
@@ -92,6 +97,19 @@ def _handed_on(spark: SparkSession, path: str, changed: DataFrame, front: DataFr
     return merged, better
 
 
+def _handed_far(spark: SparkSession, path: str, changed: DataFrame, links: DataFrame, reach: tuple) -> DataFrame:
+    """All that is left to hand on, in few rounds however long the chains are: stored articles up to the last one that changed
+    find their labels anew, those after it keep theirs. Gives all changed labels."""
+    last = F.lit(reach[1]).cast("date")
+    stored = _read(spark, path, "labels").where(F.col("day") <= F.date_add(last, 2 * HOURS // 24)).select("key", F.col("label").alias("old"))
+    known = materialize(apart(stored).join(changed, "key", "full_outer").select("key", F.coalesce("label", "old").alias("old")))
+    within = F.to_date("key.published") <= last
+    over = _read(spark, path, "links").where(F.col("day") <= last).select("key", "before").unionAll(links.where(within).select("key", "before"))
+    found = spread(materialize(over), known.select("key", F.when(within, F.col("key")).otherwise(F.col("old")).alias("label")))
+    better = apart(found).join(known, "key").where("label > old").select("key", "label")
+    return materialize(changed.unionAll(better).groupBy("key").agg(F.max("label").alias("label")))
+
+
 def _store_labels(spark: SparkSession, path: str, changed: DataFrame) -> int:
     """Write the partitions of the days that have a changed label; how many."""
     fresh = changed.withColumn("day", F.to_date("key.published"))

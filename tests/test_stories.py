@@ -168,3 +168,15 @@ def test_stored_pairs_need_no_state(spark, tmp_path, rule, hours, brute):
         assert not q.lastProgress["stateOperators"]
     got = listed(stories.stored_pairs(spark, path))
     assert got == pairs(arts, brute) and got
+
+
+def test_labels_of_long_chains_take_few_steps(spark, tmp_path, monkeypatch):
+    """A late article is linked to the second newest of a chain only: all older ones change, 12 links far."""
+    one, other = ["one", "two", "three"], ["p", "q", "r"]
+    arts = [(i, T0 + dt.timedelta(hours=60 * i), one + other if i == 11 else one) for i in range(13)]
+    late, steps, step = (20, T0 + dt.timedelta(hours=726), other), [], incremental._handed_on
+    monkeypatch.setattr(incremental, "_handed_on", lambda *a: steps.append(1) or step(*a))
+    for some in (arts, [late]):
+        incremental.load(spark, str(tmp_path / "s"), spark.createDataFrame(some, SCHEMA))
+    assert listed(incremental.clusters(spark, str(tmp_path / "s"))) == greedy([*arts, late])
+    assert len(steps) <= incremental.HOPS
