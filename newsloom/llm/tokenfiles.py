@@ -18,7 +18,6 @@ bits each; select() finds one by its sample and a scan of at most the next 256 o
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +34,18 @@ SAMPLE = 256
 BLOCK_IDS = 1 << 20
 #: Different words remembered by a worker, of about 250 bytes each. Beyond, only those met more than once since stay.
 REMEMBERED = 300_000
-_CLOSING = re.compile(rb"(?<=[a-z])[.,]")
+#: Texts are cut, and their different words counted, by so many bytes; a longer text goes alone.
+CUT_BYTES = 1 << 21
+_BYTES = np.arange(256)
+_BLANK = np.isin(_BYTES, list(b" \t\n\r\x0b\x0c"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SMALL = (_BYTES >= ord("a")) & (_BYTES <= ord("z"))
+#: First bytes of U+00C0 to U+017F, which are letters but for U+00D7 and U+00F7.
+_LATIN = (_BYTES >= 0xC3) & (_BYTES <= 0xC5)
+#: ASCII that is no letter, no blank and no apostrophe: letters end before it and begin after it.
+_SIGN = (_BYTES < 0x80) & ~_SMALL[_LOWER] & ~_BLANK & (_BYTES != ord("'"))
+#: Bytes before which a letter is complete: no mark that could combine with it begins so.
+_FIRM = (_BYTES < 0x80) | _LATIN
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which begins pieces like 's
 
 BLOCK_SCHEMA = (
@@ -103,6 +113,7 @@ class WordEncoder:
 
     The vocabularies it is for drop white space and split at it before anything else, so a text's
     ids are its words' ids in turn. Every different word goes through the tokenizers library once.
+    Texts are cut, and equal words found, in arrays of some megabytes; Python sees the different words of each.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -115,7 +126,7 @@ class WordEncoder:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Case does not matter, and letters are cut from what follows: words that differ so need not be told apart.
-        self.folds = bool(self.closes.any()) and self._cut("Ab, cD.e") == ["ab", ",", "cd", ".", "e"]
+        self.folds = bool(self.closes.any()) and self._cut("Ab,9cD7.É!e") == ["ab", ",", "9", "cd", "7", ".", "Ã©", "!", "e"]
         #: For words of small Latin letters alone, which are whole pieces already: without the steps that change or cut a text.
         self.plain = Tokenizer(self.tokenizer.model)  # shared, not copied
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -128,13 +139,54 @@ class WordEncoder:
         change, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         return [piece for piece, _ in cut.pre_tokenize_str(change.normalize_str(text))] if change and cut else []
 
-    def _words(self, text: bytes) -> list[bytes]:
-        """Blank-separated words; where the vocabulary allows it in lower case, a full stop or comma after letters apart."""
+    def _words(self, text: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Blank-separated words of the texts between bounds, one text after the other, and where each text's begin.
+
+        Where the vocabulary allows it in lower case, with letters and the signs beside them apart.
+        """
+        first = bounds[:-1][np.diff(bounds) > 0]
+        word = ~_BLANK[text]
+        starts = word.copy()
+        starts[1:] &= ~word[:-1]
         if self.folds:
-            low = text.lower()
-            if not any(t in low for t in self.special):  # those are found in the text as it stands
-                text = _CLOSING.sub(rb" \g<0>", low)
-        return text.split()
+            low, apart = self._folded(text, first)
+            lower = text.tobytes().lower()
+            for special in self.special:  # those are found in the text as it stands
+                at = lower.find(special)
+                while at >= 0:
+                    a, z = bounds[np.searchsorted(bounds, at, "right") - 1 :][:2]
+                    low[a:z], apart[a:z] = text[a:z], False
+                    at = lower.find(special, z)
+            text = low
+            starts |= apart
+        starts[first] = word[first]
+        letters, ends = text[word], np.flatnonzero(starts[word])
+        offsets = np.append(ends, len(letters))
+        counts = [np.count_nonzero(starts[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        return words, np.cumsum([0, *counts])
+
+    @staticmethod
+    def _folded(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts, which begin at first, with capital letters made small, up to U+00DE, and the places where letters and signs part.
+
+        A letter before anything that could combine with it stays: H and U+0331 are two characters, h and U+0331 one.
+        """
+        firm = np.append(_FIRM[text[1:]], True)[: len(text)]
+        low = np.where(firm, _LOWER[text], text)
+        more = text & 0xC0 == 0x80
+        more[first] = False
+        at = np.flatnonzero(_LATIN[text[:-1]] & more[1:])
+        lead, rest = text[at], text[at + 1]
+        no_letter = (lead == 0xC3) & ((rest == 0x97) | (rest == 0xB7)) | (lead == 0xC4) & (rest == 0xB0)  # small U+0130 ends in a mark
+        at, lead, rest = at[~no_letter], lead[~no_letter], rest[~no_letter]
+        low[at + 1] += np.where((lead == 0xC3) & (rest < 0x9F) & firm[at + 1], 0x20, 0).astype(np.uint8)
+        begins, sign = _SMALL[_LOWER[text]], _SIGN[text]
+        ends = begins.copy()
+        begins[at], ends[at + 1] = True, True
+        apart = np.zeros(len(text), bool)
+        apart[1:] = (ends[:-1] & sign[1:]) | (sign[:-1] & begins[1:])
+        return low, apart
 
     def _forget(self) -> None:
         """Keep the words met more than once since this was last called, half of what is remembered at most."""
@@ -200,19 +252,35 @@ class WordEncoder:
             self.size[at], self.start[at] = sizes, self.used + np.cumsum(sizes) - sizes
             self.used += len(ids)
 
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[bytes] | pa.Array) -> Iterator[np.ndarray]:
+        texts = pa.array(texts, pa.large_binary()) if isinstance(texts, list) else texts.cast(pa.large_binary()).fill_null(b"")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CUT_BYTES, "right")) - 1)
+            yield from self._encode(whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            i = j
+
+    def _encode(self, text: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         if len(self.places) > self.remembered:
             self._forget()
-        words = [self._words(text) for text in texts]
-        places = [np.fromiter(map(self.places.__getitem__, ws), np.int64, len(ws)) for ws in words]
+        words, begins = self._words(text, bounds)
+        coded = words.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        k = np.fromiter(map(self.places.__getitem__, different), np.int64, len(different))
         if self.places.pending:
             self._learn()
-        self.met += np.bincount(np.concatenate(places), minlength=len(self.met)) if places else 0
-        for k in places:
-            size = self.size[k]
-            ends = np.cumsum(size)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[k] - (ends - size), size)
-            yield self.flat[at]
+        self.met[k] += np.bincount(coded.indices.to_numpy(), minlength=len(k))
+        size = self.size[k]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[k] - (ends - size), size)
+        known = pa.Array.from_buffers(pa.large_binary(), len(k), [None, pa.py_buffer(np.append(0, 4 * ends)), pa.py_buffer(self.flat[at])])
+        taken = known.take(coded.indices)  # a word's ids are its bytes
+        ids = np.frombuffer(taken.buffers()[2] or b"", np.uint32)
+        cuts = np.frombuffer(taken.buffers()[1], np.int64)[begins] // 4 if len(taken) else begins
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield ids[a:z]
 
 
 @functools.cache
@@ -245,8 +313,7 @@ def _blocks(path: str, end_id: int, block_ids: int, kind: str):
                 ("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(b.column(0).type)), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()),
                 ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()),
             ])
-            some = (ids for i in range(0, b.num_rows, 64) for ids in encoder.encode([t or b"" for t in b.column(1).slice(i, 64).to_pylist()]))
-            for doc, ids in zip(b.column(0).to_pylist(), some):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1))):
                 ids = np.append(ids, np.uint32(end_id))
                 if held and held + len(ids) > block_ids:
                     yield closed()

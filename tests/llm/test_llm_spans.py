@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,28 @@ def test_words_are_forgotten_and_learnt_again():
     assert len(small.places) < 500 < len(whole.places)
 
 
+def test_words_are_learnt_apart_from_signs():
+    """The tokenizers library sees a word once, whatever stands around it and however it is written."""
+    encoder, signs = tokenfiles.WordEncoder(tokenfiles.default_tokenizer()), ["", ".", "!!", "###", '"', ")", "&&&", "1", "2,", " ("]
+    words = [a + b for a in ("the", "Été", "straße", "MOÑO", "over") for b in "abcdefgh"]
+    texts = [" ".join(s[::-1] + w + t for w in words) for s in signs for t in signs]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.places) <= 2 * len(words) + 2 * len(signs)
+
+
+def test_ids_at_the_ends_of_texts_letters_and_batches(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "CUT_BYTES", 64, raising=False)
+    encoder, rng = tokenfiles.WordEncoder(tokenfiles.default_tokenizer(), remembered=50), random.Random(7)
+    marks = ["H\u0331 h\u0331", "T\u0308.x", "I\u0591\u0307", "É\u0331!", "×.a÷", "İ.İ", "'ſ.'s$'ll", "<|endoftext|>H.é", "<|ENDOFTEXT|>É.", ""]
+    texts = [t.encode() for t in marks] + [bytes(rng.choice(b"aZ'.1 \xc3\xc4\xa9\x97\xb0\xcc\x88\xe2\xff") for _ in range(rng.choice([0, 1, 2, 9, 200]))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, text
+    column = pa.array([b"left out", None, b"a b", b"", b"\xc3\x89."], pa.binary()).slice(1)
+    for text, ids in zip(column.to_pylist(), encoder.encode(column), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode((text or b"").decode(), add_special_tokens=False).ids
+
+
 def test_digests(spark, tmp_path):
     text = "Me: a@b.co or +1 555 010 9999"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
