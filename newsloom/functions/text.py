@@ -79,9 +79,8 @@ def slugify_ascii(x: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     """The different folded words of more than two characters that are no stop words; hyphens stay."""
-    bare = F.regexp_replace(F.lower(strip_marks(x)), rf"(?:(?!{SPACE})[^a-z0-9-])", " ")
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    long = F.filter(F.split(bare, f"{SPACE}+"), lambda w: F.length(w) > 2)
+    long = F.filter(F.split(F.lower(strip_marks(x)), "[^a-z0-9-]+"), lambda w: F.length(w) > 2)
     return F.array_except(F.array_distinct(long), stop)
 
 

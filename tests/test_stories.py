@@ -180,3 +180,20 @@ def test_labels_of_long_chains_take_few_steps(spark, tmp_path, monkeypatch):
         incremental.load(spark, str(tmp_path / "s"), spark.createDataFrame(some, SCHEMA))
     assert listed(incremental.clusters(spark, str(tmp_path / "s"))) == greedy([*arts, late])
     assert len(steps) <= incremental.HOPS
+
+
+def late_way():
+    """Articles 0 to 50 reach 600 by 70 and the long chain after it alone, which is known when they all have 60, the newest of their own class."""
+    first, last = ["one", "two", "three"], ["p", "q", "r"]
+    own = [(i, T0 + dt.timedelta(hours=i), first) for i in range(61)]
+    chain = [(100 + i, T0 + dt.timedelta(hours=52, minutes=i), last) for i in range(500)]
+    return own, [(70, T0 + dt.timedelta(hours=51), first + last), *chain, (600, T0 + dt.timedelta(hours=100), last)]
+
+
+def test_labels_go_along_a_class_in_one_round(spark, monkeypatch):
+    """Before, they went link by link, 50 rounds."""
+    arts, written_, write = sum(late_way(), []), [], clustering.materialize
+    monkeypatch.setattr(clustering, "materialize", lambda df: written_.append(1) or write(df))
+    got = listed(clustering.story_clusters(spark.createDataFrame(arts, SCHEMA)))
+    assert got == greedy(arts) and {c for _, c, _ in got} == {60, 600}
+    assert len(written_) <= 12
