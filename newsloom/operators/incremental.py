@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from newsloom.operators.clustering import placed, spread
+from newsloom.operators.clustering import HOURS, placed, spread
 from newsloom.operators.shared import apart, materialize
 from newsloom.operators.similarity import story_links
 
-HOURS = 72
 HOPS = 2  # so many links are followed one by one, from what changed alone
 _KEY = "struct<published: timestamp_ntz, back: bigint>"
-_TABLES = {"articles": "seq long, published timestamp_ntz, tok array<string>", "links": f"key {_KEY}, before {_KEY}", "labels": f"key {_KEY}, label {_KEY}"}
+_TABLES = {"articles": "seq long, published timestamp_ntz, tok array<string>", "links": f"key {_KEY}, before {_KEY}, of binary, to binary", "labels": f"key {_KEY}, label {_KEY}"}
 
 
 def _read(spark: SparkSession, path: str, table: str, low: object = None, high: object = None) -> DataFrame:
@@ -55,7 +54,7 @@ def load(spark: SparkSession, path: str, articles: DataFrame) -> dict[str, int]:
     near = _read(spark, path, "articles", *around)
     new = materialize(given.withColumn("day", F.to_date("published")).join(near.select("seq", "day"), ["seq", "day"], "left_anti").drop("day"))
     both = near.drop("day").withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
-    links = materialize(story_links(both, HOURS).distinct().join(_read(spark, path, "links", *around).select("key", "before"), ["key", "before"], "left_anti"))
+    links = materialize(story_links(both, HOURS).join(_read(spark, path, "links", *around).select("key", "before"), ["key", "before"], "left_anti").select("key", "before", "of", "to"))
 
     ends = links.select("key").union(links.select(F.col("before").alias("key"))).distinct()
     own = new.select(F.struct("published", (-F.col("seq")).alias("back")).alias("key"))
@@ -104,7 +103,7 @@ def _handed_far(spark: SparkSession, path: str, changed: DataFrame, links: DataF
     stored = _read(spark, path, "labels").where(F.col("day") <= F.date_add(last, 2 * HOURS // 24)).select("key", F.col("label").alias("old"))
     known = materialize(apart(stored).join(changed, "key", "full_outer").select("key", F.coalesce("label", "old").alias("old")))
     within = F.to_date("key.published") <= last
-    over = _read(spark, path, "links").where(F.col("day") <= last).select("key", "before").unionAll(links.where(within).select("key", "before"))
+    over = _read(spark, path, "links").where(F.col("day") <= last).drop("day").unionAll(links.where(within))
     found = spread(materialize(over), known.select("key", F.when(within, F.col("key")).otherwise(F.col("old")).alias("label")))
     better = apart(found).join(known, "key").where("label > old").select("key", "label")
     return materialize(changed.unionAll(better).groupBy("key").agg(F.max("label").alias("label")))

@@ -197,3 +197,15 @@ def test_labels_go_along_a_class_in_one_round(spark, monkeypatch):
     got = listed(clustering.story_clusters(spark.createDataFrame(arts, SCHEMA)))
     assert got == greedy(arts) and {c for _, c, _ in got} == {60, 600}
     assert len(written_) <= 12
+
+
+def test_slices_go_along_a_class_in_one_round(spark, tmp_path, monkeypatch):
+    """The same in a slice that is loaded; then all stored labels change by a newer article."""
+    own, others = late_way()
+    late = [(601, T0 + dt.timedelta(hours=150), others[-1][2])]
+    written_, write, path = [], clustering.materialize, str(tmp_path / "s")
+    monkeypatch.setattr(clustering, "materialize", lambda df: written_.append(1) or write(df))
+    for some in (own + others, late):
+        incremental.load(spark, path, spark.createDataFrame(some, SCHEMA))
+    assert listed(incremental.clusters(spark, path)) == greedy(own + others + late)
+    assert len(written_) <= 30
