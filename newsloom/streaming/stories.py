@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from newsloom.operators.shared import materialize
+from newsloom.operators.shared import materialize, shuffles_freed
 from newsloom.operators.similarity import needed
 
 DELAY = "1 hour"
@@ -92,7 +92,8 @@ def store_pairs(stream: DataFrame, path: str, checkpoint: str, rule: Callable[[D
         if low is not None:
             near = known.where(F.col("day").between(F.lit(low), F.lit(high))).select("seq", "published", "tok", F.lit(False).alias("fresh"))
             both = near.unionAll(new.select("seq", "published", "tok", F.lit(True).alias("fresh")))
-            rule(both, hours).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/pairs/batch={number}")
+            with shuffles_freed(spark):
+                rule(both, hours).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/pairs/batch={number}")
             new.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/articles/batch={number}")
 
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -221,3 +221,15 @@ def test_short_titles_meet_few_long_ones(spark):
     met = s.met(lambda n: n - similarity.needed(n, 0.52, 3) + 1, lambda n: n, similarity._smaller(), similarity.needed(F.col("na"), 0.52, 3))
     assert met.where("na = 8 AND nb = 150").count() < 600  # of 3600
     assert listed(similarity.same_story(spark.createDataFrame(arts, SCHEMA))) == pairs(arts, same)
+
+
+def test_a_batch_of_pairs_frees_its_shuffles(spark, tmp_path):
+    schema, seen = SCHEMA.replace("timestamp_ntz", "timestamp"), []
+    spark.createDataFrame(written(20), schema).write.parquet(str(tmp_path / "in"))
+
+    def rule(df, hours):
+        seen.append(df.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false"))
+        return similarity.same_story(df, hours)
+
+    stories.store_pairs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "stored"), str(tmp_path / "ck"), rule, 72)
+    assert seen == ["true"]
