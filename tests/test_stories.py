@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import clustering, incremental, similarity
+from newsloom.operators import clustering, feed, incremental, similarity
 from newsloom.streaming import stories
 
 T0 = dt.datetime(2024, 1, 1)
@@ -233,3 +233,12 @@ def test_a_batch_of_pairs_frees_its_shuffles(spark, tmp_path):
 
     stories.store_pairs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "stored"), str(tmp_path / "ck"), rule, 72)
     assert seen == ["true"]
+
+
+def test_feed_takes_few_rounds(spark, monkeypatch):
+    rows = [(i, " ".join(w * 3 for w in tok), "", f"u{i}", at, "en", "src1", 80, True) for i, at, tok in sum(late_way(), [])]
+    articles = spark.createDataFrame(rows, "seq long, title string, excerpt string, url string, published timestamp_ntz, language string, source string, reliability int, official boolean")
+    written_, write = [], clustering.materialize
+    monkeypatch.setattr(clustering, "materialize", lambda df: written_.append(1) or write(df))
+    assert sorted((r.seq, len(r.source_details)) for r in feed.feed(articles).collect()) == [(60, 10), (600, 553)]
+    assert len(written_) <= 12
